@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkprism.llm import decontam, mixing, quality_rules, secret_scan, simhash
+from talkprism.llm import decontam, mixing, quality_rules, secret_scan, simhash, substring_dedup
 from talkprism.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in ("assign", "access", "hex")], F.sha2(secret_scan.spans_text(F.col("base_spans")), 256).alias("base_sha256"), secret_scan.spans_text(F.col("spans")).alias("spans"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     q = F.col("repetition")
@@ -36,5 +41,5 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_quality_rules, op6_simhash, op7_decontamination, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op5_quality_rules, op6_simhash, op7_decontamination, op8_mixing)}
 ORACLE_SQL: dict[str, str] = {}
