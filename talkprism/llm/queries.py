@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkprism.llm import decontam, mixing, quality_rules, secret_scan, simhash, substring_dedup
+from talkprism.llm import decontam, lm_scoring, mixing, quality_rules, secret_scan, simhash, substring_dedup
 from talkprism.llm.common import table
 
 
@@ -41,5 +41,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op5_quality_rules, op6_simhash, op7_decontamination, op8_mixing)}
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op5_quality_rules, op6_simhash, op7_decontamination, op8_mixing, op9_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {}

@@ -99,9 +99,7 @@ def links(fps: DataFrame) -> DataFrame:
 
     dense = shared.where("crowded").select("fp").distinct()
     points = dense.select("fp", F.explode(_ball_of_two("fp")).alias("point"))
-    # The smallest member of each point by a sum first: points of one member go before the join.
-    hubs = points.groupBy("point").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("point", "hub")
-    stars = points.join(hubs, "point").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    stars = points.withColumn("hub", F.min("fp").over(Window.partitionBy("point"))).where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
     return near.union(stars)
 
 
