@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkprism.llm import decontam, lm_scoring, mixing, quality_rules, secret_scan, simhash, substring_dedup
+from talkprism.llm import decontam, html_text, lm_scoring, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup
 from talkprism.llm.common import table
 
 
@@ -21,6 +21,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_text.main_text(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     q = F.col("repetition")
@@ -45,5 +54,22 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op5_quality_rules, op6_simhash, op7_decontamination, op8_mixing, op9_lm_scoring)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = F.col("pseudonymised")
+    rows = pii.with_pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", new["text"].alias("text"), *[new[f"n_{k}"].alias(f"n_{k}") for k in pii.KINDS])
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_secret_scan,
+    op2_substring_dedup,
+    op3_html_text,
+    op4_quality_classifier,
+    op5_quality_rules,
+    op6_simhash,
+    op7_decontamination,
+    op8_mixing,
+    op9_lm_scoring,
+    op10_pii,
+)}
 ORACLE_SQL: dict[str, str] = {}
