@@ -32,7 +32,7 @@ from talkprism.llm.components import connected_components
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-CROWD = 32
+CROWD = 128
 _HALF = 0xFFFFFFFF
 
 
@@ -99,7 +99,10 @@ def links(fps: DataFrame) -> DataFrame:
 
     dense = shared.where("crowded").select("fp").distinct()
     points = dense.select("fp", F.explode(_ball_of_two("fp")).alias("point"))
-    stars = points.withColumn("hub", F.min("fp").over(Window.partitionBy("point"))).where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    stars = points.withColumn("hub", F.min("fp").over(Window.partitionBy("point"))).where("fp <> hub").select("hub", "fp").distinct()
+    # A member links its own smallest hub to itself and to its other hubs; most members share both.
+    stars = stars.withColumn("first", F.min("hub").over(Window.partitionBy("fp")))
+    stars = stars.select(F.col("first").alias("a"), F.explode(F.array("fp", "hub")).alias("b")).where("a <> b").distinct()
     return near.union(stars)
 
 
