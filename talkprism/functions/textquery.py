@@ -19,6 +19,11 @@ def _normal(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
+def bind(value: Column, f) -> Column:
+    """f of a value that is computed once, where f uses it several times or inside other functions' lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 class Query:
     def parts(self) -> tuple[Query, ...]:
         return ()
@@ -91,16 +96,16 @@ class Near(Query):
         return (i != j) & (F.abs(i - j) - 1 <= self.distance)
 
     def matches(self, tokens):
-        right = self._of(tokens, self.right)
-        return F.exists(self._of(tokens, self.left), lambda i: F.exists(right, lambda j: self._close(i, j)))
+        return bind(self._of(tokens, self.right), lambda right: F.exists(self._of(tokens, self.left), lambda i: F.exists(right, lambda j: self._close(i, j))))
 
     def terms(self):
         return [self]
 
     def spans(self, tokens):
-        right = self._of(tokens, self.right)
-        pairs = F.transform(self._of(tokens, self.left), lambda i: F.transform(F.filter(right, lambda j: self._close(i, j)), lambda j: _span(F.least(i, j), F.greatest(i, j))))
-        return F.flatten(pairs)
+        def pairs(right):
+            return F.transform(self._of(tokens, self.left), lambda i: F.transform(F.filter(right, lambda j: self._close(i, j)), lambda j: _span(F.least(i, j), F.greatest(i, j))))
+
+        return F.flatten(bind(self._of(tokens, self.right), pairs))
 
 
 @dataclass(frozen=True)

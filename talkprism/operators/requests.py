@@ -7,7 +7,7 @@ same order for every request: limits, query shape, references, window.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -67,12 +67,10 @@ class Index:
         """Readable blocks that match, with evidence."""
         textquery.check(query)
         rows = self._filtered(self.tables["blocks"], wanted, "timestamp").where(F.col("availability") == "ReadableText")
-        rows = rows.withColumn("tokens", tx.tokens("text")).where(query.matches(F.col("tokens")))
-        return self._previewed(rows.withColumn("evidence", textquery.evidence(query, F.col("tokens"))).drop("tokens"), preview)
+        rows = rows.where(textquery.bind(tx.tokens("text"), query.matches))
+        return self._previewed(rows.withColumn("evidence", textquery.bind(tx.tokens("text"), lambda t: textquery.evidence(query, t))), preview)
 
     def _filtered(self, rows: DataFrame, wanted: Filter, time: str) -> DataFrame:
-        from dataclasses import replace
-
         return replace(wanted, window=self.clock.lower(wanted.window)).apply(rows, time)
 
     @staticmethod

@@ -122,13 +122,15 @@ def _claude_content(value: Any) -> str | None:
     if isinstance(value, str):
         return value
     if isinstance(value, list):
-        found = [t for v in value if (t := v if isinstance(v, str) else string(v, "text")) is not None]
+        found = [t for v in value if (t := string(v, "text", "thinking")) is not None]
         return "\n".join(found) if found else None
     return string(value, "text")
 
 
 def claude(line: dict) -> tuple[list, str | None]:
-    kind, role = (string(line, "type") or "").lower(), first(string(line, "role"), string(get(line, "message"), "role"), string(line, "type"))
+    kind = (string(line, "type") or "").lower()
+    spoken = string(line, "type") if string(line, "type") in ("user", "assistant", "system") else None
+    role = first(string(line, "role"), string(get(line, "message"), "role"), spoken)
     blocks: list = []
     if kind == "queue-operation":
         blocks.append(("SessionEvent", string(line, "content")))
@@ -171,7 +173,8 @@ def _codex_payload(payload: Any, role: str | None) -> tuple[list, str | None]:
 
 
 def codex(line: dict) -> tuple[list, str | None]:
-    role, blocks, payload_text = string(line, "role"), [], None
+    role = first(string(line, "role"), string(get(line, "payload"), "role"), string(get(line, "payload", "message"), "role"))
+    blocks, payload_text = [], None
     for name in ("payload", "item"):
         if (payload := get(line, name)) is not None:
             found, text = _codex_payload(payload, role)
@@ -203,18 +206,16 @@ def _pi_content(content: Any, role: str | None) -> list:
 
 
 def pi(line: dict) -> tuple[list, str | None]:
-    role, message, content = string(line, "role"), get(line, "message"), get(line, "content")
+    message, content = get(line, "message"), get(line, "content")
+    role, inner = first(string(line, "role"), string(message, "role")), get(message, "content")
+    deep = lambda v: deep_text(v, TEXT_OUTPUT) if v is not None else None
     if (string(line, "type") or "").lower() == "custom_message":
         blocks = [("SessionEvent", string(line, "content"))]
     else:
         own = first(string(message, "role"), role)
-        inner = get(message, "content")
-        blocks = [*_pi_content(inner if inner is not None else message if isinstance(message, str) else None, own)]
-        if isinstance(message, dict) and inner is None:
-            blocks.append((kind_of(own), string(message, "text")))
+        blocks = _pi_content(inner, own) if inner is not None else [(kind_of(own), string(message, "text"))]
         blocks += [*_pi_content(content, role), (kind_of(role), string(line, "text")), (kind_of(role), string(line, "output"))]
-    deep = lambda v: deep_text(v, TEXT_OUTPUT) if v is not None else None
-    return blocks, first(string(line, "text", "output"), deep(content), deep(message))
+    return blocks, first(string(line, "text", "output"), deep(content), deep(inner), string(message, "text"))
 
 
 PRODUCERS = {"Claude": claude, "ClaudeSubagentOutput": claude, "PiSubagentOutput": claude, "Codex": codex, "Pi": pi}
