@@ -146,8 +146,16 @@ class Vocabulary:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """From (token, n): totals, the most frequent tokens, sums of the classes; each of fixed size."""
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
-    top = [(r["token"].encode("utf-8", "surrogatepass"), r["n"]) for r in top]
+    # Counts by steps of their logarithm tell the least count to take, so at most FREQUENT rows are sent.
+    step = F.floor(F.log2("n") * 64).cast("int")
+    room, least = FREQUENT, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        room -= r["k"]
+        if room < 0:
+            break
+        least = r["step"]
+    top = counts.where(step >= F.lit(least)).collect() if least is not None else []
+    top = sorted(((r["token"].encode("utf-8", "surrogatepass"), r["n"]) for r in top), key=lambda r: (-r[1], r[0]))
     n_words = min(MODEL_WORDS, len(top))
     own = [t.decode("utf-8", "surrogatepass") for t, _ in top[:n_words]]
     rare = counts.where(~F.col("token").isin(own)).groupBy(_rare_class("token").alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()
