@@ -7,9 +7,9 @@ counted per host in Spark, over pages of different content; what recurs on many
 is template and is deleted. Paragraphs and headings of an article are never template: copies of
 an article on one host keep their text.
 
-The templates of a host (at most a page's elements times 1 / MIN_SHARE) are joined to its pages
-on the host; a hot host is split by adaptive execution, which is safe as templates are one row
-a host.
+A host has at most a page's elements times 1 / MIN_SHARE templates. All templates are counted
+before they are joined to the pages: up to BROADCAST_HASHES they are broadcast and pages don't
+move; beyond, pages and templates meet by host and a salt, so a hot host is spread over tasks.
 
 Defined cases: null or empty html, or a page without main text, gives an empty text; null urls
 share one host; repeated pages count as one content; an empty table gives an empty result;
@@ -27,9 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkprism.llm.common import materialize
+
 #: A subtree is template on a host if it recurs on so many pages of different content and on this share of them.
 MIN_PAGES = 10
 MIN_SHARE = 0.05
+#: Hashes of templates that may be broadcast: 8 MB.
+BROADCAST_HASHES = 1_000_000
+SALTS = 64
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
@@ -272,5 +277,11 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     """(page_id, url, text) of every row."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     kind = dict(rows.dtypes)["page_id"]
-    found = rows.join(site_templates(rows, min_pages, min_share), "host", "left").select("page_id", "url", "html", "templates")
+    templates = materialize(site_templates(rows, min_pages, min_share), "templates")
+    if (templates.agg(F.sum(F.size("templates") + 1)).first()[0] or 0) <= BROADCAST_HASHES:
+        found = rows.join(F.broadcast(templates), "host", "left")
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        found = rows.join(templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), ["host", "salt"], "left")
+    found = found.select("page_id", "url", "html", "templates")
     return found.mapInPandas(_extracted, f"page_id {kind}, url string, text string")
