@@ -4,7 +4,7 @@ Every source gets a target number of words. Whole passes over a source come firs
 of the budget, less than one pass, is fitted on the counts of documents by exact length. Long
 documents go first, proportionally, until at most SLACK words are left; bounded-knapsack dynamic
 programming over the counts still free then finds lengths that add up to the rest, exactly where
-that is possible and else as near below as possible. Documents of a chosen length are then
+that is possible and else as near as possible. Documents of a chosen length are then
 taken in the order of a seeded hash.
 
 A task sees the histogram of one source (distinct lengths, not documents). Ranks inside a length
@@ -56,7 +56,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 
 
 def fit_counts(lengths: list[int], counts: list[int], budget: int, slack: int = SLACK) -> list[int]:
-    """How many documents of each length to take so that the words come to ``budget``, or as near below as found."""
+    """How many documents of each length to take so that the words come to ``budget``, or as near as found."""
     take = [0] * len(lengths)
     order = sorted((i for i in range(len(lengths)) if lengths[i] > 0), key=lambda i: -lengths[i])
     total = sum(lengths[i] * counts[i] for i in order)
@@ -65,18 +65,18 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int, slack: int =
     if budget >= total:
         return [c if n > 0 else 0 for n, c in zip(lengths, counts, strict=True)]
     left = budget
-    # Proportional first, so that every length keeps its share and free documents of every length remain.
+    # What is above the slack goes proportionally, so that every length keeps its share and free documents of every length remain.
     for i in order:
-        take[i] = min(counts[i], counts[i] * budget // total, left // lengths[i])
+        take[i] = counts[i] * max(0, budget - slack) // total
         left -= take[i] * lengths[i]
     for i in order:
         more = min(counts[i] - take[i], max(0, left - slack) // lengths[i])
         take[i] += more
         left -= more * lengths[i]
     # Bounded knapsack: bit s of `reach` says that s words can be made; parts of 1, 2, 4, ... documents of one length.
-    bits, reach, parts = (1 << (left + 1)) - 1, 1, []
+    bits, reach, parts = (1 << (left + lengths[order[0]] + 1)) - 1, 1, []
     for i in reversed(order):
-        free, step = min(counts[i] - take[i], left // lengths[i]), 1
+        free, step = min(counts[i] - take[i], left // lengths[i] + 1), 1
         while free > 0:
             n = min(step, free)
             parts.append((i, n, reach))
@@ -84,7 +84,9 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int, slack: int =
             free, step = free - n, step * 2
         if reach >> left & 1:
             break
-    at = reach.bit_length() - 1
+    below, above = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1, reach >> (left + 1)
+    over = (above & -above).bit_length()  # words above the budget, 0 if none is reached
+    at = left + over if over and over < left - below else below
     for i, n, before in reversed(parts):
         if not before >> at & 1:
             take[i] += n

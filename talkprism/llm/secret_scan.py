@@ -215,9 +215,10 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", level: f
         ),
         lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))),
     )
-    found = with_spans(docs, text, base, spans, level)
-    changed = F.size(spans) > 0
-    columns = {text: F.when(changed, cut).otherwise(whole)}
+    # The new text gets a name of its own: a column that is named like the old one would stand for it in what follows.
+    new = free_name(docs, "redacted_text")
+    found = with_spans(docs, text, base, spans, level).withColumn(new, F.when(F.size(spans) > 0, cut).otherwise(whole))
+    columns = {text: F.col(new)}
     if "n_chars" in docs.columns and text == "text":
-        columns["n_chars"] = F.when(changed, F.length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.size(spans) > 0, F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
