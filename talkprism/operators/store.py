@@ -69,7 +69,9 @@ class Store:
     def publish(self, records: DataFrame, keep: int = 2) -> Snapshot:
         before = self.pointer()
         generation = f"gen-{uuid.uuid4().hex}"
-        rows = model.keyed(records)
+        # Lines are parsed and keyed once; the tables are made from what was written.
+        model.unique(model.keyed(records)).write.partitionBy("source").parquet(f"{self.folder}/{generation}/records")
+        rows = self.spark.read.parquet(f"{self.folder}/{generation}/records")
         outs = model.outputs(rows)
         tables = {"sessions": model.sessions(rows), "subagents": model.subagents(rows), "outputs": outs, "segments": model.segments(outs).drop("text"), "blocks": model.blocks(rows)}
         for name, table in tables.items():

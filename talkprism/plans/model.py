@@ -24,9 +24,18 @@ def keyed(records: DataFrame) -> DataFrame:
     return rows.withColumn("output_reference", own)
 
 
+def unique(rows: DataFrame) -> DataFrame:
+    """Keyed records without repeats: a reference names a line of a file state, so equal references are equal rows.
+
+    The tables below take unique rows; this is the only step that shuffles whole records, and a
+    publication does it once.
+    """
+    return rows.dropDuplicates(["output_reference"])
+
+
 def outputs(rows: DataFrame) -> DataFrame:
-    """One row a record; equal references are one output, the first by path and line."""
-    cols = rows.select(
+    """One row a record."""
+    return rows.select(
         "output_reference",
         "session_reference",
         "subagent_reference",
@@ -44,7 +53,6 @@ def outputs(rows: DataFrame) -> DataFrame:
         F.md5(F.col("text").cast("binary")).alias("text_hash"),
         "text",
     )
-    return cols.dropDuplicates(["output_reference"])
 
 
 def segments(outs: DataFrame) -> DataFrame:
@@ -83,7 +91,7 @@ def blocks(rows: DataFrame) -> DataFrame:
         F.coalesce(byte_length(text), F.lit(0)).alias("bytes"),
         F.coalesce(line_count(text), F.lit(0)).alias("lines"),
         text.alias("text"),
-    ).dropDuplicates(["block_reference"])
+    )
 
 
 def _first(column: str):
@@ -102,7 +110,7 @@ def sessions(rows: DataFrame) -> DataFrame:
         F.min_by("timestamp", F.struct("path", "line_number")).alias("started_at"),
         F.max("timestamp").alias("last_observed_at"),
         F.max("modified").alias("modified"),
-        F.count_distinct("output_reference").alias("output_count"),
+        F.count(F.lit(1)).alias("output_count"),
         F.count_distinct("subagent_reference").alias("subagent_count"),
         F.min_by(byte_length("text"), F.struct("path", "line_number")).alias("first_bytes"),
         F.sum(byte_length("text")).alias("total_bytes"),
@@ -121,7 +129,7 @@ def subagents(rows: DataFrame) -> DataFrame:
             F.min_by("task.task_identifier", F.struct("path", "line_number")).alias("task_identifier"),
             F.min_by("timestamp", F.struct("path", "line_number")).alias("first_observed_at"),
             F.max("timestamp").alias("last_observed_at"),
-            F.count_distinct("output_reference").alias("output_count"),
+            F.count(F.lit(1)).alias("output_count"),
         )
     )
 

@@ -115,8 +115,9 @@ def scan(spark: SparkSession, root: Root) -> Scan:
     text = F.col("content").cast("string")
     pieces = F.split(text, "\n", -1)
     pieces = F.when(F.endswith(text, F.lit("\n")), F.slice(pieces, 1, F.size(pieces) - 1)).when(text == "", F.array().cast("array<string>")).otherwise(pieces)
-    first_bad = F.array_position(F.transform(pieces, lambda x: F.is_valid_utf8(x)), False)
-    pieces = F.when(first_bad > 0, F.slice(pieces, F.lit(1), (first_bad - 1).cast("int"))).otherwise(pieces)
+    # Splitting puts U+FFFD for invalid bytes; in a file that has some, the first line with that character ends it.
+    first_bad = F.array_position(F.transform(pieces, lambda x: F.contains(x, F.lit("\ufffd"))), True)
+    pieces = F.when(~F.is_valid_utf8(text) & (first_bad > 0), F.slice(pieces, F.lit(1), (first_bad - 1).cast("int"))).otherwise(pieces)
     broken = _report(contents.where(~F.is_valid_utf8(text)), root, "InvalidUtf8")
     lines = contents.select("path", "length", "modified", F.posexplode(pieces).alias("at", "raw"))
     lines = lines.select("path", "length", "modified", (F.col("at") + 1).cast("long").alias("line_number"), F.regexp_replace("raw", "\r$", "").alias("raw"))
