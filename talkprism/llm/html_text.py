@@ -268,8 +268,9 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     """(host, templates): the hashes of subtrees that recur on many pages of the host. ``pages``: host, html."""
     seen = pages.select("host", "html").mapInPandas(_census, "host string, subtree long, content long, page boolean").distinct()
     counts = seen.groupBy("host", "page", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts.where(F.col("page") | (F.col("n") >= min_pages)), "subtree-counts")
     totals = counts.where("page").select(F.col("host"), F.col("n").alias("total"))
-    common = counts.where(~F.col("page") & (F.col("n") >= min_pages)).join(totals, "host").where(F.col("n") >= min_share * F.col("total"))
+    common = counts.where(~F.col("page")).join(totals, "host").where(F.col("n") >= min_share * F.col("total"))
     return common.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
 
 
