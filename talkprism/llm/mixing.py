@@ -48,7 +48,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("left", F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0)))
     rows = rows.withColumn("weights_left", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    rows = rows.withColumn("capped", F.col("most") * F.col("weights_left") < F.col("left") * F.col("weight"))
+    # In doubles, as the products may pass 64 bits; where both sides are equal, either way gives the same target.
+    rows = rows.withColumn("capped", F.col("most").cast("double") * F.col("weights_left") < F.col("left").cast("double") * F.col("weight"))
     # left and weights_left of the first source not capped: those before it are at their caps
     first = F.min(F.when(~F.col("capped"), F.struct(F.col("most") / F.col("weight"), F.col("source").isNull(), "source", "left", "weights_left"))).over(whole)
     share = first["left"].cast("double") * F.col("weight") / first["weights_left"]
