@@ -1,7 +1,8 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed word n-grams, one of target texts and one of all texts, give
-each document a log ratio, its importance weight. Keys are log weights plus Gumbel noise drawn
+each document a log ratio, its importance weight. The models are of presence: an n-gram counts
+once a document, so copies of a document or a word it repeats can't pass for many witnesses. Keys are log weights plus Gumbel noise drawn
 from a seeded hash of doc_id; the documents with the largest keys are a sample without
 replacement in proportion to the weights.
 
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from talkprism.llm.common import materialize, words
 
-BUCKETS = 1 << 19
+BUCKETS = 1 << 20
 #: Largest number of labelled rows that the target model learns from.
 SAMPLE = 20_000
 SIGNIFICANT = 4.0
@@ -40,12 +41,12 @@ _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def features(text: str | None) -> np.ndarray:
-    """The bucket of every word and every pair of neighbouring words, A to Z in lower case."""
+    """The buckets of the text's words and pairs of neighbouring words, A to Z in lower case, each once."""
     own = [w.lower() for w in words(text)]
     ones = np.fromiter((xxhash.xxh64_intdigest(w) for w in own), dtype=np.uint64, count=len(own))
     twos = ones[:-1] * _PAIR + ones[1:]
     both = np.concatenate([ones, twos ^ (twos >> np.uint64(32))])
-    return (both % np.uint64(BUCKETS)).astype(np.int64)
+    return np.unique(both % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,9 +54,9 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text, chosen in zip(batch["text"], batch["target"], strict=True):
             at = features(text)
-            np.add.at(raw, at, 1)
+            raw[at] += 1
             if chosen:
-                np.add.at(target, at, 1)
+                target[at] += 1
     full = np.flatnonzero(raw)
     yield pd.DataFrame({"bucket": full, "raw": raw[full], "target": target[full]})
 

@@ -94,13 +94,20 @@ class Store:
         scans = [scan(self.spark, r) for r in roots]
         if not scans:
             raise CollectionUnavailable("no source is configured")
-        broken = any(not s.failures.isEmpty() or not s.truncations.isEmpty() for s in scans)
-        if broken and not partial:
-            return self.snapshot(), scans
-        records = scans[0].records
-        for s in scans[1:]:
-            records = records.unionByName(s.records)
-        return self.publish(records), scans
+        # Completeness and publication read the same parsed lines; they spill to disk where memory is short.
+        for s in scans:
+            s.lines.persist()
+        try:
+            broken = any(not s.failures.isEmpty() or not s.truncations.isEmpty() for s in scans)
+            if broken and not partial:
+                return self.snapshot(), scans
+            records = scans[0].records
+            for s in scans[1:]:
+                records = records.unionByName(s.records)
+            return self.publish(records), scans
+        finally:
+            for s in scans:
+                s.lines.unpersist()
 
 
 def changed_groups(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -40,11 +40,12 @@ class Root:
 
 @dataclass(frozen=True)
 class Scan:
-    """What a root gave: records, failures of files and lines, and caps that cut the scan."""
+    """What a root gave: records, failures of files and lines, and caps that cut the scan; ``lines`` are the parsed lines that all three come from."""
 
     records: DataFrame
     failures: DataFrame
     truncations: DataFrame
+    lines: DataFrame
 
 
 _PARSED: list[T.DataType] = []
@@ -105,7 +106,8 @@ def _report(rows: DataFrame, root: Root, reason: str, line: Column | None = None
 def scan(spark: SparkSession, root: Root) -> Scan:
     """Read a root. Files over the cap are skipped by their length alone; a line over the cap, a blank or malformed one is a failure; invalid UTF-8 ends its file."""
     found, limits = discover(spark, root), root.limits
-    ranked = found.withColumn("place", F.row_number().over(Window.partitionBy().orderBy("path")))
+    # The first files in order of their paths: at most one more than the cap is ranked.
+    ranked = found.orderBy("path").limit(limits.files + 1).withColumn("place", F.row_number().over(Window.partitionBy().orderBy("path")))
     many = _report(ranked.where(F.col("place") == limits.files + 1), root, "FileLimit")
     within = ranked.where(F.col("place") <= limits.files)
     large = _report(within.where(F.col("length") > limits.file_bytes), root, "FileBytes")
@@ -148,7 +150,7 @@ def scan(spark: SparkSession, root: Root) -> Scan:
     failures = bad.unionByName(broken)
     over = _report(failures.limit(limits.failures + 1).groupBy().agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where(F.col("n") > limits.failures), root, "ReadFailures")
     kept = failures.orderBy("path", F.col("line_number").asc_nulls_last()).limit(limits.failures)
-    return Scan(records, kept, many.unionByName(large).unionByName(long).unionByName(over))
+    return Scan(records, kept, many.unionByName(large).unionByName(long).unionByName(over), rows)
 
 
 def with_instant(records: DataFrame) -> DataFrame:

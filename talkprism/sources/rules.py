@@ -12,6 +12,7 @@ from typing import Any
 
 from talkprism.functions.timestamps import CANONICAL
 
+#: Block kinds of roles, authorship of names, payload types of calls and their outputs.
 ROLE_KIND = {"user": "UserPrompt", "system": "SystemInstruction", "tool": "ToolResult", "tool_result": "ToolResult", "toolresult": "ToolResult", "assistant": "AgentResponse"}
 AUTHOR = {
     **dict.fromkeys(("agent", "agent-authored", "agentauthored", "assistant", "tool", "subagent"), "AgentAuthored"),
