@@ -11,9 +11,10 @@ A host has at most a page's elements times 1 / MIN_SHARE templates. All template
 before they are joined to the pages: up to BROADCAST_HASHES they are broadcast and pages don't
 move; beyond, pages and templates meet by host and a salt, so a hot host is spread over tasks.
 
-Defined cases: null or empty html, or a page without main text, gives an empty text; null urls
-share one host; repeated pages count as one content; an empty table gives an empty result;
-other columns, whatever their names, are left alone.
+Defined cases: null or empty html, or a page without main text, gives an empty text; elements
+nested more than DEPTH levels deep count as siblings of the last one at that level and keep
+their text; null urls share one host; repeated pages count as one content; an empty table gives
+an empty result; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ MIN_SHARE = 0.05
 #: Hashes of templates that may be broadcast: 8 MB.
 BROADCAST_HASHES = 1_000_000
 SALTS = 64
+#: Levels of the tree, as browsers bound them too; the walks below recurse that far.
+DEPTH = 400
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
@@ -57,11 +60,11 @@ _WORD = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "article", "junk")
+    __slots__ = ("tag", "attributes", "children", "article", "junk", "digest")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.attributes, self.children = tag, attributes, []
-        self.article, self.junk = tag in ("article", "main"), False
+        self.article, self.junk, self.digest = tag in ("article", "main"), False, b""
 
 
 def _judge(node: Node) -> None:
@@ -117,6 +120,9 @@ def parse(page: str) -> Node:
                     break
         node = Node(tag, m["attributes"] or m["attributes2"] or "")
         _judge(node)
+        opens = tag not in RAW and tag not in VOID and not node.attributes.endswith("/")
+        if opens and len(stack) > DEPTH:
+            node.junk |= stack.pop().junk
         stack[-1].children.append(node)
         if tag in RAW:
             lowered = page.lower() if lowered is None else lowered
@@ -124,7 +130,7 @@ def parse(page: str) -> Node:
                 lowered = re.sub("[A-Z]", lambda c: c[0].lower(), page)
             close = lowered.find("</" + tag, at)
             at = end if close < 0 else close
-        elif tag not in VOID and not node.attributes.endswith("/"):
+        elif opens:
             stack.append(node)
     return root
 
@@ -202,20 +208,22 @@ def block_text(nodes: list[Node], templates: frozenset[int], guarded: bool) -> s
     return "\n".join(line for line in lines if line)
 
 
+def _digest(node: Node) -> bytes:
+    """Hash of an element from its tag, attributes, text (white space made equal) and the hashes of its elements; each is computed once."""
+    if not node.digest:
+        digest = xxhash.xxh64(f"<{node.tag} {' '.join(node.attributes.split())}>".encode("utf-8", "surrogatepass"), seed=7)
+        for child in node.children:
+            if isinstance(child, Node):
+                digest.update(b"\x01" + _digest(child))
+            else:
+                digest.update(b"\x00" + " ".join(child.split()).encode("utf-8", "surrogatepass") + b"\x00")
+        node.digest = digest.digest()
+    return node.digest
+
+
 def subtree_hash(node: Node) -> int:
-    """Signed 64-bit hash of an element with its attributes, text (white space made equal) and elements."""
-    digest = xxhash.xxh64(seed=7)
-    stack: list = [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            digest.update(" ".join(x.split()).encode("utf-8", "surrogatepass"))
-            digest.update(b"\x00")
-        else:
-            digest.update(f"<{x.tag} {' '.join(x.attributes.split())}>".encode("utf-8", "surrogatepass"))
-            stack.extend([f"</{x.tag}>", *reversed(x.children)])
-    value = digest.intdigest()
-    return value - (1 << 64) if value >> 63 else value
+    """Signed 64-bit hash of an element's subtree."""
+    return int.from_bytes(_digest(node), "big", signed=True)
 
 
 def subtrees(nodes: list[Node], guarded: bool) -> set[int]:
