@@ -9,9 +9,10 @@ smallest hash stands for all, which is the same in every document that holds the
 
 Documents lie in shards by a hash of doc_id; every level lists a shard's distinct window hashes
 once, so a passage in a third of all documents is at most one entry a shard. The entries meet
-in buckets by hash, which reply to the shards concerned. Shards and buckets follow the session's
-shuffle partitions; texts are shuffled once and that exchange is reused by all levels.
-Hashes have 64 bits.
+in buckets by hash, which reply to the shards concerned. Shards and buckets are as many as the
+session's shuffle partitions, and more where that leaves over SHARD_BYTES of text in a shard, so
+a task's memory doesn't grow with the table. Texts are shuffled once and that exchange is reused
+by all levels. Hashes have 64 bits.
 
 Defined cases: a null or empty text has no words; a text shorter than the window keeps all; a
 null doc_id keeps all its words and removes none elsewhere; rows of equal doc_id, repeated rows
@@ -31,6 +32,8 @@ from talkprism.llm.common import shuffle_partitions, words
 
 WINDOW = 13
 FIRST = 8
+#: Text in a shard, on average; a task holds one shard at a time.
+SHARD_BYTES = 32 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -222,9 +225,15 @@ def _two(f, **options):
     return call
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def shard_count(docs: DataFrame, text: str, shard_bytes: int) -> int:
+    """Shards, and buckets, for the text of the table."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // shard_bytes))
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row: kept has the words, joined by a space, outside windows that also start in a document of smaller doc_id."""
-    buckets = shuffle_partitions(docs.sparkSession)
+    buckets = shard_count(docs, text, shard_bytes)
     shard = F.coalesce(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(buckets)), F.lit(0)).cast("long")
     # A null doc_id would all share a shard; their texts spread them.
     shard = F.when(F.col(doc_id).isNull(), F.pmod(F.xxhash64(F.col(text)), F.lit(buckets)).cast("long")).otherwise(shard)

@@ -117,6 +117,13 @@ def test_substring_dedup(spark, awkward, small, window):
         assert len(got) == docs.count()
 
 
+def test_substring_dedup_by_small_shards(small):
+    """The number of shards follows the text and doesn't change the result."""
+    assert substring_dedup.shard_count(small, "text", 4096) > 50
+    few, many = (sorted(substring_dedup.remove_repeats(small, shard_bytes=b).collect()) for b in (1 << 30, 4096))
+    assert few == many
+
+
 def test_levels_double():
     for w in (1, 8, 9, 13, 50, 200):
         steps = substring_dedup.levels(w)
@@ -319,6 +326,8 @@ PAGES = [
     ("", ""),
     (None, ""),
     ("<!-- a --><ul><li>1<li>2</ul> 3 < 4 <", "1\n2\n3 < 4 <"),
+    ("<article>a" + "<div>" * 5000 + "deep" + "</div>" * 5000 + "</article>", "a\ndeep"),
+    ("<body>" + "<b>x" * 3000 + "<nav>" + "<div>menu" * 3000, "x" * 3000),
 ]
 
 
