@@ -23,6 +23,7 @@ Offsets are code points, end exclusive.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ FDR = 0.01
 #: Upper ends of the classes of length, and the number of bins of T (one nat each, the last open).
 LENGTHS = (24, 32, 48, 64, 128)
 BINS = 200
+#: Values in a chunk of the running sums.
+CHUNK = 128
 #: Letters of ordinary text, per mille, a to z.
 LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
 _LOWER, _UPPER, _DIGIT, _SIGN = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_=-"
@@ -60,22 +63,38 @@ ENCODINGS = (
 _STAY, _MOVE = math.log(0.9), math.log(0.1 / 3)
 
 
+def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is computed once: a lambda variable stands for it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def running_sums(values: Column) -> Column:
+    """The sum of the values up to each one, by chunks: an array that grows is copied at every step. ``values`` must be a lambda variable."""
+    total = lambda v: F.aggregate(v, F.lit(0), lambda acc, x: acc + x)
+
+    def sums(v: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast("array<int>").alias("sums"))
+        return F.aggregate(v, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["sums"], F.array(acc["at"] + x)).alias("sums")))["sums"]
+
+    last = F.floor(F.size(values) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * CHUNK + 1, CHUNK))
+    return _bind(
+        chunks,
+        lambda parts: _bind(sums(F.transform(parts, total), F.lit(0)), lambda ends: F.flatten(F.zip_with(parts, ends, lambda part, end: sums(part, end - total(part))))),
+    )
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, match), leftmost and non-overlapping: the pieces between the matches give the offsets."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(
-        F.transform(F.split(text, pattern, -1), F.length),
-        F.transform(found, F.length),
-        lambda gap, size: F.struct(F.coalesce(gap, F.lit(0)).alias("gap"), F.coalesce(size, F.lit(0)).alias("size")),
-    )
-    starts = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts")),
-    )["starts"]
-    pairs = F.zip_with(F.slice(starts, 1, F.size(found)), found, lambda start, match: F.struct(start.alias("start"), match.alias("match")))
-    none = F.array().cast("array<struct<start:int,match:string>>")
-    return F.when(F.size(found) > 0, pairs).otherwise(none)
+
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.size(found))
+        steps = F.zip_with(gaps, found, lambda gap, match: gap + F.length(match))
+        pairs = F.zip_with(_bind(steps, running_sums), found, lambda end, match: F.struct((end - F.length(match)).alias("start"), match.alias("match")))
+        none = F.array().cast("array<struct<start:int,match:string>>")
+        return F.when(F.size(found) > 0, pairs).otherwise(none)
+
+    return _bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -112,12 +131,10 @@ def battery(run: Column) -> Column:
 
     ``run`` must be a lambda variable or a plain column; each step below is bound once, by transform over an array of one.
     """
-    bind = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
-
     def of(v: Column) -> Column:
         n, k = F.size(v["chars"]).cast("double"), F.length(v["alphabet"]).cast("double")
         x = F.transform(v["chars"], lambda c: (F.call_function("locate", c, v["alphabet"]) - 1).cast("double"))
-        return bind(F.struct(v["run"].alias("run"), v["chars"].alias("chars"), n.alias("n"), k.alias("k"), x.alias("x")), tests)
+        return _bind(F.struct(v["run"].alias("run"), v["chars"].alias("chars"), n.alias("n"), k.alias("k"), x.alias("x")), tests)
 
     def tests(v: Column) -> Column:
         n, k, x = v["n"], v["k"], v["x"]
@@ -129,7 +146,7 @@ def battery(run: Column) -> Column:
         high = F.aggregate(x, F.lit(0.0), lambda acc, y: acc + F.when(y >= k / 2, 1.0).otherwise(0.0))
         turns = F.aggregate(F.zip_with(before, after, lambda a, b: F.when((a >= k / 2) != (b >= k / 2), 1.0).otherwise(0.0)), F.lit(1.0), add)
         parts = F.struct(chi.alias("chi"), mean.alias("mean"), high.alias("high"), turns.alias("turns"), before.alias("before"), after.alias("after"), x.alias("x"), n.alias("n"), k.alias("k"), v["chars"].alias("chars"))
-        return bind(parts, combine)
+        return _bind(parts, combine)
 
     def combine(v: Column) -> Column:
         n, both = v["n"], 2 * v["high"] * (v["n"] - v["high"])
@@ -141,7 +158,7 @@ def battery(run: Column) -> Column:
         ratio = -n * F.log(v["k"]) - _null_likelihood(v["chars"])
         return F.struct((v["chi"] * v["chi"] + runs + serial).alias("statistic"), ratio.alias("ratio"))
 
-    return bind(F.struct(run.alias("run"), F.split(run, "").alias("chars"), _alphabet(run).alias("alphabet")), of)
+    return _bind(F.struct(run.alias("run"), F.split(run, "").alias("chars"), _alphabet(run).alias("alphabet")), of)
 
 
 def _length_class(run: Column) -> Column:

@@ -62,6 +62,13 @@ def test_secret_base(request, table):
     assert by_text([tuple(r) for r in found.collect()]) == by_text(want)
 
 
+def test_offsets_of_many_matches(spark):
+    """Counts of matches below, at and above the chunks of the running sums."""
+    rows = [(n, " ".join(f"é{i:032x}" + " token=abcdefgh" * (i % 3) for i in range(n))) for n in (1, 127, 128, 129, 256, 2000)]
+    found = secret_scan.with_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", secret_scan.spans_text(F.col("base_spans")).alias("line"))
+    assert by_text([tuple(r) for r in found.collect()]) == by_text([(k, t, brute.secret_base(t)[4]) for k, t in rows])
+
+
 def test_secret_battery_finds_random_runs_and_no_words(spark):
     rng = np.random.default_rng(5)
     alphabet = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
