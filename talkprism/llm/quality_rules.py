@@ -3,7 +3,8 @@
 Every text is cut into words; rolling hashes of several n-gram lengths, computed with numpy
 over the whole text, tell which words lie inside an n-gram that occurs twice or more. The
 share of the text's characters inside such n-grams and inside repeated lines is held against
-one limit for each length.
+one limit for each length; so is the share inside occurrences after the first, which tells a
+passage quoted once more from one that comes again and again.
 
 Defined cases: a null text counts as empty; an empty text has zeros throughout and fails (too
 few words); rows are judged one by one, so ties, repeated rows and other columns don't matter.
@@ -29,15 +30,18 @@ BASE_PERCENT = 20
 #: passage quoted twice in a short text covers up to a fifth of it; that alone must not reject it.
 NGRAM_LIMITS = {5: 0.27, 6: 0.26, 7: 0.25, 8: 0.24, 9: 0.23, 10: 0.22}
 LINE_LIMIT = 0.22
+#: Largest share of characters inside occurrences after the first. A passage that occurs twice has half of its
+#: coverage there, so within the base rule it stays; one that occurs three times or more has two thirds or more.
+AGAIN_LIMITS = {5: 0.11, 6: 0.108, 7: 0.106, 8: 0.104, 9: 0.102, 10: 0.1}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_chars_{n}" for n in NGRAM_LIMITS))
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_chars_{n}" for n in NGRAM_LIMITS), *(f"again_chars_{n}" for n in AGAIN_LIMITS))
 
 
-def covered_words(hashes: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """For each n, a mask of the words inside an n-gram that occurs at least twice. A length without repeats ends the search: no longer n-gram can repeat."""
+def covered_words(hashes: np.ndarray, sizes: tuple[int, ...]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each n, masks of the words inside an n-gram that occurs at least twice, and inside its occurrences after the first. A length without repeats ends the search: no longer n-gram can repeat."""
     total = len(hashes)
-    out = {n: np.zeros(total, dtype=bool) for n in sizes}
+    out = {n: (np.zeros(total, dtype=bool),) * 2 for n in sizes}
     rolling, length = hashes.copy(), 1
     for n in sorted(sizes):
         if total <= n:
@@ -49,21 +53,26 @@ def covered_words(hashes: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.nd
         equal = rolling[order[1:]] == rolling[order[:-1]]
         if not equal.any():
             break
-        starts = np.zeros(total + 1, dtype=np.int64)
-        repeated = np.unique(np.concatenate([order[1:][equal], order[:-1][equal]]))
-        starts[repeated] += 1
-        starts[repeated + n] -= 1
-        out[n] = np.cumsum(starts)[:total] > 0
+        later = order[1:][equal]  # the sort is stable: of equal n-grams the first in the text comes first
+        out[n] = _inside(np.union1d(later, order[:-1][equal]), n, total), _inside(later, n, total)
     return out
 
 
+def _inside(at: np.ndarray, n: int, total: int) -> np.ndarray:
+    """A mask of the words inside the n-grams that start at the distinct places ``at``."""
+    starts = np.zeros(total + 1, dtype=np.int64)
+    starts[at] += 1
+    starts[at + n] -= 1
+    return np.cumsum(starts)[:total] > 0
+
+
 def repetition_stats(text: str | None) -> tuple[int, ...]:
     """The numbers of STATS for one text."""
     tokens = words(text)
     sizes = tuple(NGRAM_LIMITS)
     if not tokens:
         symbols = sum(text.count(c) for c in SYMBOLS) if text else 0
-        return (0, 0, symbols, *[0] * (3 + len(sizes)))
+        return (0, 0, symbols, *[0] * (3 + 2 * len(sizes)))
     word_chars = len(text) - sum(text.count(c) for c in SPACES)
     n_symbols = sum(text.count(c) for c in SYMBOLS)
     seen, dup_lines, dup_line_chars = set(), 0, 0
@@ -76,15 +85,14 @@ def repetition_stats(text: str | None) -> tuple[int, ...]:
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in tokens), dtype=np.uint64, count=len(tokens))
     masks = covered_words(hashes, sizes)
     chars = None
-    dup_chars = []
+    dup_chars, again_chars = [], []
     for n in sizes:
-        if masks[n].any():
-            if chars is None:
-                chars = np.fromiter((len(w.decode("utf-8", "surrogatepass")) for w in tokens), dtype=np.int64, count=len(tokens))
-            dup_chars.append(int(chars[masks[n]].sum()))
-        else:
-            dup_chars.append(0)
-    return (len(tokens), word_chars, n_symbols, dup_lines, int(masks[BASE_N].sum()), dup_line_chars, *dup_chars)
+        repeated, later = masks[n]
+        if chars is None and repeated.any():
+            chars = np.fromiter((len(w.decode("utf-8", "surrogatepass")) for w in tokens), dtype=np.int64, count=len(tokens))
+        dup_chars.append(int(chars[repeated].sum()) if repeated.any() else 0)
+        again_chars.append(int(chars[later].sum()) if repeated.any() else 0)
+    return (len(tokens), word_chars, n_symbols, dup_lines, int(masks[BASE_N][0].sum()), dup_line_chars, *dup_chars, *again_chars)
 
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in STATS]))
@@ -101,6 +109,8 @@ def verdict(q: Column) -> Column:
     kept = ~base_failed(q) & (q["dup_line_chars"] <= LINE_LIMIT * q["word_chars"])
     for n, limit in NGRAM_LIMITS.items():
         kept = kept & (q[f"dup_chars_{n}"] <= limit * q["word_chars"])
+    for n, limit in AGAIN_LIMITS.items():
+        kept = kept & (q[f"again_chars_{n}"] <= limit * q["word_chars"])
     return kept
 
 

@@ -157,6 +157,20 @@ def test_repetition_coverage_by_characters():
             assert stats[f"dup_chars_{n}"] == sum(len(w[j]) for j in inside)
 
 
+def test_repeats_after_the_first_reject_beyond_the_base_rule(spark):
+    """A passage of 18 % of the words passes the base rule; it stays as two occurrences and goes as six."""
+    own = [f"own{i:04d}" for i in range(400)]
+    passage = lambda n: [f"rep{i:04d}" for i in range(n)]
+    twice = [*passage(36), *own[:164], *passage(36), *own[164:328]]
+    often = [w for k in range(6) for w in (*passage(12), *own[k * 55 : k * 55 + 55])]
+    docs = spark.createDataFrame([(1, " ".join(twice)), (2, " ".join(often)), (3, " ".join(own))], "doc_id long, text string")
+    q = F.col("repetition")
+    rows = quality_rules.with_repetition(docs).select("doc_id", "repetition.*", quality_rules.base_failed(q).alias("failed")).collect()
+    assert not any(r["failed"] for r in rows)
+    assert [(r["dup_chars_10"], r["again_chars_10"]) for r in rows] == [(504, 252), (504, 420), (0, 0)]
+    assert {r["doc_id"] for r in quality_rules.reject_repetitive(docs).collect()} == {1, 3}
+
+
 @pytest.mark.parametrize("table", ["small", "awkward", "empty"])
 @pytest.mark.parametrize("crowd", [128, 0])
 def test_simhash(request, monkeypatch, table, crowd):
