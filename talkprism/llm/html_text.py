@@ -2,10 +2,12 @@
 
 Pages are parsed in Spark tasks into element trees. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments are recognised by element, role, class or id. On
-top, every element subtree outside the article, and every container inside it, is hashed and
+top, every element of the page, inside articles and outside, is hashed with its subtree and
 counted per host in Spark, over pages of different content; what recurs on many pages of a host
-is template and is deleted. Paragraphs and headings of an article are never template: copies of
-an article on one host keep their text.
+is template and is deleted before the main text is chosen. Elements inside a run of text (a bold
+word) stay with their paragraph. Copies of an article keep their text: exact copies are one
+content, and inside articles near copies are mostly one too, as contents are told apart there by
+the least hash of their word triples.
 
 A host has at most a page's elements times 1 / MIN_SHARE templates. All templates are counted
 before they are joined to the pages: up to BROADCAST_HASHES they are broadcast and pages don't
@@ -23,6 +25,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -44,7 +47,6 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINERS = frozenset("aside details div figure footer form header nav ol section table ul".split())
 DROPPED = frozenset("nav aside footer form script style textarea title noscript iframe template head button select input svg canvas menu dialog object embed audio video map xmp noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Words in class or id that name what is not the article.
@@ -57,6 +59,7 @@ _BOUNDARY = frozenset("article aside body div footer header html main nav ol sec
 _TAG = re.compile(r"""<(?:!--(?P<comment>.*?(?:--!?>|\Z))|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|[!?/][^>]*(?:>|\Z)|(?P<close2>/)?(?P<name2>[a-zA-Z][^\s/>]*)(?P<attributes2>[^>]*)>)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"[a-z0-9]+")
+_TRIPLE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Node:
@@ -177,7 +180,7 @@ def main_nodes(root: Node) -> tuple[list[Node], bool]:
     return [_first(root, lambda n: n.tag == "body") or root], False
 
 
-def _text(node: Node, blocks: list[list[str]], templates: frozenset[int], guarded: bool) -> None:
+def _text(node: Node, blocks: list[list[str]], guarded: bool) -> None:
     for child in node.children:
         if not isinstance(child, Node):
             blocks[-1].append(child)
@@ -187,22 +190,17 @@ def _text(node: Node, blocks: list[list[str]], templates: frozenset[int], guarde
             block = child.tag in BLOCKS
             if block:
                 blocks.append([])
-            drop = child.junk or child.tag == "header" and not guarded
-            if not drop and not (templates and _may_go(child, guarded) and subtree_hash(child) in templates):
-                _text(child, blocks, templates, guarded)
+            if not (child.junk or child.tag == "header" and not guarded):
+                _text(child, blocks, guarded)
             if block:
                 blocks.append([])
 
 
-def _may_go(node: Node, guarded: bool) -> bool:
-    return node.tag in CONTAINERS or not guarded
-
-
-def block_text(nodes: list[Node], templates: frozenset[int], guarded: bool) -> str:
+def block_text(nodes: list[Node], guarded: bool) -> str:
     blocks: list[list[str]] = [[]]
     for node in nodes:
         blocks.append([])
-        _text(node, blocks, templates, guarded)
+        _text(node, blocks, guarded)
         blocks.append([])
     lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks if b)
     return "\n".join(line for line in lines if line)
@@ -226,27 +224,58 @@ def subtree_hash(node: Node) -> int:
     return int.from_bytes(_digest(node), "big", signed=True)
 
 
-def subtrees(nodes: list[Node], guarded: bool) -> set[int]:
-    """Hashes of the subtrees that may be template: each element outside an article, containers inside."""
-    out: set[int] = set()
+def _standing(node: Node) -> list[Node]:
+    """The child elements that may be template: blocks, and others that stand alone between blocks."""
+    own = [c for c in node.children if isinstance(c, Node) or c.strip()]
+    block = [isinstance(c, Node) and c.tag in BLOCKS for c in own]
+    ends = [True, *block, True]
+    return [c for i, c in enumerate(own) if isinstance(c, Node) and c.tag not in VOID and not c.junk and (block[i] or ends[i] and ends[i + 2])]
+
 
-    def walk(node: Node) -> None:
+def subtrees(root: Node, articles: list[Node]) -> dict[int, bool]:
+    """Hashes of the subtrees that may be template, and whether each lies inside one of ``articles`` (else it is one or lies outside)."""
+    out: dict[int, bool] = {}
+    starts = {id(n) for n in articles}
+
+    def walk(node: Node, inside: bool) -> None:
+        inside = inside or id(node) in starts
+        for child in _standing(node):
+            out[subtree_hash(child)] = inside
         for child in node.children:
             if isinstance(child, Node) and not child.junk:
-                if child.tag not in VOID and _may_go(child, guarded):
-                    out.add(subtree_hash(child))
-                walk(child)
+                walk(child, inside)
 
-    for node in nodes:
-        walk(node)
+    walk(root, False)
     return out
 
 
+def _prune(node: Node, templates: frozenset[int]) -> None:
+    gone = {id(c) for c in _standing(node) if subtree_hash(c) in templates}
+    # A block that goes still parts the text around it.
+    node.children = [Node("hr") if id(c) in gone else c for c in node.children]
+    for child in node.children:
+        if isinstance(child, Node) and not child.junk:
+            _prune(child, templates)
+
+
+def sketch(text: str) -> int:
+    """The least hash of the text's word triples: near copies mostly share it, texts with some lines in common seldom do."""
+    own = text.encode("utf-8", "surrogatepass").split()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in own), dtype=np.uint64, count=len(own))
+    if len(hashes) > 2:
+        hashes = (hashes[:-2] * _TRIPLE + hashes[1:-1]) * _TRIPLE + hashes[2:]
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * _TRIPLE
+    return int(hashes.min(initial=np.uint64(2**64 - 1))) >> 1
+
+
 def extract(page: str | None, templates: frozenset[int] = frozenset()) -> str:
     if not page:
         return ""
-    nodes, guarded = main_nodes(parse(page))
-    return block_text(nodes, templates, guarded)
+    root = parse(page)
+    if templates:
+        _mark_articles(root)
+        _prune(root, templates)
+    return block_text(*main_nodes(root))
 
 
 def _census(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,11 +284,13 @@ def _census(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for host, page in zip(batch["host"], batch["html"], strict=True):
             if not page:
                 continue
-            nodes, guarded = main_nodes(parse(page))
-            content = xxhash.xxh64_intdigest(block_text(nodes, frozenset(), guarded)) >> 1
-            rows.append((host, 0, content, True))
-            rows += [(host, h, content, False) for h in subtrees(nodes, guarded)]
-        yield pd.DataFrame(rows, columns=["host", "subtree", "content", "page"])
+            root = parse(page)
+            nodes, guarded = main_nodes(root)
+            text = block_text(nodes, guarded)
+            contents = xxhash.xxh64_intdigest(text) >> 1, sketch(text)
+            rows += [(host, 0, contents[inside], inside, True) for inside in (False, True)]
+            rows += [(host, h, contents[inside], inside, False) for h, inside in subtrees(root, nodes if guarded else []).items()]
+        yield pd.DataFrame(rows, columns=["host", "subtree", "content", "inside", "page"])
 
 
 def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,12 +305,12 @@ def host_of(url: Column) -> Column:
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, templates): the hashes of subtrees that recur on many pages of the host. ``pages``: host, html."""
-    seen = pages.select("host", "html").mapInPandas(_census, "host string, subtree long, content long, page boolean").distinct()
-    counts = seen.groupBy("host", "page", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    seen = pages.select("host", "html").mapInPandas(_census, "host string, subtree long, content long, inside boolean, page boolean").distinct()
+    counts = seen.groupBy("host", "inside", "page", "subtree").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts.where(F.col("page") | (F.col("n") >= min_pages)), "subtree-counts")
-    totals = counts.where("page").select(F.col("host"), F.col("n").alias("total"))
-    common = counts.where(~F.col("page")).join(totals, "host").where(F.col("n") >= min_share * F.col("total"))
-    return common.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+    totals = counts.where("page").select("host", "inside", F.col("n").alias("total"))
+    common = counts.where(~F.col("page")).join(totals, ["host", "inside"]).where(F.col("n") >= min_share * F.col("total"))
+    return common.groupBy("host").agg(F.collect_set("subtree").alias("templates"))
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:

@@ -371,6 +371,19 @@ def test_site_templates_go_and_copies_stay(spark, monkeypatch, broadcast):
     assert got[3] == "Own words 3" and got[103] == "T\nCopied"
 
 
+def test_recurring_elements_inside_articles_go_and_near_copies_stay(spark):
+    note, promo = "<p>Subscribe to our letter</p>", "<span>Sale ends soon</span>"
+    rows = [(i, "https://a.example/x", f"<div>Top bar</div><article><h1>Title {i}</h1>{promo}<p>Own <b>bold</b> words number {i} of this page {i * i}</p>{note}<p>end {i} of it</p></article>") for i in range(40)]
+    body = "".join(f"<p>Paragraph {k} of a long text with words w{k} and v{k}</p>" for k in range(40))
+    rows += [(100 + i, "https://b.example/x", f"<article>{body}<p>copy {i}</p></article>") for i in range(15)]
+    rows += [(200 + i, "https://b.example/x", f"<article><p>Text {i} with other words</p></article>") for i in range(15)]
+    rows += [(300 + i, "https://c.example/x", f"<article><p>Teaser of all</p></article><article><p>Text {i} alone</p></article>") for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3\nOwn bold words number 3 of this page 9\nend 3 of it"
+    assert got[104].count("\n") == 40 and got[205] == "Text 5 with other words"
+    assert got[307] == "Text 7 alone"
+
+
 def test_generated_pages(spark):
     import html
 
