@@ -329,6 +329,16 @@ def test_quality_classifier(spark, awkward, empty):
     assert quality_classifier.resample(empty, labels).count() == 0
 
 
+def test_every_bucket_has_a_shrunk_ratio(spark):
+    """A word that the target lacks counts where 14 were expected; one seen once, in the target, hardly does."""
+    rows = [(i, f"some plain words once{i}" if i < 20 else "some plain words bad") for i in range(62)]
+    rows += [(100, "bad"), (101, "once3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    weight = {r["doc_id"]: r["log_weight"] for r in quality_classifier.resample(docs, labels, share=1.0).collect()}
+    assert weight[100] < -1 and 0 < weight[101] < 0.05
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(8)
     for values in (rng.normal(size=5000).tolist(), [1.0] * 3000, [*rng.normal(size=50), *[0.25] * 3000]):
