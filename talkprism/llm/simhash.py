@@ -127,3 +127,16 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """One row of each group, that of the smallest doc_id, with the columns of ``docs``. Rows with an equal or a null doc_id stay unless another row names their group."""
     keep = near_duplicates(docs, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias(free_name(docs, "gone"))).distinct()
     return docs.join(keep, docs[doc_id] == keep[keep.columns[0]], "left_anti")
+
+
+def one_row_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Exactly one row of each group, with the columns of ``docs``: that of the smallest doc_id, nulls last; of rows with an equal or no doc_id, one."""
+    number = free_name(docs, "number")
+    # Written once, so a row's number is the same wherever it is read.
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(number).alias("number"))
+    fps = materialize(numbered.select(order.alias("first"), _fingerprints(F.col(text)).alias("fp")), "fingerprints")
+    firsts = materialize(fps.groupBy("fp").agg(F.min("first").alias("first")), "fingerprint-firsts")
+    named = fingerprint_groups(firsts.select("fp")).join(firsts, "fp")
+    winners = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.number").alias(number))
+    return numbered.join(winners, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

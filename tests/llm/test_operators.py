@@ -203,6 +203,17 @@ def test_keep_one(awkward):
     assert 7 in ids and 8 not in ids and ids.count(2) == 2 and ids.count(None) == 2 and not {4, 5} & set(ids)
 
 
+def test_one_row_each(spark, awkward, empty):
+    kept = simhash.one_row_each(awkward)
+    assert kept.columns == awkward.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    groups = {r["component_id"] for r in simhash.near_duplicates(awkward).collect()}
+    assert len(ids) == len(groups) and ids.count(2) == 1 and ids.count(None) == 1 and 3 in ids
+    assert simhash.one_row_each(empty).count() == 0
+    copies = spark.createDataFrame([(None, "a text without any id")] * 3 + [(5, LONG)] * 4 + [(None, LONG)], "doc_id long, text string")
+    assert by_text([r["doc_id"] for r in simhash.one_row_each(copies.repartition(5)).collect()]) == by_text([None, 5])
+
+
 def test_decontamination(spark, small, awkward, empty):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(small, items).collect()}
