@@ -40,7 +40,7 @@ PATTERN = re.compile(
     |(?P<date>(?<![\w.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![\w]|\.[0-9]))
     |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))
     |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w]|-[0-9]))
-    |(?P<card>(?<![\w.+-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\w]|[\x20-][0-9]))
+    |(?P<card>(?<![\w.+-])[0-9](?:[\x20-]?[0-9]){12,}(?!\w))
     |(?P<phone>(?<![\w.+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{3,4}[\x20.-]?[0-9]{3,4}(?:[\x20.-][0-9]{2,4})?(?![\w]|-[0-9])|(?<!\w)\+[0-9]{8,15}(?!\w))
     """,
     re.X,
@@ -94,13 +94,58 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if c in "0123456789")
 
 
-def _card(text: str, key: bytes, inverse: bool) -> str | None:
-    d = _digits(text)
-    if not 13 <= len(d) <= 19 or not luhn(d) or not d.strip("0"):
+#: Group sizes in which cards are written; they are preferred to other readings of a digit run.
+_LAYOUTS = frozenset({(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), *((n,) for n in range(13, 20))})
+
+
+def _reading(d: str, ends: list[int], g: int) -> int | None:
+    """The group at which a card that starts with group ``g`` of the digits ends (exclusive), or None. ``ends``: 0 and where each group ends."""
+
+    def valid(i: int, known: bool) -> int | None:
+        for j in range(len(ends) - 1, i, -1) if len(ends) - i < 20 else range(i + 19, i, -1):
+            own = d[ends[i] : ends[j]]
+            layout = tuple(b - a for a, b in zip(ends[i:j], ends[i + 1 : j + 1], strict=True)) in _LAYOUTS
+            if 13 <= len(own) <= 19 and layout == known and luhn(own) and own.strip("0"):
+                return j
         return None
-    n = len(d) - 2  # the first digit stays, the last makes the sum right
-    body = f"{walk(int(d[1:-1]), 10**n, lambda x: bool(x or d[0] != '0'), key, f'card{n}{d[0]}', inverse):0{n}d}"
-    return _refill(text, next(d[0] + body + c for c in "0123456789" if luhn(d[0] + body + c)))
+
+    found = valid(g, True)
+    if found is None and (found := valid(g, False)) is not None and any(valid(i, True) for i in range(g + 1, found)):
+        return None
+    return found
+
+
+def _cards(text: str, key: bytes, inverse: bool) -> tuple[str, int, int]:
+    """A digit run with its cards replaced, their number and the end of the last one.
+
+    Every group may start a card and every later one end it. A pseudonym after which the run
+    would be read otherwise is walked past, so the new run has its cards in the same places.
+    """
+    ends = [0]
+    for group in re.findall("[0-9]+", text):
+        ends.append(ends[-1] + len(group))
+    d, g, read = _digits(text), 0, []
+    while g < len(ends) - 1:
+        read.append((g, _reading(d, ends, g)))
+        g = read[-1][1] or g + 1
+    found = [(k, a, b) for k, (a, b) in enumerate(read) if b]
+    for k, a, b in reversed(found) if inverse else found:
+        i, j = ends[a], ends[b]
+        n = j - i - 2  # the first digit stays, the last makes the sum right
+        near = k
+        while near and ends[read[near - 1][0]] > i - 38:  # a reading looks at most two cards ahead
+            near -= 1
+
+        def whole(x: int) -> str:
+            body = f"{d[i]}{x:0{n}d}"  # noqa: B023
+            return d[:i] + next(body + c for c in "0123456789" if luhn(body + c)) + d[j:]  # noqa: B023
+
+        def fits(x: int) -> bool:
+            return bool(x or d[i] != "0") and all(_reading(whole(x), ends, s) == e for s, e in read[near : k + 1])  # noqa: B023
+
+        d = whole(walk(int(d[i + 1 : j - 1]), 10**n, fits, key, f"card{n}{d[i]}", inverse))
+    places = [m.end() for m in re.finditer("[0-9]+", text)]
+    return _refill(text, d), len(found), places[found[-1][2] - 1] if found else len(text)
 
 
 def _iban(text: str, key: bytes, inverse: bool) -> str | None:
@@ -164,20 +209,29 @@ def _email(text: str, key: bytes, inverse: bool) -> str | None:
 
 def _date(text: str, key: bytes, inverse: bool) -> str | None:
     sign = text[4] if text[4] in "-/" else text[2]
-    day_first = text[4] not in "-/"
-    kind = ("%d" if sign != "/" else "%m") + sign + ("%m" if sign != "/" else "%d") + sign + "%Y" if day_first else f"%Y{sign}%m{sign}%d"
+    orders = [f"%Y{sign}%m{sign}%d"] if text[4] in "-/" else [f"%d{sign}%m{sign}%Y", f"%m{sign}%d{sign}%Y"][:: -1 if sign == "/" else 1]
+    size = _DAYS[1] - _DAYS[0] + 1
+    for k, kind in enumerate(orders):
+        x = _day(text, kind)
+        if x is None or not 0 <= x < size:
+            continue
+        # In the second order only dates that the first can't read, so the order found is found again.
+        fits = lambda x: not k or _day(datetime.date.fromordinal(x + _DAYS[0]).strftime(kind), orders[0]) is None  # noqa: B023, E731
+        return datetime.date.fromordinal(walk(x, size, fits, key, "date", inverse) + _DAYS[0]).strftime(kind)
+    return None
+
+
+def _day(text: str, kind: str) -> int | None:
     try:
-        x = datetime.datetime.strptime(text, kind).date().toordinal() - _DAYS[0]
+        return datetime.datetime.strptime(text, kind).date().toordinal() - _DAYS[0]
     except ValueError:
         return None
-    size = _DAYS[1] - _DAYS[0] + 1
-    if not 0 <= x < size:
-        return None
-    return datetime.date.fromordinal(permute(x, size, key, "date", inverse) + _DAYS[0]).strftime(kind)
 
 
-_MAKERS = {"email": _email, "iban": _iban, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date}
+_MAKERS = {"email": _email, "iban": _iban, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date}
 _HINT = re.compile("[0-9@]")
+_GROUP = re.compile(r"\W?\w+")
+_INNER = re.compile(r"(?<![\w.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}-[0-9]{2}-[0-9]{4}|(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w]|-[0-9])")
 
 
 def pseudonymise(text: str | None, key: bytes = KEY, inverse: bool = False) -> tuple[str | None, dict[str, int]]:
@@ -186,14 +240,26 @@ def pseudonymise(text: str | None, key: bytes = KEY, inverse: bool = False) -> t
     if not text or not _HINT.search(text):
         return text, counts
 
-    def new(m: re.Match) -> str:
-        value = _MAKERS[m.lastgroup](m[0], key, inverse)
-        if value is None:
-            return m[0]
-        counts[m.lastgroup] += 1
-        return value
-
-    return PATTERN.sub(new, text), counts
+    out, done = [], 0
+    while m := PATTERN.search(text, done):
+        kind, start, end = m.lastgroup, m.start(), m.end()
+        if kind == "card":
+            inner = _INNER.search(text, start, end)  # a date or number of another format ends the run
+            end = inner.start() - 1 if inner and inner.start() > start else end
+            value, n, last = _cards(text[start:end], key, inverse)
+            counts["card"] += n
+            out += [text[done:start], value[:last]]
+            done = start + last
+            continue
+        value = _MAKERS[kind](m[0], key, inverse)
+        if value is not None:
+            counts[kind] += 1
+        else:  # what follows the first group may be valid
+            end = _GROUP.match(text, start).end()
+            value = text[start:end]
+        out += [text[done:start], value]
+        done = end
+    return "".join([*out, text[done:]]), counts
 
 
 def reveal(text: str | None, key: bytes = KEY) -> str | None:

@@ -430,6 +430,20 @@ def test_pseudonyms_keep_format_and_invert():
         assert pii.pseudonymise(t)[0] == t
 
 
+def test_pseudonyms_of_values_next_to_other_digits():
+    card = "4111 1111 1111 1111"
+    texts = ["7536784127813050 4845168114407329", f"{card} 12/25/2023", f"12 {card}", f"{card} 123.50", f"1234 {card} 99", f"12-25-2023 {card}", "25/12/2023", "12-25-2023"]
+    for t in texts:
+        new, n = pii.pseudonymise(t)
+        assert sum(n.values()) >= 1 and pii.reveal(new) == t and card not in new and "7536784127813050" not in new
+        assert re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", t)
+    assert pii.pseudonymise(texts[1])[1]["card"] == pii.pseudonymise(texts[1])[1]["date"] == 1
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        t = " ".join("".join(rng.choice(list("0123456789"), rng.integers(1, 7))) for _ in range(rng.integers(4, 14)))
+        assert pii.reveal(pii.pseudonymise(t)[0]) == t or pii.pseudonymise(t)[1]["phone"]
+
+
 def test_feistel_is_a_permutation():
     for size in (2, 10, 97, 1000):
         image = [pii.permute(x, size, b"k", "t") for x in range(size)]
