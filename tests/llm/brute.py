@@ -38,6 +38,31 @@ def rule_base(text):
     return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), lines, len(covered)
 
 
+def rule_verdict(text, ngram_limits, again_limits, line_limit):
+    """False if the base rule or a limit on the characters in repeats rejects the text."""
+    w = words(text)
+    n_words, chars, _, _, repeated = rule_base(text)
+    if n_words < 10 or 100 * repeated > 20 * n_words:
+        return False
+    seen, in_lines = set(), 0
+    for line in text.split("\n"):
+        if words(line):
+            in_lines += len("".join(words(line))) if line in seen else 0
+            seen.add(line)
+    kept = in_lines <= line_limit * chars
+    for n in ngram_limits:
+        grams = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+        times, met, every, again = Counter(grams), set(), set(), set()
+        for i, g in enumerate(grams):
+            if times[g] > 1:
+                every |= set(range(i, i + n))
+                again |= set(range(i, i + n)) if g in met else set()
+            met.add(g)
+        kept &= sum(len(w[j]) for j in every) <= ngram_limits[n] * chars
+        kept &= sum(len(w[j]) for j in again) <= again_limits[n] * chars
+    return kept
+
+
 def fingerprint(text):
     w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:

@@ -147,6 +147,42 @@ def test_quality_rules(request, table):
     assert quality_rules.reject_repetitive(docs).columns == docs.columns
 
 
+def _kept(docs):
+    q = F.col("repetition")
+    return {(r["doc_id"], r["text"]): r["kept"] for r in quality_rules.with_repetition(docs).select("doc_id", "text", quality_rules.verdict(q).alias("kept")).collect()}
+
+
+@pytest.mark.parametrize("table", ["small", "awkward", "empty"])
+def test_quality_verdict(request, table):
+    docs = request.getfixturevalue(table)
+    limits = quality_rules.NGRAM_LIMITS, quality_rules.AGAIN_LIMITS, quality_rules.LINE_LIMIT
+    assert _kept(docs) == {(k, t): brute.rule_verdict(t, *limits) for k, t in pairs(docs)}
+
+
+def test_quality_verdict_on_made_repeats(spark):
+    """Texts of all grades of repetition, by short and long phrases, shuffled and in order."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(400):
+        n, share = int(rng.integers(1, 12)), rng.random() * 0.5
+        phrases = [[f"p{a}{b}" * int(rng.integers(1, 4)) for b in range(n)] for a in range(int(rng.integers(1, 6)))]
+        out = []
+        while len(out) < 120:
+            out += phrases[int(rng.integers(0, len(phrases)))] if rng.random() < share else [f"own{len(out)}x{k}" for _ in range(n)]
+            out += ["\n"] if rng.random() < 0.1 else []
+        rows.append((k, " ".join(out)))
+    limits = quality_rules.NGRAM_LIMITS, quality_rules.AGAIN_LIMITS, quality_rules.LINE_LIMIT
+    want = {(k, t): brute.rule_verdict(t, *limits) for k, t in rows}
+    assert _kept(spark.createDataFrame(rows, "doc_id long, text string")) == want and 50 < sum(want.values()) < 350
+
+
+def test_stammering_text_passes_the_base_rule_and_goes(spark):
+    rows = [(1, " ".join(w for i in range(8) for w in [f"word{i}"] * 5)), (2, " ".join(f"word{i}" for i in range(40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    failed = quality_rules.with_repetition(docs).select(quality_rules.base_failed(F.col("repetition"))).collect()
+    assert not any(r[0] for r in failed) and [r["doc_id"] for r in quality_rules.reject_repetitive(docs).collect()] == [2]
+
+
 def test_repetition_coverage_by_characters():
     rng = np.random.default_rng(1)
     for _ in range(30):
