@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but these six ASCII white-space characters.
@@ -49,6 +49,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def heavy_keys(rows: DataFrame, on: list[str], spread: int = 8) -> tuple[DataFrame, int]:
+    """The keys with more rows than a ``spread``-th of a shuffle partition's fair share (and over 64), with their counts, and that bound. At most ``spread`` keys a partition can be heavy, so the result may be broadcast."""
+    bound = max(64, rows.count() // (spread * shuffle_partitions(rows.sparkSession)))
+    counts = rows.where(" and ".join(f"`{c}` is not null" for c in on)).groupBy(*on).agg(F.count(F.lit(1)).alias("heavy_rows")).where(F.col("heavy_rows") > bound)
+    return materialize(counts, "heavy-keys"), bound
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], lot: Column, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` where few keys may hold much of ``left``: their rows are dealt over salts by ``lot``, a bigint, and the rows of ``right`` are repeated for each salt."""
+    heavy, bound = heavy_keys(left.select(*on), on)
+    salt, salts = free_name(left, "salt"), free_name(left, "salts")
+    heavy = F.broadcast(heavy.select(*on, F.ceil(F.col("heavy_rows") / bound).cast("int").alias(salts)))
+    many = F.coalesce(F.col(salts), F.lit(1))
+    left = left.join(heavy, on, "left").withColumn(salt, F.pmod(lot, many).cast("int")).drop(salts)
+    right = right.join(heavy, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), many - 1))).drop(salts)
+    return left.join(right, [*on, salt], how).drop(salt)
+
+
+def lookup(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """The inner join of ``left`` with ``right``, whose keys are unique, where few keys may hold much of ``left``: rows of heavy keys find their partner in a broadcast of those keys' rows, at most a few for each shuffle partition."""
+    heavy, _ = heavy_keys(left.select(on), [on])
+    few = right.join(F.broadcast(heavy.select(on)), on, "left_semi")
+    light = left.join(F.broadcast(heavy.select(on)), on, "left_anti").join(right, on)
+    return light.unionByName(left.join(F.broadcast(few), on))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's shuffle parallelism, which a cluster sizes to its data; bucket counts follow it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -150,3 +150,20 @@ def leaks(docs, items, n=13):
             grams[tuple(w[i : i + n])].add(k)
     sizes = {len(g) for g in grams}
     return {(d, k) for d, text in docs for w in (token(text),) for s in sizes for i in range(len(w) - s + 1) for k in grams.get(tuple(w[i : i + s]), ())}
+
+
+def near_leaks(docs, items, window=13, similarity=0.8):
+    """{(doc, item): (start, equal, compared)}: the first best window of every document and item that agree in enough tokens in place."""
+    token = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = {}
+    for d, text in docs:
+        w = token(text)
+        for k, item in items:
+            own = token(item)
+            n = min(window, len(own))
+            for shift in range(1 - len(own), len(w)) if n else ():
+                for i in range(max(0, -shift), min(len(own), len(w) - shift) - n + 1):
+                    equal = sum(a == b for a, b in zip(own[i : i + n], w[shift + i : shift + i + n], strict=True))
+                    if equal >= similarity * n - 1e-9:
+                        out[d, k] = max(out.get((d, k), (0, 0, 0)), (equal, -(shift + i), n))
+    return {p: (-start, equal, n) for p, (equal, start, n) in out.items()}

@@ -251,37 +251,61 @@ def test_one_row_each(spark, awkward, empty):
     assert by_text([r["doc_id"] for r in simhash.one_row_each(copies.repartition(5)).collect()]) == by_text([None, 5])
 
 
-def test_decontamination(spark, small, awkward, empty):
+def test_decontamination(spark, monkeypatch, small, awkward, empty):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(small, items).collect()}
     assert got == brute.leaks(pairs(small), [tuple(r) for r in items.select("item_id", "text").collect()])
-    blocks = {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(small, items, limit=300).collect()}
-    assert blocks == got
     odd = spark.createDataFrame([(1, PASSAGE.upper()), (2, None), (3, ""), (4, "😀 !"), (5, "hunter2hunter2 x"), (None, PASSAGE)], "item_id long, text string")
-    found = {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(awkward, odd).collect()}
-    assert found == {(d, i) for d in (1, 2, None) for i in (1, None)} | {(None, 5)}
+    for few in (True, False):
+        if not few:
+            monkeypatch.setattr(decontam, "BROADCAST_SEEDS", -1)
+            monkeypatch.setattr(decontam, "BROADCAST_TEXTS", -1)
+        found = [(r["doc_id"], r["item_id"]) for r in decontam.overlaps(awkward, odd).collect()]
+        assert by_text(found) == by_text([(d, i) for d in (1, 2, 2, None) for i in (1, None)] + [(None, 5)])
+        kept = decontam.drop_contaminated(awkward, odd)
+        assert kept.columns == awkward.columns and kept.count() == len(ROWS) - 4
     assert decontam.overlaps(awkward, odd.limit(0)).count() == 0 and decontam.overlaps(empty, odd).count() == 0
-    assert decontam.drop_contaminated(awkward, odd).columns == awkward.columns
 
 
-def test_decontamination_tolerates_substitutions(spark):
+@pytest.mark.parametrize("length", [*range(1, 17), 40])
+def test_every_allowed_substitution_keeps_a_seed(length):
+    """Whatever tokens are substituted within what is allowed, in any window, some mask compares none of them."""
+    import itertools
+
+    n = min(length, decontam.WINDOW)
+    spare = n - decontam.needed(n)
+    item = decontam.token_hashes(" ".join(f"t{i}" for i in range(n)))
+    own = [m for m, (_, k) in enumerate(decontam.ALL_MASKS) if k == (length if length < decontam.WINDOW else 0)]
+    listed = {m: set(decontam.seeds(item, m).tolist()) for m in own}
+    for at in itertools.combinations(range(n), spare):
+        text = item.copy()
+        text[list(at)] = 7
+        assert any(listed[m] & set(decontam.seeds(text, m).tolist()) for m in own), at
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_decontamination_with_substitutions(spark, monkeypatch, few):
+    """Items of 1 to 60 tokens in documents with none to some more substitutions than are allowed, and a phrase that all share."""
+    if not few:
+        monkeypatch.setattr(decontam, "BROADCAST_SEEDS", -1)
+        monkeypatch.setattr(decontam, "BROADCAST_TEXTS", -1)
     rng = np.random.default_rng(2)
-    items = [" ".join(f"i{k}t{j}" for j in range(40)) for k in range(20)]
-    docs, far = [], []
-    for k, text in enumerate(items):
-        w = text.split()
-        for at in range(3, 40, 6):  # one word in six
-            w[at] = "other"
-        docs.append((k, " ".join(["x"] * 50 + w + ["y"] * 50)))
-        far.append((100 + k, " ".join(w if rng.random() < 0.5 else f"n{j}" for j, w in enumerate(text.split()))))
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
-    assert got == {(k, k) for k in range(20)}
-    table = decontam.Block([(str(i), decontam.tokens(t)) for i, t in enumerate(items)])
-    for _, text in far:
-        own = decontam.tokens(text)
-        best = max(sum(a == b for a, b in zip(own[i : i + 13], decontam.tokens(t)[i : i + 13], strict=True)) for t in items for i in range(28))
-        assert bool(table.hits(text)) <= (best >= 11)
+    lengths = [*range(1, 20), 25, 40, 60]
+    shared = "now choose the one right answer to the question from these four options given below".split()
+    items = [(k, " ".join([f"i{k}t{j}" for j in range(n)] + (shared if n > 20 else []))) for k, n in enumerate(lengths)]
+    docs = []
+    for k, (_, text) in enumerate(items):
+        for _ in range(4):
+            w = text.split()
+            w = [f"s{len(docs)}x{j}" if rng.random() < (0.0, 0.08, 0.15, 0.25)[len(docs) % 4] else x for j, x in enumerate(w)]
+            docs.append((len(docs), " ".join([f"own{len(docs)}"] * int(rng.integers(0, 20)) + w + ["y"] * int(rng.integers(0, 5)))))
+    docs += [(900 + k, f"d{k} " + " ".join(shared) + f" d{k}") for k in range(100)] + [(None, docs[0][1]), (None, None)]
+    bench = spark.createDataFrame([*items, (items[-1][0], items[-1][1])], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).where("doc_id is not null").collect())
+    want = brute.near_leaks([d for d in docs if d[0] is not None], items)
+    twice = lengths.index(60)
+    assert got == sorted([(d, k, *v) for (d, k), v in want.items() for _ in range(2 if k == twice else 1)])
+    assert {d for d, *_ in got} >= set(range(900, 1000))
 
 
 def test_targets_by_rounds(spark):
