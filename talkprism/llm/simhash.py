@@ -4,17 +4,19 @@ A text's fingerprint has 64 bits, each the majority over the XXH64 hashes of its
 shingles. Fingerprints at most 4 bits apart are linked; components of links are the groups.
 
 Search: 4 differing bits leave one 32-bit half with at most 2. So both sides enumerate, for
-each half, the Hamming ball of radius 1 (33 keys): halves at most 2 apart share a key. Keys
-that several fingerprints share are fetched and the complete distance is verified. A
-fingerprint with a crowded key (more than ``CROWD`` others) takes another exact way that stays
+each half, the Hamming ball of radius 1 (33 keys): halves at most 2 apart share a key. From
+MANY fingerprints on, when chance would fill such keys, the segments are three of 21 or 22 bits
+taken two at a time: of three pairs, 4 differing bits leave one with at most 2, and a key has 42
+or 43 bits. Keys that several fingerprints share are fetched and the complete distance is
+verified. A fingerprint with a crowded key (more than ``CROWD`` others) takes another exact way that stays
 linear: it enumerates its full radius-2 ball; any two fingerprints that share a point are
 within 4 bits, and any two within 4 bits share one, so each point links its members to its
 smallest member. Equal fingerprints are one node throughout, so copies cost nothing.
 
 Defined cases: a null or empty text, or one without words, has fingerprint 0 and is linked like
 any other; ties and repeated rows share their node; a null doc_id stays in its group but never
-names it (if all are null, the name is null); an empty table gives an empty result; other
-columns, whatever their names, are left alone.
+names it (if all are null, the name is null); very long texts are read whole; an empty table
+gives an empty result; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -26,14 +28,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkprism.llm.common import free_name, materialize, words
+from talkprism.llm.common import free_name, lookup, materialize, words
 from talkprism.llm.components import connected_components
 
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
 CROWD = 128
-_HALF = 0xFFFFFFFF
+#: Different fingerprints from which on keys are pairs of three segments: a ball's key of 32 bits then has one member by chance.
+MANY = 1 << 27
+#: The bits that a key compares.
+HALVES = (0xFFFFFFFF, 0xFFFFFFFF << 32)
+PAIRS = ((1 << 42) - 1, (1 << 64) - (1 << 21), (1 << 21) - 1 | (1 << 64) - (1 << 42))
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -62,12 +68,19 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _keys(fp: str) -> Column:
-    """One key for each half and each point of its ball: the half's number above 32 bits, the point below."""
-    return F.expr(
-        f"flatten(transform(array({fp} & {_HALF}L, shiftrightunsigned({fp}, 32)), (half, i) -> "
-        "transform(sequence(-1, 31), bit -> (cast(i as bigint) * 4294967296L) + (half ^ if(bit < 0, 0L, shiftleft(1L, bit))))))"
-    )
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _keys(fp: Column, parts: tuple[int, ...]) -> Column:
+    """(part, point) for each segment, or pair of segments, and each point at most one bit from the fingerprint's there."""
+
+    def ball(part: int, mask: int) -> Column:
+        flips = F.array(*[F.lit(_signed(x)) for x in (0, *(1 << b for b in range(64) if mask >> b & 1))])
+        own = fp.bitwiseAND(F.lit(_signed(mask)))
+        return F.transform(flips, lambda x: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(x).alias("point")))
+
+    return F.concat(*[ball(i, m) for i, m in enumerate(parts)])
 
 
 def _ball_of_two(fp: str) -> Column:
@@ -79,23 +92,23 @@ def _ball_of_two(fp: str) -> Column:
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b) of fingerprints; their components are those of all pairs at most RADIUS bits apart. ``fps``: column fp, distinct."""
-    entries = fps.select("fp", F.explode(_keys("fp")).alias("key"))
-    shared = entries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    parts = HALVES if fps.count() < MANY else PAIRS
+    entries = fps.select("fp", F.explode(_keys(F.col("fp"), parts)).alias("key")).select("fp", "key.part", "key.point")
+    shared = entries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("part", "point"))).where("n > 1")
     shared = shared.withColumn("crowded", F.max("n").over(Window.partitionBy("fp")) > CROWD + 1)
     shared = materialize(shared, "simhash-keys")
 
-    left = shared.where("not crowded").select("key", F.col("fp").alias("a"))
-    right = shared.select("key", F.col("fp").alias("b"), "crowded")
-    half = F.when(F.col("key") < F.lit(1 << 32), F.col("a").bitwiseAND(F.lit(_HALF))).otherwise(F.shiftrightunsigned("a", 32))
-    other = F.when(F.col("key") < F.lit(1 << 32), F.col("b").bitwiseAND(F.lit(_HALF))).otherwise(F.shiftrightunsigned("b", 32))
-    differ = half.bitwiseXOR(other)
-    # Of the keys that a pair shares, only the one that flips the lowest differing bit of a counts.
-    named = half.bitwiseXOR(differ.bitwiseAND(-differ)) == F.col("key").bitwiseAND(F.lit(_HALF))
+    left = shared.where("not crowded").select("part", "point", F.col("fp").alias("a"))
+    right = shared.select("part", "point", F.col("fp").alias("b"), "crowded")
     once = (F.col("a") < F.col("b")) | F.col("crowded") & (F.col("a") != F.col("b"))
-    left, right = left.alias("l"), right.alias("r")
-    near = left.join(right, (F.col("l.key") == F.col("r.key")) & once & (distance(F.col("a"), F.col("b")) <= RADIUS), "inner")
-    key = F.col("l.key")
-    near = near.select("a", "b", key.alias("key")).where(named).select("a", "b")
+    near = left.join(right, ["part", "point"]).where(once & (distance(F.col("a"), F.col("b")) <= RADIUS))
+    # Of the keys of a part that a pair shares, only the one that flips the lowest differing bit of a counts.
+    mask = F.element_at(F.array(*[F.lit(_signed(x)) for x in parts]), F.col("part") + 1)
+    own = F.col("a").bitwiseAND(mask)
+    differ = own.bitwiseXOR(F.col("b").bitwiseAND(mask))
+    top = F.lit(-(1 << 63))  # has no negative in 64 bits
+    lowest = F.when(differ == top, top).otherwise(differ.bitwiseAND(-differ))
+    near = near.where(own.bitwiseXOR(lowest) == F.col("point")).select("a", "b")
 
     dense = shared.where("crowded").select("fp").distinct()
     points = dense.select("fp", F.explode(_ball_of_two("fp")).alias("point"))
@@ -116,11 +129,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id of the row's group."""
     rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")), "fingerprints")
     firsts = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-firsts")
-    groups = fingerprint_groups(firsts.select("fp"))
-    named = groups.join(firsts, "fp")
+    named = materialize(fingerprint_groups(firsts.select("fp")).join(firsts, "fp"), "fingerprint-roots")
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(names, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = materialize(lookup(named.select("fp", "root"), names, "root").select("fp", "component_id"), "fingerprint-names")
+    return lookup(rows, by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

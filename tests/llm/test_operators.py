@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkprism.llm import decontam, html_text, lm_scoring, mixing, pii, quality_classifier, quality_rules, queries, secret_scan, simhash, substring_dedup
+from talkprism.llm import components, decontam, html_text, lm_scoring, mixing, pii, quality_classifier, quality_rules, queries, secret_scan, simhash, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, salt string, fp string, host string, N int"
@@ -209,9 +209,10 @@ def test_repeats_after_the_first_reject_beyond_the_base_rule(spark):
 
 
 @pytest.mark.parametrize("table", ["small", "awkward", "empty"])
-@pytest.mark.parametrize("crowd", [128, 0])
-def test_simhash(request, monkeypatch, table, crowd):
+@pytest.mark.parametrize(("crowd", "many"), [(128, 1 << 27), (0, 1 << 27), (128, 0)])
+def test_simhash(request, monkeypatch, table, crowd, many):
     monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "MANY", many)
     docs = request.getfixturevalue(table)
     rows = [(k, brute.fingerprint(t)) for k, t in pairs(docs)]
     want = brute.components(rows, lambda a, b: (a ^ b).bit_count() <= 4)
@@ -219,7 +220,9 @@ def test_simhash(request, monkeypatch, table, crowd):
     assert by_text(got) == by_text(want)
 
 
-def test_simhash_links_in_a_cloud_of_fingerprints(spark, monkeypatch):
+@pytest.mark.parametrize("many", [1 << 27, 0])
+def test_simhash_links_in_a_cloud_of_fingerprints(spark, monkeypatch, many):
+    monkeypatch.setattr(simhash, "MANY", many)
     rng = np.random.default_rng(3)
     centre = int(rng.integers(0, 2**63))
     cloud = {centre ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 6)), replace=False)) for _ in range(120)}
@@ -233,6 +236,13 @@ def test_simhash_links_in_a_cloud_of_fingerprints(spark, monkeypatch):
         assert groups([(r["fp"] % 2**64, r["root"]) for r in got]) == groups(list(want.items()))
 
 
+def test_components_of_a_star_and_a_chain(spark):
+    """A hub with most of the edges and a long path, with few rows to a shuffle partition."""
+    edges = [(5, 1000 + i) for i in range(3000)] + [(k, k + 1) for k in range(10_000, 10_200)] + [(1000, 3), (7, 7)]
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {5: 3, 3: 3, **{1000 + i: 3 for i in range(3000)}, **{k: 10_000 for k in range(10_000, 10_201)}}
+
+
 def test_keep_one(awkward):
     kept = simhash.keep_one(awkward)
     assert kept.columns == awkward.columns
