@@ -8,14 +8,15 @@ is sampled: of the short windows inside each window of the next length, the one
 smallest hash stands for all, which is the same in every document that holds the passage.
 
 Documents lie in shards by a hash of doc_id; every level lists a shard's distinct window hashes
-once, so a passage in a third of all documents is at most one entry a shard. The entries meet
-in buckets by hash, which reply to the shards concerned. Shards and buckets are as many as the
-session's shuffle partitions, and more where that leaves over SHARD_BYTES of text in a shard, so
-a task's memory doesn't grow with the table. Texts are shuffled once and that exchange is reused
-by all levels. Hashes have 64 bits.
+once, so a passage in a third of all documents is at most one row a shard. Rows of one hash meet
+in a Spark window, which tells the shards concerned; rows grow in proportion to the text. Shards
+are as many as the session's shuffle partitions, and more where that leaves over SHARD_BYTES of
+text in a shard, so a task's memory doesn't grow with the table. Texts are shuffled once and that
+exchange is reused by all levels. Lower levels only choose candidates, by hashes of 64 bits; at
+the last level windows are equal if two independent hashes are, 128 bits in all.
 
 Defined cases: a null or empty text has no words; a text shorter than the window keeps all; a
-null doc_id keeps all its words and removes none elsewhere; rows of equal doc_id, repeated rows
+null doc_id keeps all its words and removes none elsewhere; very long texts are read whole; rows of equal doc_id, repeated rows
 among them, remove nothing from each other; an empty table gives an empty result; other
 columns, whatever their names, are left alone.
 """
@@ -25,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkprism.llm.common import shuffle_partitions, words
@@ -73,9 +74,13 @@ def smallest_inside(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _word_hashes(text: str | None) -> np.ndarray:
-    tokens = words(text)
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in tokens), dtype=np.uint64, count=len(tokens))
+def _word_hashes(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
+
+
+def _other_hashes(tokens: list[bytes]) -> np.ndarray:
+    """A second hash of the words, independent of the first."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
 
 
 def _found(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
@@ -86,127 +91,122 @@ def _found(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[at] == values
 
 
-def _least(hashes: list[np.ndarray], ids: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes in order, the smallest doc_id of each, and whether several ids have it."""
-    every = np.concatenate(hashes or [np.zeros(0, dtype=np.uint64)])
-    owner = np.repeat(np.array(ids, dtype=np.int64), [len(h) for h in hashes])
+def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(arrays or [np.zeros(0, dtype=np.uint64)])
+
+
+def _entries(docs: pd.DataFrame, hashes: list[np.ndarray]) -> pd.DataFrame:
+    """The shard's distinct hashes; ``place`` is twice the shard, and one more where several of its documents have the hash."""
+    every = _joined(hashes)
+    owner = np.repeat(docs["doc_id"].to_numpy(dtype=np.int64), [len(h) for h in hashes])
     order = np.lexsort((owner, every))
     every, owner = every[order], owner[order]
     first = np.ones(len(every), dtype=bool)
     first[1:] = every[1:] != every[:-1]
     starts = np.flatnonzero(first)
-    last = owner[np.append(starts[1:], len(every)) - 1] if len(starts) else owner[:0]
-    return every[starts], owner[starts], owner[starts] != last
-
+    several = owner[starts] != owner[np.append(starts[1:], len(every)) - 1] if len(starts) else np.zeros(0, dtype=bool)
+    return pd.DataFrame({"hash": every[starts].view(np.int64), "place": several.astype(np.int64) + 2 * int(docs["shard"].iloc[0])})
 
-def _by_bucket(shard: int, buckets: int, hashes: np.ndarray, ids: np.ndarray, several: np.ndarray) -> pd.DataFrame:
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    numbers, starts = np.unique(bucket[order], return_index=True)
-    rows = []
-    for number, part in zip(numbers.tolist(), np.split(order, starts[1:]) if len(numbers) else [], strict=True):
-        rows.append((number, shard, hashes[part].tobytes(), ids[part].tobytes(), np.packbits(several[part]).tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "shard", "hashes", "ids", "several"])
 
+_ENTRIES = "hash long, place long"
+_WINDOWS = "hash long, other long, shard long, id long"
 
-_ENTRIES = "bucket long, shard long, hashes binary, ids binary, several binary"
-_REPLIES = "shard long, hashes binary, ids binary"
 
-
-def _replied(replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """All hashes replied to a shard, in order, and the ids beside them."""
-    hashes = np.frombuffer(b"".join(replies["hashes"]), dtype=np.uint64)
-    ids = np.frombuffer(b"".join(replies["ids"]), dtype=np.int64)
-    order = np.argsort(hashes, kind="stable")
-    return hashes[order], ids[order] if len(ids) else ids
+def _first_level(docs: pd.DataFrame, *, short: int, long: int) -> pd.DataFrame:
+    """Entries of the sampled short windows."""
+    docs = docs[docs["doc_id"].notna()]
+    if not len(docs):
+        return pd.DataFrame({"hash": [], "place": []}, dtype="int64")
+    return _entries(docs, [np.unique(smallest_inside(window_hashes(_word_hashes(words(t)), short), long - short + 1)) for t in docs["text"]])
 
 
-def _first_level(docs: pd.DataFrame, *, short: int, long: int, buckets: int) -> pd.DataFrame:
-    """Entries of the sampled short windows. Only sharing counts here, so no ids are sent."""
-    docs = docs[docs["doc_id"].notna()]
-    sampled = [np.unique(smallest_inside(window_hashes(_word_hashes(t), short), long - short + 1)) for t in docs["text"]]
-    hashes, ids, several = _least(sampled, docs["doc_id"].tolist())
-    out = _by_bucket(int(docs["shard"].iloc[0]) if len(docs) else 0, buckets, hashes, ids, several)
-    out["ids"] = b""
-    return out
+def _alive(own: np.ndarray, shared: np.ndarray, before: int, length: int, sampled: bool) -> np.ndarray:
+    """The starts of the windows of ``length`` words whose halves of ``before`` words are shared."""
+    halves = window_hashes(own, before)
+    if sampled:
+        return np.flatnonzero(_found(smallest_inside(halves, length - before + 1), shared))
+    alive = _found(halves, shared)
+    return np.flatnonzero(alive[: max(0, len(alive) - (length - before))] & alive[length - before :])
 
 
-def _next_level(docs: pd.DataFrame, replies: pd.DataFrame, *, before: int, length: int, sampled: bool, last: bool, buckets: int) -> pd.DataFrame:
-    """Entries of the windows of ``length`` words whose halves of ``before`` words are shared."""
-    shared, _ = _replied(replies)
+def _next_level(docs: pd.DataFrame, replies: pd.DataFrame, *, before: int, length: int, sampled: bool) -> pd.DataFrame:
+    """Entries of the windows of ``length`` words whose halves are shared."""
+    shared = np.sort(replies["hash"].to_numpy(dtype=np.int64).view(np.uint64))
     docs = docs[docs["doc_id"].notna()]
     if not len(shared) or not len(docs):
-        return pd.DataFrame(columns=["bucket", "shard", "hashes", "ids", "several"])
+        return pd.DataFrame({"hash": [], "place": []}, dtype="int64")
     hashes = []
     for text in docs["text"]:
-        own = _word_hashes(text)
-        halves = window_hashes(own, before)
-        if sampled:
-            alive = _found(smallest_inside(halves, length - before + 1), shared)
-        else:
-            alive = _found(halves, shared)
-            alive = alive[: max(0, len(alive) - (length - before))] & alive[length - before :]
-        hashes.append(window_hashes(own, length)[alive])
-    found, ids, several = _least(hashes, docs["doc_id"].tolist())
-    out = _by_bucket(int(docs["shard"].iloc[0]), buckets, found, ids, several)
-    if not last:
-        out["ids"] = b""
-    return out
+        own = _word_hashes(words(text))
+        hashes.append(window_hashes(own, length)[_alive(own, shared, before, length, sampled)])
+    return _entries(docs, hashes)
 
 
-def _meet(entries: pd.DataFrame, *, last: bool) -> pd.DataFrame:
-    """Replies of one bucket: to each shard its hashes that several documents share; at the last level those with a smaller doc_id elsewhere, and that id."""
-    parts = [np.frombuffer(h, dtype=np.uint64) for h in entries["hashes"]]
-    sizes = [len(p) for p in parts]
-    every = np.concatenate(parts)
-    several = np.concatenate([np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=n) for b, n in zip(entries["several"], sizes, strict=True)]).astype(bool)
-    order = np.argsort(every, kind="stable")
-    first = np.ones(len(every), dtype=bool)
-    first[1:] = every[order][1:] != every[order][:-1]
-    group = np.empty(len(every), dtype=np.int64)
-    group[order] = np.cumsum(first) - 1
-    starts = np.flatnonzero(first)
-    if last:
-        ids = np.concatenate([np.frombuffer(b, dtype=np.int64) for b in entries["ids"]])
-        least = np.minimum.reduceat(ids[order], starts)[group]
-        answer = least < ids
-    else:
-        least = None
-        answer = ((np.bincount(group) > 1) | np.logical_or.reduceat(several[order], starts))[group]
-    rows, at = [], 0
-    for shard, n in zip(entries["shard"].tolist(), sizes, strict=True):
-        part = answer[at : at + n]
-        if part.any():
-            rows.append((shard, every[at : at + n][part].tobytes(), least[at : at + n][part].tobytes() if last else b""))
-        at += n
-    return pd.DataFrame(rows, columns=["shard", "hashes", "ids"])
+def _same(hashes: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number for each pair, the same for equal ones, and how many there are."""
+    order = np.lexsort((others, hashes))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (hashes[order][1:] != hashes[order][:-1]) | (others[order][1:] != others[order][:-1])
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(first) - 1
+    return out, int(first.sum())
+
+
+_LAST = np.iinfo(np.int64).max
+
+
+def _last_level(docs: pd.DataFrame, replies: pd.DataFrame, *, before: int, length: int, sampled: bool) -> pd.DataFrame:
+    """The shard's different windows whose halves are shared, by two hashes, with the smallest doc_id of each."""
+    shared = np.sort(replies["hash"].to_numpy(dtype=np.int64).view(np.uint64))
+    docs = docs[docs["doc_id"].notna()]
+    hashes, others, sizes = [], [], []
+    for text in docs["text"] if len(shared) else ():
+        tokens = words(text)
+        own = _word_hashes(tokens)
+        at = _alive(own, shared, before, length, sampled)
+        sizes.append(len(at))
+        if len(at):
+            hashes.append(window_hashes(own, length)[at])
+            others.append(window_hashes(_other_hashes(tokens), length)[at])
+    every, second = _joined(hashes), _joined(others)
+    owner = np.repeat(docs["doc_id"].to_numpy(dtype=np.int64), sizes) if sizes else np.zeros(0, dtype=np.int64)
+    number, n = _same(every, second)
+    least = np.full(n, _LAST)
+    np.minimum.at(least, number, owner)
+    one = np.zeros(n, dtype=np.int64)
+    one[number] = np.arange(len(number))
+    shard = int(docs["shard"].iloc[0]) if len(docs) else 0
+    return pd.DataFrame({"hash": every[one].view(np.int64), "other": second[one].view(np.int64), "shard": np.full(n, shard), "id": least})
 
 
 def _removed(docs: pd.DataFrame, replies: pd.DataFrame, *, length: int) -> pd.DataFrame:
-    """Each document without the words of its repeated windows."""
-    elsewhere, earlier = _replied(replies)
+    """Each document without the words of its repeated windows. ``replies``: windows that a smaller doc_id of another shard has, and that id."""
     tokens = [words(t) for t in docs["text"]]
     known = docs["doc_id"].notna().tolist()
-    hashes = [window_hashes(np.fromiter((xxhash.xxh64_intdigest(w) for w in ws), dtype=np.uint64, count=len(ws)), length) for ws in tokens]
-    real = [i for i, k in enumerate(known) if k]
-    here, least, several = _least([hashes[i] for i in real], [int(docs["doc_id"].iloc[i]) for i in real])
-    # Only hashes that several documents of the shard have, or an earlier one elsewhere, can remove words.
-    here, least = here[several], least[several]
+    hashes = [window_hashes(_word_hashes(ws), length) if k else np.zeros(0, dtype=np.uint64) for ws, k in zip(tokens, known, strict=True)]
+    # Only hashes that the shard has twice, or an earlier document elsewhere, can remove words.
+    every = np.sort(_joined(hashes))
+    told = replies["hash"].to_numpy(dtype=np.int64).view(np.uint64)
+    listed = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], told]))
+    starts = [np.flatnonzero(_found(h, listed)) for h in hashes]
+    some = [i for i, at in enumerate(starts) if len(at)]
+    first = np.concatenate([told, *[hashes[i][starts[i]] for i in some]])
+    second = np.concatenate([replies["other"].to_numpy(dtype=np.int64).view(np.uint64), *[window_hashes(_other_hashes(tokens[i]), length)[starts[i]] for i in some]])
+    owner = np.repeat(np.array([int(docs["doc_id"].iloc[i]) for i in some], dtype=np.int64), [len(starts[i]) for i in some])
+    number, n = _same(first, second)
+    least = np.full(n, _LAST)
+    np.minimum.at(least, number, np.concatenate([replies["id"].to_numpy(dtype=np.int64), owner]))
+    hit = least[number[len(told) :]] < owner
+    cuts = np.cumsum([len(starts[i]) for i in some])
+    repeated = {i: starts[i][h] for i, h in zip(some, np.split(hit, cuts[:-1]), strict=True)} if some else {}
     out = []
     for i, ws in enumerate(tokens):
         gone = np.zeros(len(ws) + 1, dtype=np.int64)
-        if known[i] and len(hashes[i]):
-            own = int(docs["doc_id"].iloc[i])
-            hit = np.zeros(len(hashes[i]), dtype=bool)
-            for listed, ids in ((elsewhere, earlier), (here, least)):
-                if len(listed):
-                    at = np.minimum(np.searchsorted(listed, hashes[i]), len(listed) - 1)
-                    hit |= (listed[at] == hashes[i]) & (ids[at] < own)
-            starts = np.flatnonzero(hit)
-            gone[starts] += 1
-            np.subtract.at(gone, starts + length, 1)
+        at = repeated.get(i, np.zeros(0, dtype=np.int64))
+        gone[at] += 1
+        gone[at + length] -= 1
         mask = np.cumsum(gone)[: len(ws)] > 0
-        kept = b" ".join(w for w, g in zip(ws, mask.tolist(), strict=True) if not g) if mask.any() else b" ".join(ws)
+        kept = b" ".join(w for w, g in zip(ws, mask.tolist(), strict=True) if not g) if len(at) else b" ".join(ws)
         out.append((docs["doc_id"].iloc[i] if known[i] else None, len(ws), int(mask.sum()), kept.decode("utf-8", "surrogatepass")))
     return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept"]).astype({"doc_id": "Int64"})
 
@@ -226,26 +226,29 @@ def _two(f, **options):
 
 
 def shard_count(docs: DataFrame, text: str, shard_bytes: int) -> int:
-    """Shards, and buckets, for the text of the table."""
+    """Shards for the text of the table."""
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     return max(shuffle_partitions(docs.sparkSession), -(-size // shard_bytes))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row: kept has the words, joined by a space, outside windows that also start in a document of smaller doc_id."""
-    buckets = shard_count(docs, text, shard_bytes)
-    shard = F.coalesce(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(buckets)), F.lit(0)).cast("long")
+    shards = shard_count(docs, text, shard_bytes)
+    shard = F.coalesce(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(shards)), F.lit(0)).cast("long")
     # A null doc_id would all share a shard; their texts spread them.
-    shard = F.when(F.col(doc_id).isNull(), F.pmod(F.xxhash64(F.col(text)), F.lit(buckets)).cast("long")).otherwise(shard)
+    shard = F.when(F.col(doc_id).isNull(), F.pmod(F.xxhash64(F.col(text)), F.lit(shards)).cast("long")).otherwise(shard)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), shard.alias("shard"))
     lengths = levels(window)
     if len(lengths) == 1:
         lengths = [window, window]
-    entries = rows.groupBy("shard").applyInPandas(_one(_first_level, short=lengths[0], long=lengths[1], buckets=buckets), _ENTRIES)
+    entries = rows.groupBy("shard").applyInPandas(_one(_first_level, short=lengths[0], long=lengths[1]), _ENTRIES)
     for i, length in enumerate(lengths[1:], 1):
+        same = Window.partitionBy("hash")
+        met = entries.select("hash", "place", F.count(F.lit(1)).over(same).alias("n"), F.max(F.col("place").bitwiseAND(F.lit(1))).over(same).alias("several"))
+        replies = met.where((F.col("n") > 1) | (F.col("several") > 0)).select(F.shiftright("place", 1).alias("shard"), "hash")
         last = i == len(lengths) - 1
-        replies = entries.groupBy("bucket").applyInPandas(_one(_meet, last=False), _REPLIES)
-        step = _two(_next_level, before=lengths[i - 1], length=length, sampled=i == 1, last=last, buckets=buckets)
-        entries = rows.groupBy("shard").cogroup(replies.groupBy("shard")).applyInPandas(step, _ENTRIES)
-    replies = entries.groupBy("bucket").applyInPandas(_one(_meet, last=True), _REPLIES)
+        step = _two(_last_level if last else _next_level, before=lengths[i - 1], length=length, sampled=i == 1)
+        entries = rows.groupBy("shard").cogroup(replies.groupBy("shard")).applyInPandas(step, _WINDOWS if last else _ENTRIES)
+    least = F.min("id").over(Window.partitionBy("hash", "other"))
+    replies = entries.withColumn("least", least).where("least < id").select("shard", "hash", "other", F.col("least").alias("id"))
     return rows.groupBy("shard").cogroup(replies.groupBy("shard")).applyInPandas(_two(_removed, length=window), "doc_id long, n_words long, n_removed long, kept string")

@@ -6,6 +6,7 @@ import zlib
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,6 +133,20 @@ def test_substring_dedup_by_small_shards(small):
     assert few == many
 
 
+@pytest.mark.parametrize("lane", ["_word_hashes", "_other_hashes"])
+def test_colliding_hashes_remove_nothing(spark, monkeypatch, lane):
+    """With one of the two hashes of all words equal, every window collides on it."""
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(40))) for k in range(30)] + [(50, "a " + " ".join(f"w3x{j}" for j in range(40)))]
+    docs = [pd.DataFrame({"doc_id": [k for k, _ in part], "text": [t for _, t in part], "shard": n}) for n, part in enumerate((rows[:15], rows[15:]))]
+    monkeypatch.setattr(substring_dedup, lane, lambda tokens: np.full(len(tokens), 9, dtype=np.uint64))
+    halves = np.concatenate([substring_dedup.window_hashes(substring_dedup._word_hashes(substring_dedup.words(t)), 7) for _, t in rows]).view(np.int64)
+    found = pd.concat([substring_dedup._last_level(d, pd.DataFrame({"hash": halves}), before=7, length=13, sampled=True) for d in docs])
+    found["least"] = found.groupby(["hash", "other"])["id"].transform("min")
+    told = found[found["least"] < found["id"]].drop(columns="id").rename(columns={"least": "id"})
+    out = pd.concat([substring_dedup._removed(d, told[told["shard"] == n], length=13) for n, d in enumerate(docs)])
+    assert out["n_removed"].tolist() == [0] * 30 + [40]
+
+
 def test_levels_double():
     for w in (1, 8, 9, 13, 50, 200):
         steps = substring_dedup.levels(w)
