@@ -1,71 +1,83 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Every source gets a target number of words. Whole passes over a source come first; what is left
-of the budget, less than one pass, is fitted on the counts of documents by exact length. Long
-documents go first, proportionally, until at most SLACK words are left; bounded-knapsack dynamic
-programming over the counts still free then finds lengths that add up to the rest, exactly where
-that is possible and else as near as possible. Documents of a chosen length are then
-taken in the order of a seeded hash.
+of the budget, less than one pass, is fitted on the counts of documents by exact length by
+bounded-knapsack dynamic programming: exactly where some choice of documents adds up to it, else
+as near as possible. The table has a state for each word of the budget. A budget above
+SLACK_LENGTHS times the longest document (but within SLACK) is first filled proportionally, all
+lengths alike, down to that; what is left is fitted with the documents still free, of which every
+length has its share. Documents of a chosen length are taken in the order of a seeded hash.
 
 A task sees the histogram of one source (distinct lengths, not documents). Ranks inside a length
-are taken inside SALTS hash ranges and offset by counts, so a length or a text that makes up a
-third of the table is still spread over tasks.
-
-Defined cases: a null text has size 0; documents of size 0 take 0; a null source is a source of
-its own, last in order; equal sizes are told apart by hash, then by doc_id, and rows that agree
-in all of these are alike, each counted on its own; an empty table gives an empty result; other
-columns, whatever their names, are left alone.
+are taken inside hash ranges, as many as keep SALT_ROWS rows in one, and offset by counts, so a
+length or a text that makes up a third of the table is spread over tasks. Sources are ranked in a
+distributed sort and their caps found by sums, so there may be as many as rows.
+
+Defined cases: a null text has size 0; a very long text is counted whole; documents of size 0
+take 0; a null source is a source of its own, last in order; equal sizes are told apart by hash,
+then by doc_id, and rows that agree in all of these are alike, each counted on its own; an empty
+table gives an empty result; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkprism.llm.common import materialize, word_count
+from talkprism.llm.common import free_name, materialize, word_count
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = 42
-#: Words left to the dynamic programme; its table has so many states.
-SLACK = 65_536
+#: Words left to the dynamic programme: so many of the longest document, within these bounds. Its table has five bytes a word.
+SLACK_LENGTHS = 64
+SLACK = (1 << 16, 1 << 24)
+#: Hash ranges of a length: at least, and rows of the table to one.
 SALTS = 64
+SALT_ROWS = 1_000_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(source, source_size, target): weights repeat over the sources by code point, null last, and share the total; none gets more than ``cap`` times its size, what is over goes to the others by weight.
 
-    The sources that end at their cap are those of the smallest cap to weight, so one ordered
-    pass replaces the rounds. ``sizes``: source, size; the only rows gathered are one a source.
+    ``sizes``: source, size. Sources are ranked by their place in a sorted partition and the counts
+    of the partitions before; each round of resharing is one sum over the sources.
     """
-    whole = Window.partitionBy()
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.partitionBy().orderBy(F.col("source").asc_nulls_last())) - 1
-    rows = rows.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights) + 1).cast("int")))
-    rows = rows.withColumn("total", F.sum("source_size").over(whole)).withColumn("most", cap * F.col("source_size"))
-    order = Window.partitionBy().orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("left", F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0)))
-    rows = rows.withColumn("weights_left", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    # In doubles, as the products may pass 64 bits; where both sides are equal, either way gives the same target.
-    rows = rows.withColumn("capped", F.col("most").cast("double") * F.col("weights_left") < F.col("left").cast("double") * F.col("weight"))
-    # left and weights_left of the first source not capped: those before it are at their caps
-    first = F.min(F.when(~F.col("capped"), F.struct(F.col("most") / F.col("weight"), F.col("source").isNull(), "source", "left", "weights_left"))).over(whole)
-    share = first["left"].cast("double") * F.col("weight") / first["weights_left"]
-    return rows.withColumn("target", F.when(F.col("capped"), F.col("most").cast("double")).otherwise(share)).select("source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"))
-
-
-def fit_counts(lengths: list[int], counts: list[int], budget: int, slack: int = SLACK) -> list[int]:
+    rows = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").asc_nulls_last())
+    rows = materialize(rows.withColumn("at", F.monotonically_increasing_id()), "mix-sources")  # partition and place in it
+    part, place = F.shiftrightunsigned("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("part", part).join(F.broadcast(counts.select("part", before.alias("before"))), "part")
+    rank = (F.col("before") + place) % len(weights)
+    rows = rows.select("source", "source_size", F.element_at(F.array(*[F.lit(w) for w in weights]), (rank + 1).cast("int")).alias("weight"), (cap * F.col("source_size")).alias("most"))
+    rows = materialize(rows, "mix-weights")
+    total, left_weight = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    left, share = total, 0.0
+    while left_weight:
+        share = left / left_weight
+        over = F.col("most") < F.col("weight") * F.lit(share)
+        full, free = rows.agg(F.sum(F.when(over, F.col("most"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if (left, left_weight) == (total - (full or 0), free or 0):
+            break
+        left, left_weight = total - (full or 0), free or 0
+    return rows.select("source", "source_size", F.least(F.col("most").cast("double"), F.col("weight") * F.lit(float(share))).alias("target"))
+
+
+def fit_counts(lengths: list[int], counts: list[int], budget: int, slack: int | None = None) -> list[int]:
     """How many documents of each length to take so that the words come to ``budget``, or as near as found."""
     take = [0] * len(lengths)
-    order = sorted((i for i in range(len(lengths)) if lengths[i] > 0), key=lambda i: -lengths[i])
+    order = sorted((i for i in range(len(lengths)) if lengths[i] > 0 and counts[i] > 0), key=lambda i: -lengths[i])
     total = sum(lengths[i] * counts[i] for i in order)
     if budget <= 0 or not total:
         return take
     if budget >= total:
         return [c if n > 0 else 0 for n, c in zip(lengths, counts, strict=True)]
-    left = budget
+    longest, left = lengths[order[0]], budget
+    if slack is None:
+        slack = min(SLACK[1], max(SLACK[0], SLACK_LENGTHS * longest))
     # What is above the slack goes proportionally, so that every length keeps its share and free documents of every length remain.
     for i in order:
         take[i] = counts[i] * max(0, budget - slack) // total
@@ -74,24 +86,29 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int, slack: int =
         more = min(counts[i] - take[i], max(0, left - slack) // lengths[i])
         take[i] += more
         left -= more * lengths[i]
-    # Bounded knapsack: bit s of `reach` says that s words can be made; parts of 1, 2, 4, ... documents of one length.
-    bits, reach, parts = (1 << (left + lengths[order[0]] + 1)) - 1, 1, []
+    # Bounded knapsack by parts of 1, 2, 4, ... documents of one length; first[s] is the part that first made s words.
+    end = left + longest + 1
+    reached, first, parts, top = np.zeros(end, dtype=bool), np.zeros(end, dtype=np.int32), [], 0
+    reached[0] = True
     for i in reversed(order):
         free, step = min(counts[i] - take[i], left // lengths[i] + 1), 1
-        while free > 0:
+        while free > 0 and not reached[left]:
             n = min(step, free)
-            parts.append((i, n, reach))
-            reach |= (reach << (n * lengths[i])) & bits
+            words = n * lengths[i]
+            if words < end:
+                stop = min(end, top + words + 1)
+                new = np.flatnonzero(reached[: stop - words] & ~reached[words:stop]) + words
+                if len(new):
+                    first[new], reached[new], top = len(parts), True, max(top, int(new[-1]))
+                    parts.append((i, n))
             free, step = free - n, step * 2
-        if reach >> left & 1:
-            break
-    below, above = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1, reach >> (left + 1)
-    over = (above & -above).bit_length()  # words above the budget, 0 if none is reached
-    at = left + over if over and over < left - below else below
-    for i, n, before in reversed(parts):
-        if not before >> at & 1:
-            take[i] += n
-            at -= n * lengths[i]
+    below = int(np.flatnonzero(reached[: left + 1])[-1])
+    above = np.flatnonzero(reached[left + 1 : 2 * left - below])  # nearer than what lies below
+    at = left + 1 + int(above[0]) if len(above) else below
+    while at:  # what a part was added to was made by parts before it
+        i, n = parts[first[at]]
+        take[i] += n
+        at -= n * lengths[i]
     return take
 
 
@@ -105,11 +122,14 @@ def _fit(histogram: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": rows["source"], "size": rows["size"], "passes": passes, "extra": extra})
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every row; taken is size times the passes over the document."""
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, seed: int = SEED, carry: str | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every row, and the column ``carry`` as ``carried`` if one is given; taken is size times the passes over the document."""
     lot = F.xxhash64(F.lit(seed), F.col(doc_id))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), lot.alias("lot"))
-    rows = materialize(rows.withColumn("salt", F.pmod(F.shiftright("lot", 7), F.lit(SALTS)).cast("int")), "mix-sizes")
+    carried = [] if carry is None else [F.col(carry).alias("carried")]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), lot.alias("lot"), *carried)
+    rows = materialize(rows, "mix-sizes")
+    salts = max(SALTS, -(-rows.count() // SALT_ROWS))
+    rows = rows.withColumn("salt", F.pmod(F.shiftright("lot", 7), F.lit(salts)))
     salted = materialize(rows.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     goal = targets(salted.select("source", (F.col("size") * F.col("n")).alias("size")), weights)
     histogram = salted.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -123,5 +143,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("lot", "doc_id")))
     out = ranked.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.size") == F.col("p.size")) & (F.col("r.salt") == F.col("p.salt")))
     passes = F.col("passes") + F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0)
-    return out.select("doc_id", F.col("r.size").alias("size"), "source_size", "target", (F.col("r.size") * passes).cast("long").alias("taken"))
+    return out.select("doc_id", F.col("r.size").alias("size"), "source_size", "target", (F.col("r.size") * passes).cast("long").alias("taken"), *(["carried"] if carried else []))
+
+
+MIX_COLUMNS = ("size", "source_size", "target", "taken")
+
 
+def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with their columns and MIX_COLUMNS, which stand for columns of these names."""
+    number = free_name(docs, "number")
+    # Written once, so a row's number is the same wherever it is read.
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "mix-numbered")
+    taken = mix(numbered, doc_id, text, source, weights, seed, carry=number).where("taken > 0").select(F.col("carried").alias(number), *MIX_COLUMNS)
+    own = [c for c in docs.columns if c.lower() not in MIX_COLUMNS]
+    return numbered.select(number, *[F.col(f"`{c}`") for c in own]).join(taken, number).drop(number)

@@ -335,7 +335,7 @@ def test_decontamination_with_substitutions(spark, monkeypatch, few):
 
 def test_targets_by_rounds(spark):
     rng = np.random.default_rng(4)
-    for n in (1, 2, 3, 7, 20):
+    for n in (1, 2, 3, 7, 20, 300):
         sizes = {f"s{i}": int(x) for i, x in enumerate(rng.integers(0, 1000, n))} | ({None: 50} if n > 2 else {}) | ({"s0": 100_000} if n == 7 else {})
         rows = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
         want = brute.targets(sizes)
@@ -355,6 +355,12 @@ def test_fit_counts_is_exact_where_possible():
         assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
         got = sum(t * n for t, n in zip(take, lengths, strict=True))
         assert abs(got - budget) == min(abs(s - budget) for s in sums)
+    for lengths, budget in (([33_334, 50_000], 200_004), ([33_334, 50_000], 316_670), ([99_991, 100_003, 1], 1_000_000 - 18)):
+        take = mixing.fit_counts(lengths, [10] * len(lengths), budget)
+        sums = {0}
+        for n in lengths:
+            sums = {s + k * n for s in sums for k in range(11)}
+        assert abs(sum(t * n for t, n in zip(take, lengths, strict=True)) - budget) == min(abs(s - budget) for s in sums)
     lengths, counts = list(range(50, 3000)), [200] * 2950
     take = mixing.fit_counts(lengths, counts, 123_456_789)
     assert sum(t * n for t, n in zip(take, lengths, strict=True)) == 123_456_789 and max(take) <= 200
@@ -378,6 +384,22 @@ def test_mix(request, table):
         assert abs(sum(w for _, w in own) - round(target)) == min(abs(s - round(target)) for s in sums)
 
 
+def test_mix_by_many_salts(monkeypatch, small):
+    """More hash ranges change which documents of a length are taken, not how many words."""
+    words = lambda: sorted((r["target"], r["t"]) for r in mixing.mix(small).groupBy("target").agg(F.sum("taken").alias("t")).collect())
+    few = words()
+    monkeypatch.setattr(mixing, "SALT_ROWS", 1)
+    assert words() == few
+
+
+def test_mixed_rows(awkward):
+    rows = mixing.mixed_rows(awkward.withColumn("Size", F.lit("x")))
+    assert set(rows.columns) == set(awkward.columns) | set(mixing.MIX_COLUMNS)
+    texts = {r["doc_id"]: r["text"] for r in awkward.collect() if r["doc_id"] is not None}
+    assert all(r["taken"] > 0 and r["size"] == len(brute.words(r["text"])) and texts.get(r["doc_id"], r["text"]) == r["text"] for r in rows.collect())
+    assert sum(r["taken"] for r in rows.collect()) == sum(r["taken"] for r in mixing.mix(awkward).collect())
+
+
 def test_language_model(spark, awkward, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     want = brute.unigram_scores(pairs(docs), lambda k: zlib.crc32(str(k).encode()))
