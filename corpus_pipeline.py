@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
 DataFrame; ``run`` writes each result as Parquet in the shared folder and reads it back for the
 next. All stages but the last return the columns of ``docs``; the last returns the documents
-that the mix takes, with the words taken of each (repeats counted) and its source's target.
+that the mix takes, with these columns, the words taken of each (repeats counted), its size, and
+its source's size and target.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).where("taken > 0")
+    return mixing.mixed_rows(docs)
 
 
 STAGES = [
