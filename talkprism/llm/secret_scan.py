@@ -13,7 +13,8 @@ frequencies, digits and signs, with rare changes between lower case, upper case,
 sign. The likelihood ratio of the uniform alphabet to the null, T, bounds the p-value by
 exp(-T) (Markov), so longer runs can reach smaller ones. Benjamini-Hochberg at level FDR holds
 within classes of length, over all runs of the table; T is binned downward, so the bounds stay
-valid and only a table of counts, of fixed size, reaches the driver.
+valid and only a table of counts, of fixed size, reaches the driver. Strings of digits are as
+likely in ordinary text as at random here (T near 0), so numbers are never ``random``.
 
 Defined cases: a null or empty text has no spans; rows are scanned one by one, so ties,
 repeated rows, null ids and other columns don't matter; an empty table gives an empty result.
@@ -45,7 +46,10 @@ BINS = 200
 CHUNK = 128
 #: Letters of ordinary text, per mille, a to z.
 LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
-_LOWER, _UPPER, _DIGIT, _SIGN = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_=-"
+_LOWER, _UPPER, _DIGIT, _SIGN = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/"
+#: What parts a run's segments, and the fewest other characters to test.
+SEPARATORS = "[-_=]"
+LEAST = 16
 #: Inferred encodings, narrowest first: pattern, alphabet.
 ENCODINGS = (
     ("^[0-9]+$", _DIGIT),
@@ -118,7 +122,7 @@ def _null_likelihood(chars: Column) -> Column:
     """Natural logarithm of the characters' probability as ordinary text."""
     signs = _UPPER + _LOWER + _DIGIT + _SIGN
     letters = [math.log(x / sum(LETTERS)) for x in LETTERS]
-    logs = F.array(*[F.lit(x) for x in [*letters, *letters, *[math.log(0.1)] * 10, *[math.log(0.2)] * 5]])
+    logs = F.array(*[F.lit(x) for x in [*letters, *letters, *[math.log(0.1)] * 10, *[math.log(0.5)] * 2]])
     at = F.transform(chars, lambda c: F.call_function("locate", c, F.lit(signs)))
     kinds = F.transform(at, lambda i: F.when(i <= 26, 0).when(i <= 52, 1).when(i <= 62, 2).otherwise(3))
     moves = F.zip_with(F.slice(kinds, 1, F.size(chars) - 1), F.slice(kinds, 2, F.size(chars) - 1), lambda a, b: F.when(a == b, F.lit(_STAY)).otherwise(F.lit(_MOVE)))
@@ -172,10 +176,8 @@ def candidates(text: Column) -> Column:
     """Array of (start, end, length class, bin of T) of every run; bin 0 if a test rejects randomness."""
 
     def judged(m: Column) -> Column:
-        score = battery(m["match"])
-        bound = F.element_at(
-            F.transform(F.array(score), lambda b: F.when(b["statistic"] > CRITICAL, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(b["ratio"]).cast("int"))))), 1
-        )
+        score = _bind(F.regexp_replace(m["match"], SEPARATORS, ""), lambda run: F.when(F.length(run) >= LEAST, battery(run)))
+        bound = _bind(score, lambda b: F.when(b["statistic"] <= CRITICAL, F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(b["ratio"]).cast("int")))).otherwise(F.lit(0)))
         return F.struct(m["start"].alias("start"), (m["start"] + F.length(m["match"])).alias("end"), _length_class(m["match"]).alias("length_class"), bound.alias("bin"))
 
     return F.transform(matches(text, RUN), judged)

@@ -75,7 +75,9 @@ def test_secret_battery_finds_random_runs_and_no_words(spark):
     rng = np.random.default_rng(5)
     alphabet = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
     keys = ["".join(rng.choice(alphabet, n)) for n in (32, 40, 48, 64, 40, 32, 44, 56)]
-    words = ["antidisestablishmentarianism", "internationalizationofeverything", "AAAAAAAAAAAAAAAAAAAAAAAAAAAA", "some-long-slug-of-a-page-title-2024", "12345678901234567890123", "abcabcabcabcabcabcabcabcabc"]
+    digits = "".join(rng.choice(list("0123456789abcdef"), 32 * 6))
+    keys += ["-".join(digits[i + a : i + b] for a, b in ((0, 8), (8, 12), (12, 16), (16, 20), (20, 32))) for i in range(0, len(digits), 32)]
+    words = ["snake_case_name_of_a_long_function", "-" * 40, "a-1_b=" * 6, "=" * 20 + "abc", "antidisestablishmentarianism", "internationalizationofeverything", "AAAAAAAAAAAAAAAAAAAAAAAAAAAA", "some-long-slug-of-a-page-title-2024", "12345678901234567890123", "abcabcabcabcabcabcabcabcabc"]
     rows = [(i, f"see {k} there") for i, k in enumerate(keys)] + [(100 + i, f"see {w} there") for i, w in enumerate(words)]
     found = {r["doc_id"]: r["s"] for r in secret_scan.with_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", secret_scan.spans_text(F.col("spans")).alias("s")).collect()}
     assert all(not found[100 + i] for i in range(len(words)))
