@@ -61,3 +61,13 @@ def tokens(text) -> Column:
 def reference(prefix: str, *parts) -> Column:
     """Opaque, stable identifier of a row."""
     return F.concat(F.lit(prefix + ":v1:"), F.md5(F.concat_ws("|", *[_col(p).cast("string") for p in parts]).cast("binary")))
+
+
+def byte_estimate(size: Column, start: int, end: int) -> Column:
+    """Bytes of a range of bytes; null if the range leaves the text."""
+    return F.when(F.lit(0 <= start <= end) & (size >= end), F.lit(end - start).cast("long"))
+
+
+def line_estimate(size: Column, lines: Column, start: int, end: int) -> Column:
+    """Bytes of a range of lines, by their share of the lines; null if the range leaves the text."""
+    return F.when(F.lit(1 <= start <= end) & (lines + 1 >= end), F.floor(size * (end - start) / F.greatest(lines, F.lit(1))).cast("long"))

@@ -20,6 +20,17 @@ def instant(raw: Column) -> Column:
     return F.when(raw.rlike(CANONICAL), F.try_to_timestamp(raw))
 
 
+def rfc3339(at: Column) -> Column:
+    """The canonical text of a timestamp: in UTC, a fraction without trailing zeros."""
+    micros = F.unix_micros(at)
+    rest = F.pmod(micros, F.lit(1_000_000))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(micros / 86_400_000_000).cast("int"))
+    second = F.floor(F.pmod(micros, F.lit(86_400_000_000)) / 1_000_000)
+    clock = F.format_string("%02d:%02d:%02d", F.floor(second / 3600), F.floor(second % 3600 / 60), F.floor(second % 60))
+    fraction = F.when(rest > 0, F.concat(F.lit("."), F.rtrim(F.format_string("%06d", rest), F.lit("0")))).otherwise("")
+    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T"), clock, fraction, F.lit("Z"))
+
+
 def parse(text: str) -> dt.datetime:
     try:
         if not text.endswith("Z"):

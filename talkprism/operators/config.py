@@ -11,6 +11,7 @@ from talkprism import schema
 from talkprism.errors import ConfigurationUnavailable, InvalidRequest
 from talkprism.sources.jsonl import Limits, Root
 
+#: Fixed value.
 VERSION = "0.5.0"
 
 
@@ -32,6 +33,9 @@ class Configuration:
 def issues(candidate: Configuration) -> list[str]:
     """What is wrong with a configuration, in a fixed order; empty if nothing is."""
     found, seen = [], set()
+    ceiling = asdict(Limits())
+    if not candidate.roots:
+        found.append("MissingTranscriptSource")
     for root in candidate.roots:
         if root.source not in schema.SOURCES[:5]:
             found.append(f"UnknownSource:{root.source}")
@@ -43,6 +47,7 @@ def issues(candidate: Configuration) -> list[str]:
             found.append(f"RepeatedSource:{root.source}:{root.identifier}")
         seen.add((root.source, root.identifier))
         found += [f"ZeroLimit:{k}" for k, v in asdict(root.limits).items() if v <= 0]
+        found += [f"LimitAboveCeiling:{k}" for k, v in asdict(root.limits).items() if v > ceiling[k]]
     found += [f"ZeroLimit:{k}" for k, v in asdict(candidate.limits).items() if v <= 0]
     found += ["EmptyRepository" for r in candidate.repositories if not r]
     if candidate.archive is not None and (os.path.isabs(candidate.archive) or ".." in candidate.archive.split("/")):

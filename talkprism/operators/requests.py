@@ -136,17 +136,21 @@ class Index:
     def estimate_output(self, reference: str, byte_range: tuple[int, int] | None = None, line_range: tuple[int, int] | None = None) -> dict[str, Any]:
         """Size of an output or a range of it. Bytes are exact; the bytes of a line range are an estimate: its share of the lines."""
         row = self._one("outputs", reference)
+        size, lines = F.lit(row["bytes"]), F.lit(row["lines"])
         if byte_range is not None:
-            self._fits(*byte_range, 0, row["bytes"])
-            return {"bytes": byte_range[1] - byte_range[0], "certainty": "Exact"}
+            return {"bytes": self._inside(tx.byte_estimate(size, *byte_range)), "certainty": "Exact"}
         if line_range is not None:
-            self._fits(*line_range, 1, row["lines"] + 1)
-            n = line_range[1] - line_range[0]
-            return {"bytes": row["bytes"] * n // max(1, row["lines"]), "lines": n, "certainty": "Estimated"}
+            return {"bytes": self._inside(tx.line_estimate(size, lines, *line_range)), "lines": line_range[1] - line_range[0], "certainty": "Estimated"}
         return {"bytes": row["bytes"], "lines": row["lines"], "certainty": "Exact"}
 
+    def _inside(self, size) -> int:
+        found = self.tables["outputs"].sparkSession.range(1).select(size.alias("bytes")).first()[0]
+        if found is None:
+            raise InvalidRange("the range leaves the text")
+        return found
+
     def read_output(self, reference: str, maximum: int, byte_range: tuple[int, int] | None = None, line_range: tuple[int, int] | None = None, current: DataFrame | None = None) -> dict[str, Any]:
-        """Text of an output or a range, at most ``maximum`` bytes. ``current``: (path, fingerprint) of the files as they are now."""
+        """Text of an output or a range, at most ``maximum`` bytes. ``current``: (path, fingerprint) of the files as they are now, or their records, whose texts are then compared too."""
         paging.check_limit(maximum, self.limits.read_bytes, "read bytes")
         row = self._one("outputs", reference)
         self._fresh(row, current)
@@ -166,11 +170,6 @@ class Index:
             raise Missing("the block has no text", "ReadTranscriptBlock", reference=reference)
         return self._bounded(self.tables["blocks"].where(F.col("block_reference") == reference).select("text"), maximum)
 
-    @staticmethod
-    def _fits(start: int, end: int, least: int, most: int) -> None:
-        if not least <= start <= end <= most:
-            raise InvalidRange(f"{start} to {end} isn't within {least} to {most}")
-
     @staticmethod
     def _bounded(rows: DataFrame, maximum: int) -> dict[str, Any]:
         row = rows.select(tx.utf8_prefix("text", maximum).alias("text"), F.octet_length("text").alias("bytes")).first()
@@ -180,13 +179,22 @@ class Index:
 
     @staticmethod
     def _fresh(row: Row, current: DataFrame | None) -> None:
-        """Stale if the file's state differs, broken if the file is gone."""
-        if current is None or "fingerprint" not in row:
+        """Broken if the file or the line is gone; stale if the file's state, or the text or kind of what is read, differs."""
+        if current is None:
             return
-        now = current.where(F.col("path") == row["path"]).select("fingerprint").take(1)
-        if not now:
+        now = current.where(F.col("path") == row["path"])
+        if "line_number" in current.columns:
+            now = now.where(F.col("line_number") == row["line_number"])
+        content = ["fingerprint"]
+        if "block_index" in row and "blocks" in current.columns:
+            block = F.get("blocks", F.lit(row["block_index"]))
+            content += [F.md5(block["text"].cast("binary")).alias("text_hash"), block["kind"].alias("kind")]
+        elif "text" in current.columns:
+            content.append(F.md5(F.col("text").cast("binary")).alias("text_hash"))
+        found = now.select(*content).take(1)
+        if not found:
             raise FragileReferenceBroken(row["path"])
-        if now[0][0] != row["fingerprint"]:
+        if any(found[0][c] != row[c] for c in found[0].__fields__ if c in row):
             raise FragileReferenceStale(row["path"])
 
     # --- state ------------------------------------------------------------------------------
@@ -196,11 +204,17 @@ class Index:
         counts = {t: self.tables[t].count() for t in ("sessions", "subagents", "outputs", "blocks")}
         return {"version": self.version(), "counts": counts, "sources": sources, "completeness": health.completeness(sources).first()[0]}
 
-    def inventory(self, sources: tuple[str, ...] | None = None, archived: DataFrame | None = None) -> DataFrame:
-        """All session cards with their archive status, by reference; above the page limit the request is oversized."""
+    def inventory(self, sources: tuple[str, ...] | None = None, archived: DataFrame | None = None, configured: DataFrame | None = None) -> DataFrame:
+        """All session cards with their archive status, by reference; above the page limit the request is oversized.
+
+        ``configured``, from ``health.source_health``, adds the state and scan report of each card's
+        source; a source that isn't configured is Unconfigured.
+        """
         rows = self.sessions(Filter(sources=sources))
         if rows.limit(self.limits.page_items + 1).count() > self.limits.page_items:
             raise Oversized(f"more than {self.limits.page_items} sessions", "InventorySessions")
+        if configured is not None:
+            rows = health.with_source_state(rows, configured)
         return health.archive_status(rows, archived).orderBy("session_reference")
 
     def lookup_session(self, reference: str | None = None, producer: tuple[str, str] | None = None, locator: tuple[str, str] | None = None, archived: DataFrame | None = None) -> DataFrame:

@@ -10,12 +10,12 @@ COMPLETENESS = ("Complete", "Resumable", "Truncated", "Failed")
 
 
 def source_health(roots: DataFrame, records: DataFrame, failures: DataFrame, truncations: DataFrame) -> DataFrame:
-    """Per configured source: records, malformed lines, other failures, and one status, the gravest that applies. ``roots``: source, source_identifier."""
+    """Per configured source: records and files with some, malformed lines, other failures, and one status, the gravest that applies. ``roots``: source, source_identifier."""
     key = ["source", "source_identifier"]
-    good = records.groupBy(*key).agg(F.count(F.lit(1)).alias("records"))
+    good = records.groupBy(*key).agg(F.count(F.lit(1)).alias("records"), F.count_distinct("path").alias("files"))
     bad = failures.groupBy(*key).agg(F.sum((F.col("reason") == "Malformed").cast("long")).alias("malformed"), F.sum((F.col("reason") != "Malformed").cast("long")).alias("unreadable"))
     cut = truncations.groupBy(*key).agg(F.count(F.lit(1)).alias("truncations"))
-    rows = roots.join(good, key, "left").join(bad, key, "left").join(cut, key, "left").na.fill(0, ["records", "malformed", "unreadable", "truncations"])
+    rows = roots.join(good, key, "left").join(bad, key, "left").join(cut, key, "left").na.fill(0, ["records", "files", "malformed", "unreadable", "truncations"])
     status = F.when(F.col("unreadable") > 0, "Unreadable").when(F.col("truncations") > 0, "DiscoveryTruncated").when(F.col("malformed") > 0, "Malformed").when(F.col("records") == 0, "Empty").otherwise("Indexed")
     rows = rows.withColumn("status", status)
     grade = F.when(F.col("status") == "Unreadable", 3).when(F.col("status").isin("DiscoveryTruncated", "Malformed"), 2).otherwise(0)
@@ -35,6 +35,12 @@ def source_report(sessions: DataFrame) -> DataFrame:
     )
 
 
+def with_source_state(sessions: DataFrame, configured: DataFrame) -> DataFrame:
+    """Sessions with their source's status, completeness and scan report. ``configured``: one row a source, so it is small beside the sessions."""
+    report = configured.select("source", "source_identifier", F.col("status").alias("source_status"), F.col("completeness").alias("source_completeness"), F.struct("records", "files", "malformed", "unreadable", "truncations").alias("scan_report"))
+    return sessions.join(report, ["source", "source_identifier"], "left").withColumn("source_status", F.coalesce("source_status", F.lit("Unconfigured")))
+
+
 def archive_status(sessions: DataFrame, archived: DataFrame | None) -> DataFrame:
     """Sessions with ArchiveUnknown where no archive can be read or it is empty, else Archived or NotArchived."""
     if archived is None or archived.isEmpty():

@@ -90,6 +90,8 @@ def blocks(rows: DataFrame) -> DataFrame:
         F.when(text.isNull(), "Unavailable").otherwise("ReadableText").alias("availability"),
         F.coalesce(byte_length(text), F.lit(0)).alias("bytes"),
         F.coalesce(line_count(text), F.lit(0)).alias("lines"),
+        "fingerprint",
+        F.md5(text.cast("binary")).alias("text_hash"),
         text.alias("text"),
     )
 

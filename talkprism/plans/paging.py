@@ -12,7 +12,7 @@ import hashlib
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from talkprism.errors import FragileReferenceStale, InvalidRequest, Oversized
@@ -52,8 +52,9 @@ def after(sort: list[Key], last: list) -> Column:
         if value is None:
             out = c.isNull() & out
         else:
-            beyond = (c < F.lit(value)) if key.descending else (c > F.lit(value))
-            out = F.coalesce(beyond, F.lit(False)) | c.isNull() | ((c == F.lit(value)) & out)
+            at = value if isinstance(value, Column) else F.lit(value)
+            beyond = (c < at) if key.descending else (c > at)
+            out = F.coalesce(beyond, F.lit(False)) | c.isNull() | ((c == at) & out)
     return out
 
 
@@ -83,7 +84,13 @@ def signature(collection: str, order: str, limit: int, query, snapshot: str) ->
 
 
 def page(rows: DataFrame, sort: list[Key], limit: int, bound: str, cursor: str | None = None) -> Page:
-    """One page of ``rows``; ``bound`` is the listing's signature. A cursor of another one is stale."""
+    """One page of ``rows``; ``bound`` is the listing's signature. A cursor of another one is stale.
+
+    Timestamps stand in a cursor as microseconds since 1970 in UTC, so neither the session's time
+    zone nor the driver's has a part in them.
+    """
+    names, kinds = rows.columns, dict(rows.dtypes)
+    times = [k.column for k in sort if kinds[k.column] == "timestamp"]
     if cursor is not None:
         try:
             if len(cursor) > MAX_CURSOR_BYTES:
@@ -93,9 +100,10 @@ def page(rows: DataFrame, sort: list[Key], limit: int, bound: str, cursor: str |
             raise FragileReferenceStale("the cursor can't be read") from e
         if own != bound or len(last) != len(sort):
             raise FragileReferenceStale("the cursor belongs to another listing or snapshot")
-        rows = rows.where(after(sort, last))
-    found = ordered(rows, sort, limit + 1).collect()
+        rows = rows.where(after(sort, [F.timestamp_micros(F.lit(v)) if k.column in times and v is not None else v for k, v in zip(sort, last, strict=True)]))
+    found = ordered(rows.select("*", *[F.unix_micros(c).alias(f"micros of {c}") for c in times]), sort, limit + 1).collect()
     more = len(found) > limit
     found = found[:limit]
-    last = [found[-1][k.column] for k in sort] if found else []
-    return Page(found, base64.urlsafe_b64encode(json.dumps([bound, last], default=str).encode()).decode() if more else None)
+    last = [found[-1][f"micros of {k.column}" if k.column in times else k.column] for k in sort] if found else []
+    own = Row(*names)
+    return Page([own(*r[: len(names)]) for r in found], base64.urlsafe_b64encode(json.dumps([bound, last]).encode()).decode() if more else None)

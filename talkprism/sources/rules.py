@@ -56,14 +56,18 @@ def first(*options: Any) -> Any:
 
 def deep_text(value: Any, fields: tuple[str, ...]) -> str | None:
     """Text of nested content: a string, the texts of a list, or the first string field, else its content."""
-    if isinstance(value, str):
-        return value
-    if isinstance(value, list):
-        found = [t for v in value if (t := deep_text(v, fields)) is not None]
-        return "\n".join(found) if found else None
-    own = string(value, *fields)
-    inner = get(value, "content")
-    return own if own is not None else deep_text(inner, fields) if inner is not None else None
+    found, left = [], [value]
+    while left:
+        value = left.pop()
+        if isinstance(value, str):
+            found.append(value)
+        elif isinstance(value, list):
+            left += reversed(value)
+        elif (own := string(value, *fields)) is not None:
+            found.append(own)
+        elif (inner := get(value, "content")) is not None:
+            left.append(inner)
+    return "\n".join(found) if found else None
 
 
 TEXT, TEXT_OUTPUT = ("text",), ("text", "output")
@@ -223,12 +227,50 @@ PRODUCERS = {"Claude": claude, "ClaudeSubagentOutput": claude, "PiSubagentOutput
 TIMES = {"Pi": ("timestamp", "started_at")}
 
 
+#: Fixed value: arrays and objects may nest one level less.
+MAX_DEPTH = 128
+_ESCAPED_SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    if value - value != 0:
+        raise ValueError(f"{text} is out of range")
+    return value
+
+
+def _too_deep(value: Any) -> bool:
+    level = [value]
+    for _ in range(MAX_DEPTH - 1):
+        level = [x for v in level for x in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else ())]
+        if not level:
+            return False
+    return any(isinstance(v, (dict, list)) for v in level)
+
+
+def load(text: str) -> Any:
+    """The JSON value of a line; raises ValueError for what is none, lone surrogates, numbers out of range and MAX_DEPTH levels among it."""
+    try:
+        value = json.loads(text, parse_constant=_no_constant, parse_float=_finite)
+    except RecursionError as e:
+        raise ValueError("too deep") from e
+    if text.count("[") + text.count("{") >= MAX_DEPTH and _too_deep(value):
+        raise ValueError("too deep")
+    if _ESCAPED_SURROGATE.search(text):
+        json.dumps(value, ensure_ascii=False).encode()  # UnicodeEncodeError is a ValueError
+    return value
+
+
 def read_line(source: str, text: str) -> dict:
-    """The row of PARSED for one line."""
+    """The row of PARSED for one line, whatever it holds."""
     bad = {"malformed": True, "timestamp": None, "text": None, "title": None, "subagent_name": None, "authored_status": None, "task": None, "blocks": []}
     try:
-        line = json.loads(text)
-    except (ValueError, RecursionError):
+        line = load(text)
+    except ValueError:
         return bad
     when = string(line, *TIMES.get(source, ("timestamp", "created_at")))
     if when is not None and not _CANONICAL.match(when):

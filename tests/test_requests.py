@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from talkprism.operators.requests import Index, PageRequest
 from talkprism.operators.store import Store, changed_groups
 from talkprism.plans import collect, health, model, paging
 from talkprism.plans.filters import Filter
-from talkprism.sources.jsonl import Root, scan
+from talkprism.sources.jsonl import Limits, Root, scan
 
 CLOCK = Clock(dt.datetime(2025, 1, 1, 12, tzinfo=dt.timezone.utc))
 
@@ -37,8 +38,8 @@ def root(tmp_path_factory):
 
 
 @pytest.fixture(scope="module")
-def index(spark, root, tmp_path_factory):
-    store = Store(spark, str(tmp_path_factory.mktemp("store")))
+def index(spark, root):
+    store = Store(spark, "index_of_requests")
     snapshot, _ = store.refresh([Root(root, "Claude", "main")])
     return Index(snapshot.tables, InterfaceLimits(page_items=4, preview_bytes=20, read_bytes=100), CLOCK, snapshot.digest)
 
@@ -121,6 +122,27 @@ def test_deep_query(index):
         index.search(q)
 
 
+@pytest.mark.parametrize("order", ["OldestModifiedFirst", "NewestModifiedFirst"])
+def test_cursors_on_times_in_two_zones(spark, order):
+    """The session's zone and the driver's differ; pages still give every row once, at a clock change too."""
+    times = [dt.datetime(2025, 11, 2, 4, 30, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=30 * i, microseconds=i) for i in range(9)]
+    rows = spark.createDataFrame([(f"r{i}", "Claude", None, None, int(t.timestamp()) * 1_000_000 + t.microsecond) for i, t in enumerate(times)] + [("none", "Claude", None, None, None)], "session_reference string, source string, last_observed_at string, started_at string, us long")
+    own = Index({"sessions": rows.withColumn("modified", F.timestamp_micros("us"))}, InterfaceLimits(page_items=4))
+    before, zone = spark.conf.get("spark.sql.session.timeZone"), os.environ.get("TZ")
+    try:
+        for session, driver in (("UTC", "America/New_York"), ("America/New_York", "Asia/Tokyo")):
+            spark.conf.set("spark.sql.session.timeZone", session)
+            os.environ["TZ"] = driver
+            time.tzset()
+            got = [r["session_reference"] for r in all_pages(lambda p: own.list_sessions(Filter(), p), 3, order)]
+            want = [f"r{i}" for i in range(9)]
+            assert got == [*(want if order.startswith("Oldest") else want[::-1]), "none"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+        os.environ.pop("TZ") if zone is None else os.environ.update(TZ=zone)
+        time.tzset()
+
+
 def test_limits_references_and_cursors(index):
     page = index.list_outputs(Filter(), PageRequest(2))
     for request, error in ((PageRequest(0), errors.InvalidRequest), (PageRequest(5), errors.Oversized), (PageRequest(2, "Sideways"), errors.InvalidRequest)):
@@ -163,6 +185,14 @@ def test_reads_and_estimates(index, spark, root):
         index.read_output(ref, 100, current=current.withColumn("fingerprint", F.lit("changed")))
     with pytest.raises(errors.FragileReferenceBroken):
         index.read_output(ref, 100, current=current.limit(0))
+    records = scan(spark, Root(root, "Claude", "main")).records
+    assert index.read_output(ref, 100, current=records)["state"] == "Complete" and index.read_block(block, 8, current=records)["state"] == "Truncated"
+    other = records.withColumn("text", F.lit("rewritten")).withColumn("blocks", F.transform("blocks", lambda b: b.withField("kind", F.lit("UserPrompt"))))
+    for read in (index.read_output, index.read_block):
+        with pytest.raises(errors.FragileReferenceStale):
+            read(ref if read == index.read_output else block, 8, current=other)
+        with pytest.raises(errors.FragileReferenceBroken):
+            read(ref if read == index.read_output else block, 8, current=records.where("line_number = 99"))
 
 
 def test_texts(spark):
@@ -194,7 +224,7 @@ def test_inventory_lookup_and_health(index, spark, tmp_path):
 
 
 def test_publication_keeps_the_last_complete_generation(spark, tmp_path):
-    folder, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
+    folder, store = tmp_path / "in", Store(spark, "index_of_publication")
     folder.mkdir()
     root = Root(str(folder), "Claude", "main")
     with pytest.raises(errors.CollectionUnavailable):
@@ -210,14 +240,18 @@ def test_publication_keeps_the_last_complete_generation(spark, tmp_path):
     assert two.generation != one.generation and two.tables["outputs"].count() == 2
     os.remove(folder / "a.jsonl")
     three, scans = store.refresh([root])
-    assert len([g for g in os.listdir(tmp_path / "store") if g.startswith("gen-")]) == 2
+    assert {t.name.split("_")[0] for t in spark.catalog.listTables("index_of_publication")} == {"current", two.generation, three.generation}
+    spark.range(1).write.saveAsTable("index_of_publication.gen0_records")
+    assert store.clean() == ["gen0"] and store.snapshot().tables["outputs"].count() == 1
     gone = changed_groups(two.tables["outputs"], three.tables["outputs"], "output_reference").collect()
     assert len(gone) == 1 and gone[0]["state"] == "Removed"
     with pytest.raises(errors.FragileReferenceStale):
-        store._point({}, {"another": "writer"})
+        store.point(store.pointer(), None)
     roots = spark.createDataFrame([("Claude", "main"), ("Pi", "none")], "source string, source_identifier string")
     report = health.source_health(roots, scans[0].records, scans[0].failures, scans[0].truncations)
-    assert {(r["source"], r["status"]) for r in report.collect()} == {("Claude", "Indexed"), ("Pi", "Empty")}
+    assert {(r["source"], r["status"], r["files"]) for r in report.collect()} == {("Claude", "Indexed", 1), ("Pi", "Empty", 0)}
+    states = lambda found: {(r["source_status"], r["scan_report"] and r["scan_report"]["records"]) for r in Index(three.tables).inventory(configured=found).collect()}
+    assert states(report) == {("Indexed", 1)} and states(report.where("source = 'Pi'")) == {("Unconfigured", None)}
     state = Index(three.tables).observe_health(report)
     assert state["counts"]["outputs"] == 1 and state["completeness"] == "Complete"
 
@@ -260,6 +294,8 @@ def test_configuration(tmp_path):
     assert store.configure(good) == good == store.observe()
     bad = Configuration((Root("", "Word", ""), Root("/x", "Pi", "p"), Root("/y", "Pi", "p")), ("",), "/abs", InterfaceLimits(page_items=0))
     assert issues(bad) == ["UnknownSource:Word", "EmptyPath", "EmptyIdentifier", "RepeatedSource:Pi:p", "ZeroLimit:page_items", "EmptyRepository", "ArchivePathLeavesRoot"]
+    assert issues(Configuration()) == ["MissingTranscriptSource"]
+    assert issues(Configuration((Root("/x", "Pi", "p", Limits(files=10**9)),))) == ["LimitAboveCeiling:files"]
     with pytest.raises(errors.InvalidRequest):
         store.configure(bad)
     assert store.observe() == good

@@ -134,3 +134,16 @@ def test_stream_counts_by_window(spark, tmp_path):
     q = counts.writeStream.outputMode("complete").format("memory").queryName("kinds").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["n"] for r in spark.table("kinds").collect()) == [1, 1, 2]
+
+
+def test_a_scan_survives_any_line(spark, tmp_path):
+    """Lone surrogates, constants and numbers that JSON lacks, and deep content are malformed lines; a pair of surrogates and 127 levels are read."""
+    nested = lambda n: '{"payload":{"type":"message","content":' + "[" * (n - 2) + '"x"' + "]" * (n - 2) + "}}"
+    bad = ['{"text":"a\\ud800b"}', '{"text":"b\\uDC00"}', '{"text":"x","n":NaN}', '{"text":"x","n":-Infinity}', '{"text":"x","n":1e999}', nested(128), nested(5000), nested(60_000), "[" * 100_000, '{"text":"x"']
+    good = ['{"content":"\\ud83d\\ude00"}', nested(127), '{"content":{"content":{"content":["a",{"text":"b"}]}}}']
+    write(tmp_path / "s.jsonl", *bad, *good)
+    found = scan(spark, Root(str(tmp_path), "Codex", "main"))
+    assert sorted(r["line_number"] for r in found.failures.collect()) == list(range(1, len(bad) + 1))
+    assert {r["reason"] for r in found.failures.collect()} == {"Malformed"}
+    texts = [r["text"] for r in found.records.orderBy("line_number").collect()]
+    assert texts == ["😀", "x", "a\nb"]
