@@ -7,17 +7,23 @@ time windows and JSON fields.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkprism import errors
 from talkprism.functions import text as tx
 from talkprism.functions import textquery as tq
-from talkprism.functions.timestamps import Between, Clock, Recent, Since, within
-from talkprism.operators.requests import Index
+from talkprism.functions.timestamps import Between, Clock, Recent, Since, instant, rfc3339, within
+from talkprism.operators.archive import Archive, record_identifier
+from talkprism.operators.config import Configuration, InterfaceLimits, issues
+from talkprism.operators.requests import Index, PageRequest
+from talkprism.operators.store import Store, changed_groups
 from talkprism.plans import collect, health, model, paging
 from talkprism.plans.filters import Filter
+from talkprism.sources.jsonl import Limits, Root, parsed
 from talkprism.sources.repository import configured_changes
 from talkprism.sources.turns import records_of_turns
 
@@ -227,7 +233,7 @@ def size_metadata(spark, sf_dir):
 
 @query("""SELECT doc_id, CASE WHEN strlen("text") >= 120 THEN 100::bigint END AS bytes FROM documents""")
 def estimate_bytes(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.when(tx.byte_length("text") >= 120, F.lit(100).cast("long")).alias("bytes"))
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.byte_estimate(tx.byte_length("text"), 20, 120).alias("bytes"))
 
 
 @query(
@@ -235,8 +241,7 @@ def estimate_bytes(spark, sf_dir):
 SELECT doc_id, CASE WHEN n >= 2 THEN b * 2 // n END AS bytes FROM l"""
 )
 def estimate_lines(spark, sf_dir):
-    n = tx.line_count("text")
-    return _table(spark, sf_dir, "documents").select("doc_id", F.when(n >= 2, F.floor(tx.byte_length("text") * 2 / n).cast("long")).alias("bytes"))
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.line_estimate(tx.byte_length("text"), tx.line_count("text"), 1, 3).alias("bytes"))
 
 
 def _bytes_sql(a: int, b: int) -> str:
@@ -290,11 +295,14 @@ def health_rollup(spark, sf_dir):
     return health.source_health(roots, rows.where(~bad), failures, failures.limit(0)).select("source", "source_identifier", "records", "malformed", "unreadable", "status", "completeness")
 
 
-@query(_with(_REC) + "SELECT session_reference, arg_min(txt, line_number) AS first_text, arg_min(authored_status, line_number) AS authored_status FROM rec GROUP BY session_reference")
+@query(_with(_REC) + "SELECT session_reference, arg_min(txt, line_number) AS first_text, arg_min(authored_status, line_number) AS authored_status, count(DISTINCT output_reference) AS outputs FROM rec GROUP BY session_reference")
 def dedupe_first_wins(spark, sf_dir):
-    rows = model.keyed(_records(spark, sf_dir))
+    """Every record twice, and those of one role three times."""
+    once = _records(spark, sf_dir)
+    rows = model.unique(model.keyed(once.union(once).union(once.where("authored_status = 'HumanAuthored'"))))
     first = F.min_by(F.struct("text", "authored_status"), F.struct("path", "line_number"))
-    return rows.groupBy("session_reference").agg(first.alias("f")).select("session_reference", F.col("f.text").alias("first_text"), F.col("f.authored_status").alias("authored_status"))
+    found = rows.groupBy("session_reference").agg(first.alias("f"), F.count(F.lit(1)).alias("outputs"))
+    return found.select("session_reference", F.col("f.text").alias("first_text"), F.col("f.authored_status").alias("authored_status"), "outputs")
 
 
 @query(_with(_REC) + "SELECT output_reference, ts AS produced_at FROM rec WHERE ts BETWEEN '2025-01-03T12:00:00Z' AND '2025-01-04T00:00:00Z'")
@@ -336,6 +344,355 @@ def repository_semi_join(spark, sf_dir):
 
 @query("SELECT 'archive-record-' || lpad(vec_id::varchar, 16, '0') AS record_identifier, vec_id FROM embeddings")
 def archive_identifiers(spark, sf_dir):
-    from talkprism.operators.archive import record_identifier
-
     return _table(spark, sf_dir, "embeddings").select(record_identifier(F.col("vec_id")).alias("record_identifier"), "vec_id")
+
+
+# --- requests by reference, pages and their cursors -------------------------------------------------
+
+_SESSION_ZERO = "'session:v1:' || md5('producer-session|Claude|root-0|conv-0')"
+_WORKER_ONE = f"'subagent:v1:' || md5({_SESSION_ZERO} || '|worker-1')"
+
+
+def _session_zero(spark, sf_dir) -> str:
+    return _index(spark, sf_dir).lookup_session(producer=("Claude", "conv-0")).first()["session_reference"]
+
+
+@query(_with(_REC, _SESS) + f"SELECT session_reference, source, output_count, 'ArchiveUnknown' AS archive_status FROM sess WHERE session_reference = {_SESSION_ZERO}")
+def lookup_session_by_producer(spark, sf_dir):
+    return _index(spark, sf_dir).lookup_session(producer=("Claude", "conv-0")).select("session_reference", "source", "output_count", "archive_status")
+
+
+@query(_with(_REC, _SESS) + "SELECT s.session_reference, s.source, s.output_count FROM sess s WHERE s.session_reference IN (SELECT session_reference FROM rec WHERE path = 'conv-2.jsonl' AND source = 'Pi')")
+def lookup_session_by_file(spark, sf_dir):
+    return _index(spark, sf_dir).lookup_session(locator=("Pi", "conv-2.jsonl")).select("session_reference", "source", "output_count")
+
+
+@query(_with(_REC) + f"SELECT output_reference, session_reference, ts AS produced_at, task_identifier, bytes, lines FROM rec WHERE session_reference = {_SESSION_ZERO}")
+def outputs_of_session(spark, sf_dir):
+    return _index(spark, sf_dir).outputs(Filter(session=_session_zero(spark, sf_dir))).select(*_OUTPUT)
+
+
+@query(_with(_REC) + f"SELECT {_BLOCK_SQL} FROM rec WHERE subagent_reference = {_WORKER_ONE}")
+def blocks_of_subagent(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    own = index.subagents(Filter(session=_session_zero(spark, sf_dir))).where("subagent_name = 'worker-1'").first()
+    return index.blocks(Filter(subagent=own["subagent_reference"])).select(*_BLOCK)
+
+
+@query(_with(_REC) + f"SELECT {_BLOCK_SQL} FROM rec WHERE session_reference = {_SESSION_ZERO} AND line_number = 1")
+def blocks_of_output(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    first = index.list_outputs(Filter(session=_session_zero(spark, sf_dir)), PageRequest(1)).rows[0]
+    return index.blocks(Filter(output=first["output_reference"])).select(*_BLOCK)
+
+
+_FIRST = f"first_line AS (SELECT * FROM rec WHERE session_reference = {_SESSION_ZERO} AND line_number = 1)"
+
+
+@query(
+    _with(_REC, _FIRST)
+    + """SELECT 'whole' AS part, bytes, 'Exact' AS certainty FROM first_line UNION ALL SELECT 'bytes 2 to 9', 7, 'Exact' FROM first_line
+UNION ALL SELECT 'line 1', bytes // lines, 'Estimated' FROM first_line UNION ALL SELECT 'block', bytes, 'Exact' FROM first_line"""
+)
+def estimate_requests(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    wanted = Filter(session=_session_zero(spark, sf_dir))
+    output, block = index.list_outputs(wanted, PageRequest(1)).rows[0]["output_reference"], index.list_blocks(wanted, PageRequest(1)).rows[0]["block_reference"]
+    found = [("whole", index.estimate_output(output)), ("bytes 2 to 9", index.estimate_output(output, byte_range=(2, 9))), ("line 1", index.estimate_output(output, line_range=(1, 2))), ("block", index.estimate_block(block))]
+    return spark.createDataFrame([(k, x["bytes"], x["certainty"]) for k, x in found], "part string, bytes long, certainty string")
+
+
+@query(_with(_REC, _FIRST) + f"SELECT 'output' AS part, {_prefix('txt', 40)} AS content, CASE WHEN bytes > 40 THEN 'Truncated' ELSE 'Complete' END AS state FROM first_line UNION ALL SELECT 'block', {_prefix('txt', 64)}, CASE WHEN bytes > 64 THEN 'Truncated' ELSE 'Complete' END FROM first_line")
+def read_requests(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    wanted = Filter(session=_session_zero(spark, sf_dir))
+    output, block = index.list_outputs(wanted, PageRequest(1)).rows[0]["output_reference"], index.list_blocks(wanted, PageRequest(1)).rows[0]["block_reference"]
+    found = [("output", index.read_output(output, 40, current=_records(spark, sf_dir))), ("block", index.read_block(block, 64, current=_records(spark, sf_dir)))]
+    return spark.createDataFrame([(k, x["text"], x["state"]) for k, x in found], "part string, content string, state string")
+
+
+def _walk(listing: Callable, order: str, limit: int, pages: int) -> list[tuple[int, int, object]]:
+    """(page, place in all, row) of the first pages of a listing, each by the cursor of the one before."""
+    out, cursor = [], None
+    for k in range(pages):
+        page = listing(PageRequest(limit, order, cursor))
+        out += [(k, len(out) + i, r) for i, r in enumerate(page.rows)]
+        cursor = page.next_cursor
+        if cursor is None:
+            break
+    return out
+
+
+def _paged(order: str, limit: int, pages: int) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS place FROM {{table}} QUALIFY row_number() OVER (ORDER BY {order}) <= {limit * pages}"
+
+
+@query(_with(_REC, _SESS, f"p AS ({_paged('modified DESC, session_reference', 12, 3).format(table='sess')})") + "SELECT place // 12 AS page, place, session_reference, output_count FROM p")
+def session_pages_by_modified(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    rows = _walk(lambda p: index.list_sessions(Filter(), p), "NewestModifiedFirst", 12, 3)
+    return spark.createDataFrame([(k, i, r["session_reference"], r["output_count"]) for k, i, r in rows], "page long, place long, session_reference string, output_count long")
+
+
+_SUBS = "subs AS (SELECT subagent_reference, count(*) AS output_count, max(ts) AS last_seen FROM rec WHERE subagent_reference IS NOT NULL GROUP BY ALL)"
+
+
+@query(_with(_REC, _SUBS, f"p AS ({_paged('last_seen DESC, subagent_reference', 10, 2).format(table='subs')})") + "SELECT place // 10 AS page, place, subagent_reference, output_count FROM p")
+def subagent_pages(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    rows = _walk(lambda p: index.list_subagents(Filter(), p), "NewestFirst", 10, 2)
+    return spark.createDataFrame([(k, i, r["subagent_reference"], r["output_count"]) for k, i, r in rows], "page long, place long, subagent_reference string, output_count long")
+
+
+@query(_with(_REC, f"p AS ({_paged('ts, output_reference', 15, 2).format(table='rec')})") + f"SELECT place // 15 AS page, place, output_reference, {_prefix('txt', 20)} AS preview FROM p")
+def output_pages(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    rows = _walk(lambda p: index.list_outputs(Filter(), p, 20), "OldestFirst", 15, 2)
+    return spark.createDataFrame([(k, i, r["output_reference"], r["preview"]) for k, i, r in rows], "page long, place long, output_reference string, preview string")
+
+
+@query(_with(_REC, f"p AS ({_paged('block_reference', 15, 2).format(table='rec')})") + "SELECT place // 15 AS page, place, block_reference, kind FROM p")
+def block_pages_by_reference(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    rows = _walk(lambda p: index.list_blocks(Filter(), p), "ReferenceAscending", 15, 2)
+    return spark.createDataFrame([(k, i, r["block_reference"], r["kind"]) for k, i, r in rows], "page long, place long, block_reference string, kind string")
+
+
+@query(_with(_REC, "tok AS (SELECT *, regexp_extract_all(lower(txt), '[\\p{L}\\p{N}]+') AS t FROM rec)", "hit AS (SELECT * FROM tok WHERE list_contains(t, 'the'))", f"p AS ({_paged('ts DESC, source, source_identifier, path, line_number, block_reference', 20, 3).format(table='hit')})") + "SELECT place // 20 AS page, place, block_reference FROM p")
+def search_pages(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    rows = _walk(lambda p: index.search_blocks(tq.Word("the"), Filter(), p), "NewestFirst", 20, 3)
+    return spark.createDataFrame([(k, i, r["block_reference"]) for k, i, r in rows], "page long, place long, block_reference string")
+
+
+@query(_with(_REC, _FIRST) + "SELECT 'segment:v1:' || md5(output_reference || '|0') AS segment_reference, 0::bigint AS segment_index, bytes AS byte_end FROM first_line")
+def segment_page(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    output = index.list_outputs(Filter(session=_session_zero(spark, sf_dir)), PageRequest(1)).rows[0]["output_reference"]
+    rows = index.list_segments(output, PageRequest(5)).rows
+    return spark.createDataFrame([(r["segment_reference"], r["segment_index"], r["byte_range"]["end"]) for r in rows], "segment_reference string, segment_index long, byte_end long")
+
+
+@query(_with(_REC, "n AS (SELECT * REPLACE (CASE WHEN turn % 2 = 0 THEN ts END AS ts) FROM rec WHERE conv_id < 12)") + "SELECT output_reference, ts AS produced_at FROM n ORDER BY ts DESC NULLS LAST, output_reference LIMIT 40")
+def outputs_without_times_last(spark, sf_dir):
+    records = _records(spark, sf_dir).where("cast(substring(path, 6, length(path) - 11) as int) < 12")
+    rows = model.outputs(model.keyed(records)).withColumn("produced_at", F.when(F.col("line_number") % 2 == 1, F.col("produced_at")))
+    return paging.ordered(rows, paging.keys("NewestFirst", "output_reference", "produced_at"), 40).select("output_reference", "produced_at")
+
+
+@query(
+    _with(_REC, "tok AS (SELECT *, regexp_extract_all(lower(txt), '[\\p{L}\\p{N}]+') AS t FROM rec)", "starts AS (SELECT block_reference, unnest(list_filter(range(1, len(t)), lambda i: t[i] = 'in' AND t[i + 1] = 'the')) - 1 AS p FROM tok)")
+    + "SELECT block_reference, p::int AS span_start, (p + 1)::int AS span_end FROM starts"
+)
+def search_phrase_spans(spark, sf_dir):
+    rows = _index(spark, sf_dir).search(tq.Phrase("In the")).select("block_reference", F.explode("evidence").alias("e"))
+    return rows.select("block_reference", F.explode("e.spans").alias("s")).select("block_reference", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
+
+
+@query(_with(_REC, _SESS) + "SELECT (SELECT count(*) FROM sess) AS sessions, (SELECT count(DISTINCT subagent_reference) FROM rec) AS subagents, count(*) AS outputs, count(*) AS blocks, 'Complete' AS completeness FROM rec")
+def observe_health_counts(spark, sf_dir):
+    rows = _records(spark, sf_dir)
+    report = health.source_health(rows.select("source", "source_identifier").distinct(), rows, _no_failures(rows), _no_failures(rows))
+    state = _index(spark, sf_dir).observe_health(report)
+    return spark.createDataFrame([(*[state["counts"][t] for t in ("sessions", "subagents", "outputs", "blocks")], state["completeness"])], "sessions long, subagents long, outputs long, blocks long, completeness string")
+
+
+def _no_failures(rows: DataFrame) -> DataFrame:
+    return rows.select("source", "source_identifier", "path", "line_number", F.lit("").alias("reason")).limit(0)
+
+
+@query(_with(_REC) + "SELECT source, source_identifier, count(*) AS records, count(DISTINCT path) AS files, 'Indexed' AS status FROM rec GROUP BY ALL UNION ALL SELECT 'Pi', 'root-none', 0, 0, 'Empty'")
+def source_files(spark, sf_dir):
+    rows = _records(spark, sf_dir)
+    roots = rows.select("source", "source_identifier").distinct().union(spark.createDataFrame([("Pi", "root-none")], "source string, source_identifier string"))
+    return health.source_health(roots, rows, _no_failures(rows), _no_failures(rows)).select("source", "source_identifier", "records", "files", "status")
+
+
+@query(
+    _with(_REC, _SESS, "state AS (SELECT source, count(*) AS records, count(DISTINCT path) AS files FROM rec WHERE source <> 'Codex' GROUP BY source)")
+    + "SELECT session_reference, CASE WHEN records IS NULL THEN 'Unconfigured' ELSE 'Indexed' END AS source_status, records, files FROM sess LEFT JOIN state USING (source)"
+)
+def inventory_with_source_state(spark, sf_dir):
+    index, rows = _index(spark, sf_dir), _records(spark, sf_dir)
+    report = health.source_health(rows.select("source", "source_identifier").distinct(), rows, _no_failures(rows), _no_failures(rows)).where("source <> 'Codex'")
+    all_cards = Index(index.tables, InterfaceLimits(page_items=1_000_000))
+    return all_cards.inventory(configured=report).select("session_reference", "source_status", F.col("scan_report.records").alias("records"), F.col("scan_report.files").alias("files"))
+
+
+# --- transcript lines ------------------------------------------------------------------------------
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, path, line_number, raw): every turn as a JSON line of its producer; of a fourth source most lines are no JSON."""
+    rows = _records(spark, sf_dir).join(_table(spark, sf_dir, "conversations").select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), (F.col("turn") + 1).cast("long").alias("line_number"), "role"), ["path", "line_number"])
+    turn = F.col("line_number") - 1
+    piece = lambda **f: F.to_json(F.struct(*[x.alias(k) for k, x in f.items()]))
+    text, role, lit = F.to_json(F.struct("text")), F.col("role"), F.lit
+    quoted = F.substring(text, 9, F.length(text) - 9)  # the text as a JSON string
+    role_json = F.concat(lit('"'), role, lit('"'))
+    number = turn.cast("string")
+    claude = F.when(
+        turn % 2 == 0,
+        F.concat(
+            lit('{"timestamp":"'), "timestamp", lit('","type":'), role_json, lit(',"title":"T'), number, lit('","agent_name":"w'), number, lit('","task_id":"k'), number,
+            lit('","message":{"role":'), role_json, lit(',"content":[{"type":"thinking","thinking":"t'), number, lit('"},{"type":"text","text":'), quoted,
+            lit('},{"type":"tool_use","name":"Bash","id":"u1","input":{"b":1,"a":"x"}},{"type":"tool_result","content":[{"text":"ok"},{"text":"fine"}]},{"type":"image"}]}}'),
+        ),
+    ).otherwise(piece(timestamp=F.col("timestamp"), role=role, text=F.col("text")))
+    codex = (
+        F.when(turn % 4 == 0, F.concat(lit('{"payload":{"type":"message","role":'), role_json, lit(',"content":[{"text":'), quoted, lit('},{"content":[{"text":"deep"}]}]}}')))
+        .when(turn % 4 == 1, lit('{"payload":{"type":"function_call","name":"f","arguments":"{}"}}'))
+        .when(turn % 4 == 2, F.concat(lit('{"payload":{"type":"function_call_output","output":'), quoted, lit("}}")))
+        .otherwise(F.concat(lit('{"payload":{"type":"reasoning","summary":[{"text":"why"},{"text":'), quoted, lit("}]}}")))
+    )
+    pi = (
+        F.when(turn % 3 == 0, F.concat(lit('{"type":"message","message":{"role":'), role_json, lit(',"content":[{"type":"thinking","text":"p"},{"type":"toolCall","name":"g","input":1},{"type":"text","text":'), quoted, lit("}]}}")))
+        .when(turn % 3 == 1, piece(role=role, output=F.col("text")))
+        .otherwise(lit('{"type":"custom_message","content":"note"}'))
+    )
+    broken = F.element_at(F.array(*[lit(x) for x in ("not-json", '{"text":"a\\ud800b"}', '{"text":"x","n":NaN}', '{"text":"x","n":' + "[" * 200 + "]" * 200 + "}", '{"text":"ok"}', "")]), (turn % 6 + 1).cast("int"))
+    raw = F.when(F.col("source") == "Claude", claude).when(F.col("source") == "Codex", codex).when(F.col("source") == "Pi", pi).otherwise(broken)
+    return rows.select("source", "path", "line_number", raw.alias("raw"))
+
+
+def _parsed(spark, sf_dir, source: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).where(F.col("source") == source)
+    return rows.select("path", "line_number", parsed(F.lit(source), F.col("raw")).alias("p"))
+
+
+def _parsed_blocks(name: str, source: str, pieces: list[tuple[str, str, str]]) -> None:
+    """A query of the blocks of a source's lines. ``pieces``: condition, kind and text in SQL, in order; blank texts count for nothing."""
+
+    def run(spark, sf_dir):
+        return _parsed(spark, sf_dir, source).select("path", "line_number", F.posexplode("p.blocks").alias("block_index", "b")).select("path", "line_number", "block_index", F.col("b.kind").alias("kind"), F.col("b.text").alias("content"))
+
+    run.__name__ = name
+    parts = [f"SELECT path, line_number, {i} AS pos, {kind} AS kind, {text} AS content FROM rec WHERE source = '{source}' AND {condition}" for i, (condition, kind, text) in enumerate(pieces)]
+    sql = f"b AS ({' UNION ALL '.join(parts)})"
+    query(_with(_REC, sql) + "SELECT path, line_number, (row_number() OVER (PARTITION BY path, line_number ORDER BY pos) - 1)::int AS block_index, kind, content FROM b WHERE kind = 'Attachment' OR trim(content) <> ''")(run)
+
+
+_parsed_blocks("parse_claude_blocks", "Claude", [
+    ("turn % 2 = 0", "'Inference'", "'t' || turn"),
+    ("TRUE", "kind", "txt"),
+    ("turn % 2 = 0", "'ToolCall'", """'{"id":"u1","input":{"a":"x","b":1},"name":"Bash","type":"tool_use"}'"""),
+    ("turn % 2 = 0", "'ToolResult'", "'ok' || chr(10) || 'fine'"),
+    ("turn % 2 = 0", "'Attachment'", "NULL"),
+])
+_parsed_blocks("parse_codex_blocks", "Codex", [
+    ("turn % 4 = 0", "kind", "txt || chr(10) || 'deep'"),
+    ("turn % 4 = 1", "'ToolCall'", """'{"arguments":"{}","name":"f","type":"function_call"}'"""),
+    ("turn % 4 = 2", "'ToolResult'", "txt"),
+    ("turn % 4 = 3", "'Inference'", "'why' || chr(10) || txt"),
+])
+_parsed_blocks("parse_pi_blocks", "Pi", [
+    ("turn % 3 = 0", "'Inference'", "'p'"),
+    ("turn % 3 = 0", "'ToolCall'", """'{"input":1,"name":"g","type":"toolCall"}'"""),
+    ("turn % 3 IN (0, 1)", "kind", "txt"),
+    ("turn % 3 = 2", "'SessionEvent'", "'note'"),
+])
+
+
+@query(_with(_REC) + "SELECT path, line_number, turn % 6 <> 4 AS malformed, CASE WHEN turn % 6 = 4 THEN 'ok' END AS content FROM rec WHERE source = 'ClaudeSubagentOutput'")
+def parse_malformed_lines(spark, sf_dir):
+    return _parsed(spark, sf_dir, "ClaudeSubagentOutput").select("path", "line_number", F.col("p.malformed").alias("malformed"), F.col("p.text").alias("content"))
+
+
+@query(
+    _with(_REC)
+    + """SELECT path, line_number, ts AS timestamp, CASE WHEN turn % 2 = 0 THEN 't' || turn || chr(10) || txt ELSE txt END AS content, CASE WHEN turn % 2 = 0 THEN 'T' || turn END AS title,
+ CASE WHEN turn % 2 = 0 THEN 'w' || turn END AS subagent_name, authored_status, CASE WHEN turn % 2 = 0 THEN 'k' || turn END AS task_identifier FROM rec WHERE source = 'Claude'"""
+)
+def parse_metadata(spark, sf_dir):
+    p = F.col("p")
+    return _parsed(spark, sf_dir, "Claude").select("path", "line_number", p["timestamp"].alias("timestamp"), p["text"].alias("content"), p["title"].alias("title"), p["subagent_name"].alias("subagent_name"), p["authored_status"].alias("authored_status"), p["task"]["task_identifier"].alias("task_identifier"))
+
+
+# --- times, guards, archive, publication -------------------------------------------------------------
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad((microsecond(ts) % 1000000)::varchar, 6, '0'), '0') END || 'Z' AS canonical, TRUE AS same FROM events")
+def canonical_times(spark, sf_dir):
+    """Timestamps to their canonical text and back."""
+    at = F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z")))
+    return _table(spark, sf_dir, "events").select("event_id", rfc3339(at).alias("canonical"), (instant(rfc3339(at)) == at).alias("same"))
+
+
+@query("SELECT event_id, event_id % 5 = 0 AS canonical FROM events")
+def noncanonical_times(spark, sf_dir):
+    """Only the first of five writings of a time is canonical."""
+    day = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    forms = [F.concat(day, F.lit("Z")), F.concat(day, F.lit("+00:00")), F.concat(day, F.lit(".500Z")), F.concat(F.translate(day, "T", " "), F.lit("Z")), day]
+    return _table(spark, sf_dir, "events").select("event_id", instant(F.element_at(F.array(*forms), (F.col("event_id") % 5 + 1).cast("int"))).isNotNull().alias("canonical"))
+
+
+_GUARDS = {
+    "page of none": ("InvalidRequest", lambda i: i.list_outputs(Filter(), PageRequest(0))),
+    "page above the limit": ("Oversized", lambda i: i.list_outputs(Filter(), PageRequest(65))),
+    "unknown order": ("InvalidRequest", lambda i: i.list_outputs(Filter(), PageRequest(5, "Sideways"))),
+    "preview of none": ("InvalidRequest", lambda i: i.list_outputs(Filter(), PageRequest(5), 0)),
+    "preview above the limit": ("Oversized", lambda i: i.list_blocks(Filter(), PageRequest(5), 4097)),
+    "read above the limit": ("Oversized", lambda i: i.read_output("output:v1:x", 65_537)),
+    "word without letters": ("InvalidQuery", lambda i: i.search(tq.Word("!"))),
+    "empty phrase": ("InvalidQuery", lambda i: i.search(tq.Phrase(" "))),
+    "near by too many words": ("InvalidQuery", lambda i: i.search(tq.Near("a", "b", 10_001))),
+    "all of nothing": ("InvalidQuery", lambda i: i.search(tq.AllOf(()))),
+    "unknown session": ("Missing", lambda i: i.list_outputs(Filter(session="session:v1:x"), PageRequest(5))),
+    "cursor that can't be read": ("FragileReferenceStale", lambda i: i.list_outputs(Filter(), PageRequest(5, "OldestFirst", "junk"))),
+    "reversed window": ("InvalidTimeWindow", lambda i: i.outputs(Filter(window=Between("2025-01-02T00:00:00Z", "2025-01-01T00:00:00Z")))),
+    "budget of none": ("LimitExceeded", lambda i: collect.Budget(0, 1)),
+    "request without an id": ("InvalidRequest", lambda i: collect.collect(None, None, "", None, collect.Budget(1, 1), CLOCK)),
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', '{error}')" for k, (error, _) in _GUARDS.items()) + ") AS t(request, error)")
+def request_guards(spark, sf_dir):
+    index, found = _index(spark, sf_dir), []
+    for name, (_, call) in _GUARDS.items():
+        try:
+            call(index)
+            found.append((name, None))
+        except errors.Rejected as e:
+            found.append((name, type(e).__name__))
+    return spark.createDataFrame(found, "request string, error string")
+
+
+_BAD = Configuration((Root("", "Word", ""), Root("/x", "Pi", "p"), Root("/y", "Pi", "p", Limits(files=0))), ("",), "../x", InterfaceLimits(read_bytes=0))
+
+
+@query("SELECT * FROM (VALUES ('UnknownSource:Word'), ('EmptyPath'), ('EmptyIdentifier'), ('RepeatedSource:Pi:p'), ('ZeroLimit:files'), ('ZeroLimit:read_bytes'), ('EmptyRepository'), ('ArchivePathLeavesRoot'), ('MissingTranscriptSource')) AS t(issue)")
+def configuration_issues(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in [*issues(_BAD), *issues(Configuration())]], "issue string")
+
+
+@query("SELECT 'talkprism 0.5.0' AS version")
+def version(spark, sf_dir):
+    return spark.createDataFrame([(_index(spark, sf_dir).version(),)], "version string")
+
+
+@query(_with(_REC, _SESS, "a AS (SELECT session_reference, row_number() OVER (ORDER BY started_at, session_reference) - 1 AS n, output_count FROM sess QUALIFY n < 3)") + "SELECT 'archive-record-' || lpad(n::varchar, 16, '0') AS record_identifier, session_reference, output_count, left('summary of ' || n, 10) AS summary, 'Truncated' AS summary_state FROM a")
+def archive_records(spark, sf_dir):
+    """Three sessions written to a new archive, queried, and each read with a cut summary."""
+    folder = spark.conf.get("spark.sql.warehouse.dir")
+    archive = Archive(spark, folder, f"archive-{uuid.uuid4().hex}")
+    for n, row in enumerate(_index(spark, sf_dir).list_sessions(Filter(), PageRequest(3)).rows):
+        archive.write({**row.asDict(), "started_at": row["started_at"]}, f"summary of {n}", "query", "2025-01-04T00:00:00Z")
+    out = []
+    for row in archive.query().collect():
+        read = archive.read(row["record_identifier"], 10, 100)
+        out.append((row["record_identifier"], row["session_reference"], row["output_count"], read["summary"], read["summary_state"]))
+    return spark.createDataFrame(out, "record_identifier string, session_reference string, output_count long, summary string, summary_state string")
+
+
+@query(_with(_REC, _SESS) + "SELECT session_reference, source, output_count, subagent_count, total_bytes FROM sess")
+def published_sessions(spark, sf_dir):
+    """Two sources published, then all five: what a reader of the second generation sees."""
+    store, rows = Store(spark, f"published_{uuid.uuid4().hex[:8]}"), _records(spark, sf_dir)
+    store.publish(rows.where("source in ('Claude', 'Pi')"))
+    return store.publish(rows.where("source in ('Claude', 'Pi')").union(rows.where("source not in ('Claude', 'Pi')"))).tables["sessions"].select("session_reference", "source", "output_count", "subagent_count", "total_bytes")
+
+
+@query(_with(_REC) + "SELECT output_reference, 'Removed' AS state FROM rec WHERE turn % 3 = 1")
+def removed_outputs(spark, sf_dir):
+    rows = model.outputs(model.keyed(_records(spark, sf_dir)))
+    return changed_groups(rows, rows.where("(line_number - 1) % 3 <> 1"), "output_reference")
