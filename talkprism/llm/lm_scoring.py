@@ -1,25 +1,31 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation.
 
 Spark counts the tokens of all training texts. The most frequent are outputs of the model; the
-rest fall into classes by their last bytes, so the number of outputs is fixed. Training runs in
-rounds, each over its own part of the training texts, all texts in turn: every partition takes
-the current parameters, makes stochastic noise-contrastive steps in numpy over its tokens, and
-the parameters are averaged by tokens seen, in two levels of groups, the last few vectors, of
-fixed number and size, on the driver.
+others fall into classes by their last bytes, and inside a class a second log-bilinear step has a
+vector for each of its frequent words. The words with vectors are as many as VECTORS times the
+cube root of the tokens, the classes as twice the square root of these words, so both grow with
+the corpus and a class stays small.
+
+Training runs in rounds, each over its own part of the training texts, all texts in turn: every
+partition takes the current parameters, makes stochastic noise-contrastive steps in numpy over
+its tokens, and the parameters are averaged, by tokens seen and, for the words of classes, by how
+often each was a target or a noise word. The sums go through a tree of bounded fan-in, so no task
+and not the driver holds more than a few vectors of parameters.
 
 The score of output w after outputs c2, c1 is A1[c1, w] + A2[c2, w] + b[w], each A a product
 of context and target vectors. The exponential of a sum is a product, so one matrix product,
-exp(A2 + b) times exp(A1) transposed, gives the normaliser of every context and the
-probabilities are exactly normalised. A rare token's probability is its class's times its
-smoothed share of the class, where every class keeps one place for unseen tokens.
-
-The scoring pass looks frequent tokens up in a broadcast table of fixed size; a document's
-other tokens, distinct and counted, are joined with the full counts in Spark.
-
-Defined cases: a null or empty text is its end token alone; a null doc_id is split as an empty
-string would be and is kept; repeated rows are scored each; with nothing to learn from, every
-token has base probability 1 and the model is uniform; an empty table gives an empty result;
-other columns, whatever their names, are left alone.
+exp(A2 + b) times exp(A1) transposed, gives the normaliser of every context. Inside a class one
+matrix product of the contexts met there and the vectors of its words gives theirs. So all
+probabilities are exactly normalised. A token without a vector has its smoothed share of what its
+class leaves to others, where every class keeps one place for unseen tokens.
+
+The scoring pass looks frequent tokens up in a broadcast table; a document's other tokens,
+distinct and counted, are joined with the full counts in Spark.
+
+Defined cases: a null or empty text is its end token alone; a very long text is read whole; a
+null doc_id is split as an empty string would be and is kept; repeated rows are scored each; with
+nothing to learn from, every token has base probability 1 and the model is uniform; an empty
+table gives an empty result; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -42,17 +48,25 @@ from talkprism.llm.common import materialize
 END = b" "
 ADD = 0.1
 FOLDS = 10
-#: Fixed bounds: tokens broadcast with their counts, outputs that are words, outputs that are classes of rare words.
-FREQUENT = 65_536
+#: Words with a vector: so many times the cube root of the training tokens.
+VECTORS = 48
+#: Outputs that are words, and the least number of outputs that are classes of other words.
 MODEL_WORDS = 1024
 CLASSES = 256
+#: Tokens broadcast with their counts, at least.
+FREQUENT = 65_536
 DIMENSION = 16
 ROUNDS = 3
 NOISE = 32
+#: Noise words of each token of a class, drawn from its class.
+CLASS_NOISE = 5
 BATCH = 8192
 RATE = 0.1
-#: Parameter vectors averaged at the first level, and those that reach the driver in a round.
-GROUPS = (256, 16)
+#: Bytes of parameter vectors that a task, or the driver, adds up at once, and how many at most.
+FAN_BYTES = 128 << 20
+FAN = 16
+#: Tokens scored together.
+CHUNK = 200_000
 _FLUSH_TOKENS = 300_000
 
 
@@ -87,31 +101,43 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInPandas(_count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def rare_class(token: bytes) -> int:
+def rare_class(token: bytes, classes: int = CLASSES) -> int:
     """The class, from 0, of a token that is no output of its own."""
-    return xxhash.xxh32_intdigest(token[-3:]) % CLASSES
+    return xxhash.xxh32_intdigest(token[-3:]) % classes
+
 
+def _rare_class(classes: int):
+    @F.pandas_udf(T.IntegerType())
+    def of(values: pd.Series) -> pd.Series:
+        return pd.Series([rare_class(v.encode("utf-8", "surrogatepass"), classes) for v in values], dtype="int32")
 
-@F.pandas_udf(T.IntegerType())
-def _rare_class(values: pd.Series) -> pd.Series:
-    return pd.Series([rare_class(v.encode("utf-8", "surrogatepass")) for v in values], dtype="int32")
+    return of
 
 
 @dataclass
 class Vocabulary:
-    """What scoring needs of the counts, of fixed size. Outputs: words of the model, then classes."""
+    """What training and scoring need of the counts. Outputs: the first ``n_words`` tokens of the index, then classes. The first ``n_vectors`` tokens have a vector. A class's slots are its words with a vector, then one for all its others."""
 
     index: dict[bytes, int]
     counts: np.ndarray
     n_words: int
+    n_vectors: int
     total: int
     kinds: int
     class_counts: np.ndarray
     class_kinds: np.ndarray
 
+    @property
+    def n_classes(self) -> int:
+        return len(self.class_counts)
+
     @property
     def n_outputs(self) -> int:
-        return self.n_words + CLASSES
+        return self.n_words + self.n_classes
+
+    @property
+    def n_slots(self) -> int:
+        return self.n_vectors - self.n_words + self.n_classes
 
     @property
     def denominator(self) -> float:
@@ -119,36 +145,61 @@ class Vocabulary:
 
     def __post_init__(self):
         rare = list(self.index)[self.n_words :]
-        self.outputs = np.concatenate([np.arange(self.n_words), [self.n_words + rare_class(t) for t in rare]]).astype(np.int64)
+        own = np.array([rare_class(t, self.n_classes) for t in rare], dtype=np.int64)
+        self.outputs = np.concatenate([np.arange(self.n_words), self.n_words + own])
         self.log_add = np.log10(self.counts + ADD)
-        #: log10 of a class's smoothed total: a member's log10(count + ADD) less this is its share.
-        self.class_logs = np.log10(self.class_counts + ADD * (self.class_kinds + 1))
+        members = own[: self.n_vectors - self.n_words]
+        sizes = np.bincount(members, minlength=self.n_classes)
+        #: Where the slots of each class end; the last of them is for others.
+        self.ends = np.cumsum(sizes + 1)
+        order = np.argsort(members, kind="stable")
+        place = np.arange(len(members)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        slots = self.ends[own] - 1
+        slots[order] = (self.ends - 1 - sizes)[members[order]] + place
+        self.slots = np.concatenate([np.full(self.n_words, -1), slots])
+        tail = self.counts[self.n_words : self.n_vectors]
+        others = self.class_counts - np.bincount(members, tail, self.n_classes)
+        self.slot_counts = np.zeros(self.n_slots)
+        self.slot_counts[self.ends - 1] = others
+        self.slot_counts[slots[: len(members)]] = tail
+        #: log10 of the smoothed total of a class's others: another's log10(count + ADD) less this is its share of them.
+        self.other_logs = np.log10(others + ADD * (self.class_kinds - sizes + 1))
         self.shares = np.zeros(len(self.counts))
-        self.shares[self.n_words :] = self.log_add[self.n_words :] - self.class_logs[self.outputs[self.n_words :] - self.n_words]
+        self.shares[self.n_vectors :] = self.log_add[self.n_vectors :] - self.other_logs[own[len(members) :]]
 
     def unigram(self) -> np.ndarray:
         """Smoothed probability of each output."""
         n = np.concatenate([self.counts[: self.n_words], self.class_counts]) + 1.0
         return n / n.sum()
 
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(index of each token or -1, its output, the tokens without an index)."""
+    def within(self) -> np.ndarray:
+        """Smoothed probability of each slot in its class."""
+        n = self.slot_counts + 1.0
+        starts = np.concatenate([[0], self.ends[:-1]])
+        return n / np.repeat(np.add.reduceat(n, starts), self.ends - starts)
+
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """(index of each token or -1, its output, its slot or -1, the tokens without an index)."""
         own = tokens(text)
         get = self.index.get
         at = np.array([get(t, -1) for t in own], dtype=np.int64)
-        outputs = np.zeros(len(at), dtype=np.int64)
-        outputs[at >= 0] = self.outputs[at[at >= 0]]
-        missing = [own[i] for i in np.flatnonzero(at < 0).tolist()]
-        outputs[at < 0] = [self.n_words + rare_class(t) for t in missing]
-        return at, outputs, missing
+        known = at >= 0
+        outputs, slots = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        outputs[known], slots[known] = self.outputs[at[known]], self.slots[at[known]]
+        missing = [own[i] for i in np.flatnonzero(~known).tolist()]
+        classes = np.array([rare_class(t, self.n_classes) for t in missing], dtype=np.int64)
+        outputs[~known], slots[~known] = self.n_words + classes, self.ends[classes] - 1
+        return at, outputs, slots, missing
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From (token, n): totals, the most frequent tokens, sums of the classes; each of fixed size."""
+    """From (token, n): totals, the most frequent tokens, sums of the classes; each grows as a small power of the corpus."""
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # Counts by steps of their logarithm tell the least count to take, so at most FREQUENT rows are sent.
+    vectors = round(VECTORS * total ** (1 / 3))
+    classes = max(CLASSES, round(2 * vectors**0.5))
+    # Counts by steps of their logarithm tell the least count to take, so no more rows are sent than are wanted.
     step = F.floor(F.log2("n") * 64).cast("int")
-    room, least = FREQUENT, None
+    room, least = max(FREQUENT, vectors), None
     for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
         room -= r["k"]
         if room < 0:
@@ -158,37 +209,56 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     top = sorted(((r["token"].encode("utf-8", "surrogatepass"), r["n"]) for r in top), key=lambda r: (-r[1], r[0]))
     n_words = min(MODEL_WORDS, len(top))
     own = [t.decode("utf-8", "surrogatepass") for t, _ in top[:n_words]]
-    rare = counts.where(~F.col("token").isin(own)).groupBy(_rare_class("token").alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()
-    sums, sizes = np.zeros(CLASSES), np.zeros(CLASSES)
+    rare = counts.where(~F.col("token").isin(own)).groupBy(_rare_class(classes)("token").alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()
+    sums, sizes = np.zeros(classes), np.zeros(classes)
     for r in rare:
         sums[r["c"]], sizes[r["c"]] = r["n"], r["k"]
-    return Vocabulary({t: i for i, (t, _) in enumerate(top)}, np.array([n for _, n in top], dtype=np.float64), n_words, total, kinds, sums, sizes)
+    return Vocabulary({t: i for i, (t, _) in enumerate(top)}, np.array([n for _, n in top], dtype=np.float64), n_words, max(n_words, min(vectors, len(top))), total, kinds, sums, sizes)
 
 
 @dataclass
 class Model:
-    """Context vectors one and two back (the last row is the start of a text), target vectors, biases."""
+    """Outputs: context vectors one and two back (the last row is the start of a text), target vectors, biases. Slots of classes: the same, with contexts of their own."""
 
     r1: np.ndarray
     r2: np.ndarray
     q: np.ndarray
     b: np.ndarray
+    s1: np.ndarray
+    s2: np.ndarray
+    t: np.ndarray
+    d: np.ndarray
 
     @classmethod
-    def start(cls, unigram: np.ndarray, seed: int = 42) -> Model:
+    def start(cls, unigram: np.ndarray, within: np.ndarray | None = None, seed: int = 42) -> Model:
         rng = np.random.default_rng(seed)
-        k = len(unigram)
+        k, slots = len(unigram), np.ones(0) if within is None else within
         small = lambda n: rng.normal(0, 0.1, (n, DIMENSION)).astype(np.float32)
-        return cls(small(k + 1), small(k + 1), small(k), np.log(unigram).astype(np.float32))
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r1, self.r2, self.q, self.b)]).astype(np.float32)
-
-    @classmethod
-    def of(cls, flat: np.ndarray, k: int) -> Model:
-        cut = np.cumsum([(k + 1) * DIMENSION, (k + 1) * DIMENSION, k * DIMENSION])
-        r1, r2, q, b = np.split(flat.astype(np.float32), cut)
-        return cls(r1.reshape(-1, DIMENSION).copy(), r2.reshape(-1, DIMENSION).copy(), q.reshape(-1, DIMENSION).copy(), b.copy())
+        return cls(small(k + 1), small(k + 1), small(k), np.log(unigram).astype(np.float32), small(k + 1), small(k + 1), small(len(slots)), np.log(slots).astype(np.float32))
+
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return self.r1, self.r2, self.q, self.b, self.s1, self.s2, self.t, self.d
+
+    def copy(self) -> Model:
+        return Model(*[x.copy() for x in self.arrays()])
+
+    def sums(self, seen: float, touched: np.ndarray) -> np.ndarray:
+        """All parameters times their weights (the tokens seen; for slots, how often each was touched), then the weights."""
+        slots = [(self.t * touched[:, None]).ravel(), self.d * touched]
+        return np.concatenate([*[x.ravel() * seen for x in self.arrays()[:6]], *slots, touched, [seen]]).astype(np.float32)
+
+    def averaged(self, sums: np.ndarray) -> Model:
+        """The model of added-up sums; slots that none touched stay as they are."""
+        new, at, slots = [], 0, len(self.d)
+        for x in self.arrays():
+            new.append(sums[at : at + x.size].reshape(x.shape).astype(np.float64))
+            at += x.size
+        touched, seen = sums[at : at + slots].astype(np.float64), float(sums[-1])
+        new[:6] = [x / seen for x in new[:6]]
+        some = touched > 0
+        new[6] = np.where(some[:, None], new[6] / np.maximum(touched, 1)[:, None], self.t)
+        new[7] = np.where(some, new[7] / np.maximum(touched, 1), self.d)
+        return Model(*[x.astype(np.float32) for x in new])
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A1, A2 + b, and the logarithm of each context's normaliser [c2, c1]."""
@@ -197,6 +267,20 @@ class Model:
         z = np.exp(a2 - m2) @ np.exp(a1 - m1).T
         return a1, a2, np.log(z) + m2 + m1.T
 
+    def within_classes(self, ends: np.ndarray, c1: np.ndarray, c2: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Natural log probability of each slot among those of its class, after outputs c2, c1: for each class one matrix product."""
+        out = np.zeros(len(slots))
+        classes = np.searchsorted(ends, slots, side="right")
+        order = np.argsort(classes, kind="stable")
+        cuts = np.flatnonzero(np.diff(classes[order])) + 1
+        for part in np.split(order, cuts) if len(order) else ():
+            c = classes[part[0]]
+            first, last = (ends[c - 1] if c else 0), ends[c]
+            scores = (self.s1[c1[part]] + self.s2[c2[part]]) @ self.t[first:last].T + self.d[first:last]
+            most = scores.max(axis=1)
+            out[part] = scores[np.arange(len(part)), slots[part] - first] - most - np.log(np.exp(scores - most[:, None]).sum(axis=1, dtype=np.float64))
+        return out
+
 
 def contexts(outputs: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """The outputs one and two back."""
@@ -211,7 +295,8 @@ class Trainer:
         self.m, self.noise, self.rng = model, noise, np.random.default_rng(seed)
         self.log_noise = np.log(NOISE * noise).astype(np.float32)
         self.cumulative = np.cumsum(noise)
-        self.squares = [np.full_like(x, 1e-2) for x in (model.r1, model.r2, model.q, model.b)]
+        self.squares = [np.full_like(x, 1e-2) for x in model.arrays()]
+        self.touched = np.zeros(len(model.d))
 
     def step(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> None:
         m, k = self.m, len(self.m.b)
@@ -227,25 +312,63 @@ class Trainer:
         np.add.at(g_q, drawn, (g_false.T @ h) * scale)
         g_b = np.bincount(w, g_true, k) * scale
         np.add.at(g_b, drawn, g_false.sum(axis=0) * scale)
-        for value, square, gradient in zip((m.r1, m.r2, m.q, m.b), self.squares, (_sum_rows(c1, g_h, k + 1), _sum_rows(c2, g_h, k + 1), g_q, g_b), strict=True):
+        for value, square, gradient in zip((m.r1, m.r2, m.q, m.b), self.squares[:4], (_sum_rows(c1, g_h, k + 1), _sum_rows(c2, g_h, k + 1), g_q, g_b), strict=True):
             square += gradient * gradient
             value += (RATE * gradient / np.sqrt(square)).astype(np.float32)
 
 
+    def among(self, vocab: Vocabulary) -> None:
+        """The noise distribution inside classes: the smoothed counts of their slots."""
+        within = vocab.within()
+        self.ends, self.slot_cumulative = vocab.ends, np.cumsum(within)  # a class after the other, each with weight 1
+        self.log_slot_noise = np.log(CLASS_NOISE * within).astype(np.float32)
+
+    def class_step(self, c1: np.ndarray, c2: np.ndarray, slots: np.ndarray) -> None:
+        """A step on the slots of classes; each has noise from its own class."""
+        m, k, n = self.m, len(self.m.b), len(slots)
+        classes = np.searchsorted(self.ends, slots, side="right")
+        drawn = classes[:, None] + self.rng.random((n, CLASS_NOISE))
+        first = np.concatenate([[0], self.ends[:-1]])[classes]
+        drawn = np.clip(np.searchsorted(self.slot_cumulative, drawn, side="right"), first[:, None], self.ends[classes, None] - 1)
+        at = np.concatenate([slots[:, None], drawn], axis=1)
+        used, place = np.unique(at, return_inverse=True)
+        place = place.reshape(at.shape)
+        h = m.s1[c1] + m.s2[c2]
+        t = m.t[at]
+        score = np.einsum("nd,nkd->nk", h, t) + m.d[at] - self.log_slot_noise[at]
+        gradient = -1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        gradient[:, 0] = 1 / (1 + np.exp(np.clip(score[:, 0], -30, 30)))
+        gradient *= np.float32(1 / n)
+        g_h = np.einsum("nk,nkd->nd", gradient, t)
+        for value, square, g in zip((m.s1, m.s2), self.squares[4:6], (_sum_rows(c1, g_h, k + 1), _sum_rows(c2, g_h, k + 1)), strict=True):
+            square += g * g
+            value += (RATE * g / np.sqrt(square)).astype(np.float32)
+        flat = place.ravel()
+        g_t = np.stack([np.bincount(flat, (gradient * h[:, x, None]).ravel(), len(used)) for x in range(DIMENSION)], axis=1)
+        g_d = np.bincount(flat, gradient.ravel(), len(used))
+        for value, square, g in zip((m.t, m.d), self.squares[6:], (g_t, g_d), strict=True):
+            new = square[used] + (g * g).astype(np.float32)
+            square[used] = new
+            value[used] += (RATE * g / np.sqrt(new)).astype(np.float32)
+        self.touched[used] += np.bincount(flat, minlength=len(used))
+
+
 def _sum_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(at, rows[:, d], n) for d in range(rows.shape[1])], axis=1)
 
 
-def _trained(shared, flat, seed: int):
+def _trained(shared, current, seed: int):
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab: Vocabulary = shared.value
         k, part = vocab.n_outputs, TaskContext.get().partitionId()
         trainer, seen, held, size = None, 0, [], 0
         for batch in batches:
             for text in batch["text"]:
-                trainer = trainer or Trainer(Model.of(flat.value, k), vocab.unigram(), seed + part)
-                outputs = vocab.read(text)[1]
-                held.append((*contexts(outputs, k), outputs))
+                if trainer is None:
+                    trainer = Trainer(current.value.copy(), vocab.unigram(), seed + part)
+                    trainer.among(vocab)
+                _, outputs, slots, _ = vocab.read(text)
+                held.append((*contexts(outputs, k), outputs, slots))
                 size += len(outputs)
                 seen += len(outputs)
                 if size >= BATCH:
@@ -254,39 +377,49 @@ def _trained(shared, flat, seed: int):
         if held:
             _steps(trainer, held)
         if trainer:
-            yield pd.DataFrame({"part": [part % GROUPS[0]], "seen": [float(seen)], "flat": [trainer.m.flat().tobytes()]})
+            yield pd.DataFrame({"part": [part], "sums": [trainer.m.sums(float(seen), trainer.touched).tobytes()]})
 
     return train
 
 
 def _steps(trainer: Trainer, held: list[tuple[np.ndarray, ...]]) -> None:
-    c1, c2, w = (np.concatenate(x) for x in zip(*held, strict=True))
+    c1, c2, w, slots = (np.concatenate(x) for x in zip(*held, strict=True))
     order = trainer.rng.permutation(len(w))
     for i in range(0, len(w), BATCH):
         part = order[i : i + BATCH]
         trainer.step(c1[part], c2[part], w[part])
+        part = part[slots[part] >= 0]
+        if len(part):
+            trainer.class_step(c1[part], c2[part], slots[part])
 
 
-def _average(group: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(f, dtype=np.float32) * s for f, s in zip(group["flat"], group["seen"], strict=True))
-    seen = float(group["seen"].sum())
-    return pd.DataFrame({"part": [int(group["part"].iloc[0]) % GROUPS[1]], "seen": [seen], "flat": [(total / seen).astype(np.float32).tobytes()]})
+def _total(vectors) -> np.ndarray:
+    total = 0.0
+    for v in vectors:
+        total = total + np.frombuffer(v, dtype=np.float32).astype(np.float64)
+    return total
 
 
 def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, seed: int = 42) -> Model:
     """The model of all ``texts`` (columns turn, text); each round takes the texts of its turn."""
     spark = texts.sparkSession
-    model, shared = Model.start(vocab.unigram(), seed), spark.sparkContext.broadcast(vocab)
-    schema = "part int, seen double, flat binary"
+    model, shared = Model.start(vocab.unigram(), vocab.within(), seed), spark.sparkContext.broadcast(vocab)
+    schema = "part int, sums binary"
+    fan = max(2, min(FAN, FAN_BYTES // (4 * sum(x.size for x in model.arrays()))))
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [int(group["part"].iloc[0])], "sums": [_total(group["sums"]).astype(np.float32).tobytes()]})
+
+    parts = (texts.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] or 0) + 1
     for r in range(rounds):
-        flat = spark.sparkContext.broadcast(model.flat())
-        rows = texts.where(F.col("turn") == r).select("text").mapInPandas(_trained(shared, flat, seed + 1000 * r), schema)
-        for _ in GROUPS:
-            rows = rows.groupBy("part").applyInPandas(_average, schema)
-        rows = rows.collect()
-        if rows:
-            seen = sum(x["seen"] for x in rows)
-            model = Model.of(sum(np.frombuffer(x["flat"], dtype=np.float32).astype(np.float64) * x["seen"] for x in rows) / seen, vocab.n_outputs)
+        current = spark.sparkContext.broadcast(model)
+        rows, left = texts.where(F.col("turn") == r).select("text").mapInPandas(_trained(shared, current, seed + 1000 * r), schema), parts
+        while left > fan:
+            left = -(-left // fan)
+            rows = rows.withColumn("part", F.col("part") % left).groupBy("part").applyInPandas(added, schema)
+        total = _total(x["sums"] for x in rows.collect())  # at most ``fan`` vectors
+        if isinstance(total, np.ndarray):
+            model = model.averaged(total)
     return model
 
 
@@ -296,20 +429,37 @@ _SCORED = "n_tokens long, head_known long, head_base double, head_score double,
 def _scorer(shared, tables):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab: Vocabulary = shared.value
-        a1, a2, log_z = tables.value
+        model, (a1, a2, log_z) = tables.value
         k = vocab.n_outputs
+
+        def scored(rows: pd.DataFrame, read: list[tuple]) -> pd.DataFrame:
+            at, outputs, slots = (np.concatenate([x[i] for x in read]) for i in range(3))
+            c1, c2 = (np.concatenate(x) for x in zip(*[contexts(x[1], k) for x in read], strict=True))
+            text = np.repeat(np.arange(len(read)), [len(x[0]) for x in read])
+            logs = a1[c1, outputs].astype(np.float64) + a2[c2, outputs] - log_z[c2, c1]
+            inner = np.flatnonzero(slots >= 0)
+            logs[inner] += model.within_classes(vocab.ends, c1[inner], c2[inner], slots[inner])
+            logs /= np.log(10)
+            known = at >= 0
+            logs[known] += vocab.shares[at[known]]
+            logs[~known] -= vocab.other_logs[outputs[~known] - vocab.n_words]
+            total = lambda x: np.bincount(text, x, len(read))
+            base = np.zeros(len(at))
+            base[known] = vocab.log_add[at[known]]
+            tails = [Counter(x[3]) for x in read]
+            return rows.drop(columns="text").assign(
+                n_tokens=[len(x[0]) for x in read], head_known=total(known).astype(np.int64), head_base=total(base), head_score=total(logs),
+                tail_tokens=[[t.decode("utf-8", "surrogatepass") for t in c] for c in tails], tail_counts=[list(c.values()) for c in tails],
+            )
+
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                at, outputs, missing = vocab.read(text)
-                c1, c2 = contexts(outputs, k)
-                model = float((a1[c1, outputs].astype(np.float64) + a2[c2, outputs] - log_z[c2, c1]).sum()) / np.log(10)
-                head = at[at >= 0]
-                share = float(vocab.shares[head].sum()) - float(vocab.class_logs[outputs[at < 0] - vocab.n_words].sum())
-                tail = Counter(missing)
-                out.append((len(at), len(head), float(vocab.log_add[head].sum()), model + share, [t.decode("utf-8", "surrogatepass") for t in tail], list(tail.values())))
-            scored = pd.DataFrame(out, columns=[c.split()[0] for c in _SCORED.split(", ")])
-            yield pd.concat([batch.drop(columns="text").reset_index(drop=True), scored], axis=1)
+            start, read, size = 0, [], 0
+            for i, text in enumerate(batch["text"], 1):
+                read.append(vocab.read(text))
+                size += len(read[-1][0])
+                if size >= CHUNK or i == len(batch):
+                    yield scored(batch.iloc[start:i].reset_index(drop=True), read)
+                    start, read, size = i, [], 0
 
     return score
 
@@ -328,7 +478,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     turn = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(ROUNDS)).alias("turn")
     model = train(learn.select(turn, "text"), vocab)
 
-    shared, tables = spark.sparkContext.broadcast(vocab), spark.sparkContext.broadcast(model.tables())
+    shared, tables = spark.sparkContext.broadcast(vocab), spark.sparkContext.broadcast((model, model.tables()))
     keyed = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     kind = dict(rows.dtypes)["doc_id"]
     scored = materialize(keyed.mapInPandas(_scorer(shared, tables), f"row long, doc_id {kind}, held_out boolean, {_SCORED}"), "lm-scored")

@@ -424,6 +424,60 @@ def test_language_model_is_normalised():
     assert np.allclose(total, 1, atol=1e-5)
 
 
+def _vocabulary(n_words, n_vectors, classes=3):
+    names = [f"w{i}".encode() for i in range(40)]
+    counts = np.arange(400, 0, -10, dtype=float)
+    sums, kinds = np.zeros(classes), np.zeros(classes)
+    for t, n in zip(names[n_words:], counts[n_words:], strict=True):
+        sums[lm_scoring.rare_class(t, classes)] += n
+        kinds[lm_scoring.rare_class(t, classes)] += 1
+    return names, lm_scoring.Vocabulary({t: i for i, t in enumerate(names[:30])}, counts[:30], n_words, n_vectors, int(counts.sum()), 40, sums, kinds)
+
+
+def test_probabilities_of_all_tokens_add_up():
+    """After any context, the outputs, the slots of their classes and the shares of others sum to 1, with one place a class for unseen tokens."""
+    names, vocab = _vocabulary(5, 20)
+    model = lm_scoring.Model.start(vocab.unigram(), vocab.within())
+    for x in model.arrays():
+        x *= 3
+    a1, a2, log_z = model.tables()
+    counts = dict(zip(names, np.arange(400, 0, -10, dtype=float), strict=True))
+    for c1, c2 in ((0, 1), (7, vocab.n_outputs), (4, 6)):
+        total = 0.0
+        for name in names:
+            at, outputs, slots, missing = vocab.read(name.decode())
+            log = a1[c1, outputs[0]] + a2[c2, outputs[0]] - log_z[c2, c1]
+            if slots[0] >= 0:
+                log += model.within_classes(vocab.ends, np.array([c1]), np.array([c2]), slots[:1])[0]
+            share = vocab.shares[at[0]] if at[0] >= 0 else np.log10(counts[name] + lm_scoring.ADD) - vocab.other_logs[outputs[0] - vocab.n_words]
+            total += np.exp(log) * 10**share
+        for c in range(vocab.n_classes):  # the place for unseen tokens
+            log = a1[c1, vocab.n_words + c] + a2[c2, vocab.n_words + c] - log_z[c2, c1]
+            log += model.within_classes(vocab.ends, np.array([c1]), np.array([c2]), vocab.ends[c : c + 1] - 1)[0]
+            total += np.exp(log) * 10 ** (np.log10(lm_scoring.ADD) - vocab.other_logs[c])
+        assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_training_learns_inside_a_class():
+    """A word of a class that follows one output only: its share of the class rises there and its average weighs touched slots."""
+    _, vocab = _vocabulary(5, 40)
+    rng = np.random.default_rng(0)
+    first = rng.integers(0, 5, 20_000)
+    end = vocab.ends[np.argmax(np.diff(np.concatenate([[0], vocab.ends])))]
+    slot = np.where(first == 2, end - 2, end - 3)
+    before = lm_scoring.Model.start(vocab.unigram(), vocab.within())
+    trainer = lm_scoring.Trainer(before.copy(), vocab.unigram(), 1)
+    trainer.among(vocab)
+    for i in range(0, len(first), 500):
+        trainer.class_step(first[i : i + 500], first[i : i + 500], slot[i : i + 500])
+    share = lambda m, c: np.exp(m.within_classes(vocab.ends, np.array([c]), np.array([c]), np.array([end - 2])))[0]
+    assert share(trainer.m, 2) > 0.8 and share(trainer.m, 1) < 0.1
+    once = trainer.m.sums(10.0, trainer.touched).astype(np.float64)
+    twice = before.averaged(once + before.sums(10.0, np.zeros(len(before.d))))
+    assert np.allclose(twice.t, np.where(trainer.touched[:, None] > 0, trainer.m.t, before.t), atol=1e-5)
+    assert np.allclose(twice.r1, (trainer.m.r1 + before.r1) / 2, atol=1e-5)
+
+
 def test_noise_contrastive_training_learns_a_bigram():
     rng = np.random.default_rng(0)
     stream = np.zeros(40_000, dtype=np.int64)
@@ -432,7 +486,7 @@ def test_noise_contrastive_training_learns_a_bigram():
     noise = np.full(8, 1 / 8)
     trainer = lm_scoring.Trainer(lm_scoring.Model.start(noise), noise, 1)
     for _ in range(20):
-        lm_scoring._steps(trainer, [(*lm_scoring.contexts(stream, 8), stream)])
+        lm_scoring._steps(trainer, [(*lm_scoring.contexts(stream, 8), stream, np.full(len(stream), -1))])
     a1, a2, log_z = trainer.m.tables()
     c1, c2 = lm_scoring.contexts(stream, 8)
     assert (a1[c1, stream] + a2[c2, stream] - log_z[c2, c1]).mean() > np.log(1 / 8) + 1
