@@ -31,9 +31,11 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests), a folder of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset, a folder of our own in local mode (tests), else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="talkprism-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -49,6 +51,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote, once nothing reads it any more."""
+    files = table.inputFiles()
+    if files:
+        context = table.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def heavy_keys(rows: DataFrame, on: list[str], spread: int = 8) -> tuple[DataFrame, int]:
     """The keys with more rows than a ``spread``-th of a shuffle partition's fair share (and over 64), with their counts, and that bound. At most ``spread`` keys a partition can be heavy, so the result may be broadcast."""
     bound = max(64, rows.count() // (spread * shuffle_partitions(rows.sparkSession)))

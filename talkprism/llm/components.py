@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkprism.llm.common import lookup, materialize
+from talkprism.llm.common import discard, lookup, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round takes the least label among a node and its neighbours and then the label of that
     label, so paths shrink at least by half; the loop ends when a round changes nothing. Only a
-    count reaches the driver. Hubs are harmless: minima by node combine before the shuffle, and
+    count reaches the driver, and only the last round's tables stay. Hubs are harmless: minima by node combine before the shuffle, and
     where many rows ask for one node's label (a hub, or the root of a large component) they find
     it in a broadcast of the few nodes so often asked for.
     """
@@ -26,6 +26,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         stepped = materialize(stepped, "steps")
         jump = labels.select(F.col("node").alias("step"), F.col("root").alias("far"))
         after = materialize(lookup(stepped, jump, "step").select("node", F.least("step", "far").alias("root"), "was"), "labels")
+        discard(stepped)
+        discard(labels)
         labels = after.select("node", "root")
         if after.where("root <> was").limit(1).count() == 0:
             return labels

@@ -460,7 +460,7 @@ def test_probabilities_of_all_tokens_add_up():
 
 def test_training_learns_inside_a_class():
     """A word of a class that follows one output only: its share of the class rises there and its average weighs touched slots."""
-    _, vocab = _vocabulary(5, 40)
+    _, vocab = _vocabulary(5, 30)
     rng = np.random.default_rng(0)
     first = rng.integers(0, 5, 20_000)
     end = vocab.ends[np.argmax(np.diff(np.concatenate([[0], vocab.ends])))]
@@ -494,10 +494,11 @@ def test_noise_contrastive_training_learns_a_bigram():
 
 def test_quality_classifier(spark, awkward, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    rows = quality_classifier.resample(docs, labels).join(labels, "doc_id").collect()
-    good = [r["kept"] for r in rows if r["quality"] == 1 and r["toxic"] == 0]
-    junk = [r["kept"] for r in rows if r["quality"] == 0]
-    assert np.mean(good) > 0.97 and np.mean(junk) < 0.05
+    # The model and its cut see the labels of even ids only; the figures are those of odd ids.
+    held = labels.where("doc_id % 2 = 1")
+    rows = quality_classifier.resample(docs, labels.where("doc_id % 2 = 0")).join(held, "doc_id").collect()
+    share = lambda test: np.mean([r["kept"] for r in rows if test(r)])
+    assert share(lambda r: r["quality"] == 1 and not r["toxic"]) > 0.9 and share(lambda r: r["quality"] == 0) < 0.05 and share(lambda r: r["toxic"]) < 0.4
     assert quality_classifier.resample(docs.limit(50), labels, share=0.3).where("kept").count() == 15
     assert quality_classifier.resample(awkward, labels).count() == len(ROWS)
     assert quality_classifier.resample(awkward, labels.limit(0)).where("kept").count() == len(ROWS)
