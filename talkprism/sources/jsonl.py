@@ -16,8 +16,9 @@ from talkprism.sources import rules
 
 @dataclass(frozen=True)
 class Limits:
-    """Caps of one scan of one root."""
+    """Caps of one scan of one root; the defaults are fixed values, and the most a configuration may ask for."""
 
+    entries: int = 131_072
     files: int = 32_768
     file_bytes: int = 8 * 1024 * 1024
     line_bytes: int = 256 * 1024
@@ -75,10 +76,15 @@ def session_of(source: Column, path: Column) -> Column:
     return F.regexp_replace(own, "^claude-", "")
 
 
+def entries(spark: SparkSession, root: Root) -> DataFrame:
+    """(path, length, modified) of every file below the root, of any kind; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.path)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
 def discover(spark: SparkSession, root: Root) -> DataFrame:
     """(path, length, modified) of the root's transcript files; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{root.extension}").load(root.path)
-    files = files.select("path", "length", F.col("modificationTime").alias("modified"))
+    files = entries(spark, root).where(F.col("path").endswith(f".{root.extension}"))
     if root.source == "Codex":
         files = _indexed(spark, root, files)
     return files
@@ -104,8 +110,13 @@ def _report(rows: DataFrame, root: Root, reason: str, line: Column | None = None
 
 
 def scan(spark: SparkSession, root: Root) -> Scan:
-    """Read a root. Files over the cap are skipped by their length alone; a line over the cap, a blank or malformed one is a failure; invalid UTF-8 ends its file."""
+    """Read a root. Where it has more entries than the cap, those after it in order of their paths aren't looked at. Files over the cap are skipped by their length alone; a file whose length or time is no longer that of the listing, a line over the cap, a blank or malformed one is a failure; invalid UTF-8 ends its file."""
     found, limits = discover(spark, root), root.limits
+    last = entries(spark, root).select("path").orderBy("path").limit(limits.entries + 1)
+    last = last.groupBy().agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("path")).where(F.col("n") > limits.entries)
+    crowded = _report(last, root, "EntryLimit")
+    past = F.broadcast(last.select(F.col("path").alias("past")))
+    found = found.join(past, F.col("path") >= F.col("past"), "left_anti")
     # The first files in order of their paths: at most one more than the cap is ranked.
     ranked = found.orderBy("path").limit(limits.files + 1).withColumn("place", F.row_number().over(Window.partitionBy().orderBy("path")))
     many = _report(ranked.where(F.col("place") == limits.files + 1), root, "FileLimit")
@@ -113,7 +124,11 @@ def scan(spark: SparkSession, root: Root) -> Scan:
     large = _report(within.where(F.col("length") > limits.file_bytes), root, "FileBytes")
 
     contents = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{root.extension}").load(root.path).where(F.col("length") <= limits.file_bytes)
-    contents = contents.select("path", "content", "length", F.col("modificationTime").alias("modified")).join(within.select("path"), "path", "left_semi")
+    listed = (F.col("_metadata.file_size").alias("listed_length"), F.col("_metadata.file_modification_time").alias("listed_time"))
+    contents = contents.select("path", "content", "length", F.col("modificationTime").alias("modified"), *listed).join(within.select("path"), "path", "left_semi")
+    same = (F.octet_length("content") == F.col("listed_length")) & (F.col("modified") == F.col("listed_time"))
+    changed = _report(contents.where(~same), root, "ChangedDuringScan")
+    contents = contents.where(same).drop("listed_length", "listed_time")
     text = F.col("content").cast("string")
     pieces = F.split(text, "\n", -1)
     pieces = F.when(F.endswith(text, F.lit("\n")), F.slice(pieces, 1, F.size(pieces) - 1)).when(text == "", F.array().cast("array<string>")).otherwise(pieces)
@@ -147,10 +162,10 @@ def scan(spark: SparkSession, root: Root) -> Scan:
         task.alias("task"),
         F.transform("p.blocks", lambda b: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), F.col("p.task.task_identifier").alias("task_identifier"))).alias("blocks"),
     )
-    failures = bad.unionByName(broken)
+    failures = bad.unionByName(broken).unionByName(changed)
     over = _report(failures.limit(limits.failures + 1).groupBy().agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where(F.col("n") > limits.failures), root, "ReadFailures")
     kept = failures.orderBy("path", F.col("line_number").asc_nulls_last()).limit(limits.failures)
-    return Scan(records, kept, many.unionByName(large).unionByName(long).unionByName(over), rows)
+    return Scan(records, kept, crowded.unionByName(many).unionByName(large).unionByName(long).unionByName(over), rows)
 
 
 def with_instant(records: DataFrame) -> DataFrame:

@@ -147,3 +147,16 @@ def test_a_scan_survives_any_line(spark, tmp_path):
     assert {r["reason"] for r in found.failures.collect()} == {"Malformed"}
     texts = [r["text"] for r in found.records.orderBy("line_number").collect()]
     assert texts == ["😀", "x", "a\nb"]
+
+
+def test_entry_cap_and_files_that_change(spark, tmp_path):
+    for i in range(4):
+        write(tmp_path / f"s{i}.jsonl", {"text": f"t{i}"})
+    (tmp_path / "r.txt").write_text("not a transcript, but an entry")
+    found = scan(spark, Root(str(tmp_path), "Claude", "main", Limits(entries=3)))
+    assert sorted(r["text"] for r in found.records.collect()) == ["t0", "t1"]
+    assert [r["reason"] for r in found.truncations.collect()] == ["EntryLimit"]
+    found = scan(spark, Root(str(tmp_path), "Claude", "main", Limits(entries=5)))
+    write(tmp_path / "s2.jsonl", {"text": "longer than it was"})
+    assert sorted(r["text"] for r in found.records.collect()) == ["t0", "t1", "t3"]
+    assert [r["reason"] for r in found.failures.collect()] == ["ChangedDuringScan"] and found.truncations.isEmpty()
