@@ -42,8 +42,9 @@ FDR = 0.01
 #: Upper ends of the classes of length, and the number of bins of T (one nat each, the last open).
 LENGTHS = (24, 32, 48, 64, 128)
 BINS = 200
-#: Values in a chunk of the running sums.
+#: Values in a chunk of the running sums, and code points in a block of a text that is cut.
 CHUNK = 128
+BLOCK = 1024
 #: Letters of ordinary text, per mille, a to z.
 LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
 _LOWER, _UPPER, _DIGIT, _SIGN = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/"
@@ -72,20 +73,18 @@ def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def running_sums(values: Column) -> Column:
-    """The sum of the values up to each one, by chunks: an array that grows is copied at every step. ``values`` must be a lambda variable."""
-    total = lambda v: F.aggregate(v, F.lit(0), lambda acc, x: acc + x)
+def running(values: Column, combine: Callable[[Column, Column], Column] = lambda acc, x: acc + x) -> Column:
+    """The sum of the values, or what ``combine`` makes of them from 0 on, up to each one, by chunks: an array that grows is copied at every step. ``values`` must be a lambda variable."""
+    total = lambda v: F.aggregate(v, F.lit(0), combine)
 
-    def sums(v: Column, at: Column) -> Column:
-        start = F.struct(at.alias("at"), F.array().cast("array<int>").alias("sums"))
-        return F.aggregate(v, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["sums"], F.array(acc["at"] + x)).alias("sums")))["sums"]
+    def steps(v: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(v, start, lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(combine(acc["at"], x))).alias("out")))["out"]
 
     last = F.floor(F.size(values) / CHUNK).cast("int")
     chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * CHUNK + 1, CHUNK))
-    return _bind(
-        chunks,
-        lambda parts: _bind(sums(F.transform(parts, total), F.lit(0)), lambda ends: F.flatten(F.zip_with(parts, ends, lambda part, end: sums(part, end - total(part))))),
-    )
+    before = lambda ends: F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(ends))
+    return _bind(chunks, lambda parts: _bind(steps(F.transform(parts, total), F.lit(0)), lambda ends: F.flatten(F.zip_with(parts, before(ends), steps))))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -94,7 +93,7 @@ def matches(text: Column, pattern: str) -> Column:
     def placed(found: Column) -> Column:
         gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.size(found))
         steps = F.zip_with(gaps, found, lambda gap, match: gap + F.length(match))
-        pairs = F.zip_with(_bind(steps, running_sums), found, lambda end, match: F.struct((end - F.length(match)).alias("start"), match.alias("match")))
+        pairs = F.zip_with(_bind(steps, lambda v: running(v)), found, lambda end, match: F.struct((end - F.length(match)).alias("start"), match.alias("match")))
         none = F.array().cast("array<struct<start:int,match:string>>")
         return F.when(F.size(found) > 0, pairs).otherwise(none)
 
@@ -221,22 +220,35 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _cut(text: Column, spans: Column, mark: str) -> Column:
+    """The text with a mark for each span; a span that starts inside earlier ones adds none. Pieces are taken from blocks of the text, so the cost is near linear in the text and the spans."""
+    block = lambda blocks, k: F.coalesce(F.get(blocks, k), F.lit(""))
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+        inner = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        whole = F.concat(F.substring(block(blocks, first), a % BLOCK + 1, F.lit(BLOCK)), inner, F.substring(block(blocks, last), F.lit(1), b % BLOCK))
+        return F.when(first == last, F.substring(block(blocks, first), a % BLOCK + 1, b - a)).otherwise(whole)
+
+    def joined(v: Column) -> Column:
+        before = F.slice(F.concat(F.array(F.lit(0)), v["ends"]), F.lit(1), F.size(v["ends"]))
+        gaps = F.filter(F.zip_with(before, v["spans"], lambda a, s: F.struct(a.alias("a"), s["start"].alias("b"))), lambda g: g["b"] >= g["a"])
+        gaps = F.concat(gaps, F.array(F.struct(F.array_max(v["ends"]).alias("a"), v["length"].alias("b"))))
+        return F.array_join(F.transform(gaps, lambda g: piece(v["blocks"], g["a"], g["b"])), mark)
+
+    ends = _bind(F.transform(spans, lambda s: s["end"]), lambda e: running(e, lambda acc, x: F.greatest(acc, x)))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return _bind(F.struct(ends.alias("ends"), spans.alias("spans"), blocks.alias("blocks"), F.length(text).alias("length")), joined)
+
+
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", level: float = FDR) -> DataFrame:
     """``docs`` with every span of the text replaced by ``mark``; overlapping spans become one mark. A column n_chars follows the text."""
     base = free_name(docs, "base_spans")
     spans = free_name(docs, "secret_spans")
     whole = F.col(text)
-    cut = F.aggregate(
-        F.col(spans),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))),
-    )
     # The new text gets a name of its own: a column that is named like the old one would stand for it in what follows.
     new = free_name(docs, "redacted_text")
-    found = with_spans(docs, text, base, spans, level).withColumn(new, F.when(F.size(spans) > 0, cut).otherwise(whole))
+    found = with_spans(docs, text, base, spans, level).withColumn(new, F.when(F.size(spans) > 0, _cut(whole, F.col(spans), mark)).otherwise(whole))
     columns = {text: F.col(new)}
     if "n_chars" in docs.columns and text == "text":
         columns["n_chars"] = F.when(F.size(spans) > 0, F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)

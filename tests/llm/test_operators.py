@@ -114,6 +114,33 @@ def test_redact(awkward):
     assert secret_scan.redact(awkward).columns == awkward.columns
 
 
+def test_cutting_by_blocks(spark, monkeypatch):
+    """Spans that touch, overlap and contain each other, at and over the ends of blocks."""
+    rng = np.random.default_rng(13)
+    monkeypatch.setattr(secret_scan, "BLOCK", 8)
+    rows = []
+    for k in range(200):
+        text = "".join(rng.choice(list("aé😀\n "), int(rng.integers(1, 90))))
+        spans = sorted({(int(a), int(min(len(text), a + rng.integers(1, 30)))) for a in rng.integers(0, len(text), int(rng.integers(1, 9)))})
+        rows.append((k, text, spans))
+    docs = spark.createDataFrame(rows, "k int, t string, s array<struct<start:int,end:int>>")
+    got = {r["k"]: r["out"] for r in docs.select("k", secret_scan._cut(F.col("t"), F.col("s"), "#").alias("out")).collect()}
+    for k, text, spans in rows:
+        at, out = 0, ""
+        for start, end in spans:
+            if start >= at:
+                out += text[at:start] + "#"
+            at = max(at, end)
+        assert got[k] == out + text[at:]
+
+
+def test_redacting_many_spans_takes_linear_time(spark):
+    text = " ".join(f"token=abcdefgh{i:06d}" for i in range(60_000))
+    began = time.perf_counter()
+    row = secret_scan.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["text"] == " ".join(["[SECRET]"] * 60_000) and time.perf_counter() - began < 60
+
+
 @pytest.mark.parametrize("window", [13, 5, 40])
 def test_substring_dedup(spark, awkward, small, window):
     import hashlib
