@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkprism.llm import decontam, html_text, lm_scoring, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup
 from talkprism.llm.common import table
+from talkprism.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +73,3 @@ QUERIES = {f.__name__: f for f in (
     op9_lm_scoring,
     op10_pii,
 )}
-ORACLE_SQL: dict[str, str] = {}

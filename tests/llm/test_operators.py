@@ -720,6 +720,18 @@ def test_pseudonyms_of_a_table(awkward, empty):
     assert sum(r["n_email"] for r in rows) == 1
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_give_the_rows_of_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    sql = con.sql(queries.ORACLE_SQL[name])
+    rows = queries.QUERIES[name](spark, SF).select(*sql.columns)
+    assert by_text([tuple(r) for r in rows.collect()]) == by_text(sql.fetchall())
+
+
 def test_all_queries_run(spark):
     for name, f in queries.QUERIES.items():
         df = f(spark, SF)
