@@ -38,6 +38,11 @@ class Index:
     clock: Clock = field(default_factory=lambda: Clock(dt.datetime.now(dt.timezone.utc)))
     snapshot: str = "snapshot"
 
+    @classmethod
+    def of(cls, snapshot, limits: InterfaceLimits, clock: Clock) -> Index:
+        """The index of a published snapshot (``store.Snapshot``); its digest binds the cursors."""
+        return cls(snapshot.tables, limits, clock, snapshot.digest)
+
     def version(self) -> str:
         return f"talkprism {VERSION}"
 

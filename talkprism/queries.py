@@ -696,3 +696,12 @@ def published_sessions(spark, sf_dir):
 def removed_outputs(spark, sf_dir):
     rows = model.outputs(model.keyed(_records(spark, sf_dir)))
     return changed_groups(rows, rows.where("(line_number - 1) % 3 <> 1"), "output_reference")
+
+
+@query(_with(_REC) + "SELECT output_reference, source, produced_at FROM (SELECT output_reference, source, ts AS produced_at FROM rec WHERE source <> 'Pi' OR turn % 2 = 0) WHERE source IN ('Pi', 'Codex')")
+def replaced_source(spark, sf_dir):
+    """All sources published, then one of them replaced by half of its records."""
+    store, rows = Store(spark, f"replaced_{uuid.uuid4().hex[:8]}"), _records(spark, sf_dir).where("source in ('Pi', 'Codex')")
+    store.publish(rows)
+    found = store.replace(rows.where("(line_number - 1) % 2 = 0"), "Pi", "root-2")
+    return Index.of(found, InterfaceLimits(), CLOCK).outputs().select("output_reference", "source", "produced_at")

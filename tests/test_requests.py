@@ -41,7 +41,7 @@ def root(tmp_path_factory):
 def index(spark, root):
     store = Store(spark, "index_of_requests")
     snapshot, _ = store.refresh([Root(root, "Claude", "main")])
-    return Index(snapshot.tables, InterfaceLimits(page_items=4, preview_bytes=20, read_bytes=100), CLOCK, snapshot.digest)
+    return Index.of(snapshot, InterfaceLimits(page_items=4, preview_bytes=20, read_bytes=100), CLOCK)
 
 
 def all_pages(call, limit, order="OldestFirst"):
