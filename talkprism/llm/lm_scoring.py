@@ -33,6 +33,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -59,9 +60,11 @@ DIMENSION = 16
 ROUNDS = 3
 NOISE = 32
 #: Noise words of each token of a class, drawn from its class.
-CLASS_NOISE = 5
+CLASS_NOISE = 2
 BATCH = 8192
 RATE = 0.1
+#: A training task reads so many tokens a round for each parameter, so the vectors sent stay in proportion to the text.
+TOKENS_PER_PARAMETER = 4
 #: Bytes of parameter vectors that a task, or the driver, adds up at once, and how many at most.
 FAN_BYTES = 128 << 20
 FAN = 16
@@ -182,7 +185,7 @@ class Vocabulary:
         """(index of each token or -1, its output, its slot or -1, the tokens without an index)."""
         own = tokens(text)
         get = self.index.get
-        at = np.array([get(t, -1) for t in own], dtype=np.int64)
+        at = np.fromiter(map(get, own, repeat(-1)), dtype=np.int64, count=len(own))
         known = at >= 0
         outputs, slots = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
         outputs[known], slots[known] = self.outputs[at[known]], self.slots[at[known]]
@@ -331,8 +334,6 @@ class Trainer:
         first = np.concatenate([[0], self.ends[:-1]])[classes]
         drawn = np.clip(np.searchsorted(self.slot_cumulative, drawn, side="right"), first[:, None], self.ends[classes, None] - 1)
         at = np.concatenate([slots[:, None], drawn], axis=1)
-        used, place = np.unique(at, return_inverse=True)
-        place = place.reshape(at.shape)
         h = m.s1[c1] + m.s2[c2]
         t = m.t[at]
         score = np.einsum("nd,nkd->nk", h, t) + m.d[at] - self.log_slot_noise[at]
@@ -343,14 +344,18 @@ class Trainer:
         for value, square, g in zip((m.s1, m.s2), self.squares[4:6], (_sum_rows(c1, g_h, k + 1), _sum_rows(c2, g_h, k + 1)), strict=True):
             square += g * g
             value += (RATE * g / np.sqrt(square)).astype(np.float32)
-        flat = place.ravel()
-        g_t = np.stack([np.bincount(flat, (gradient * h[:, x, None]).ravel(), len(used)) for x in range(DIMENSION)], axis=1)
-        g_d = np.bincount(flat, gradient.ravel(), len(used))
+        flat = at.ravel()
+        order = np.argsort(flat)
+        ordered = flat[order]
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        used = ordered[starts]
+        g_t = np.add.reduceat((gradient[:, :, None] * h[:, None, :]).reshape(-1, DIMENSION)[order], starts, axis=0)
+        g_d = np.add.reduceat(gradient.ravel()[order], starts)
         for value, square, g in zip((m.t, m.d), self.squares[6:], (g_t, g_d), strict=True):
-            new = square[used] + (g * g).astype(np.float32)
+            new = square[used] + g * g
             square[used] = new
-            value[used] += (RATE * g / np.sqrt(new)).astype(np.float32)
-        self.touched[used] += np.bincount(flat, minlength=len(used))
+            value[used] += RATE * g / np.sqrt(new)
+        self.touched[used] += np.diff(np.append(starts, len(flat)))
 
 
 def _sum_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -405,11 +410,14 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, seed: int =
     spark = texts.sparkSession
     model, shared = Model.start(vocab.unigram(), vocab.within(), seed), spark.sparkContext.broadcast(vocab)
     schema = "part int, sums binary"
-    fan = max(2, min(FAN, FAN_BYTES // (4 * sum(x.size for x in model.arrays()))))
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": [int(group["part"].iloc[0])], "sums": [_total(group["sums"]).astype(np.float32).tobytes()]})
 
+    size = sum(x.size for x in model.arrays())
+    tasks = max(spark.sparkContext.defaultParallelism, -(-vocab.total // (rounds * TOKENS_PER_PARAMETER * size)))
+    fan = max(2, min(FAN, FAN_BYTES // (4 * (size + len(model.d)))))
+    texts = texts.coalesce(tasks)
     parts = (texts.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] or 0) + 1
     for r in range(rounds):
         current = spark.sparkContext.broadcast(model)
