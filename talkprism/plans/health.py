@@ -43,8 +43,9 @@ def with_source_state(sessions: DataFrame, configured: DataFrame) -> DataFrame:
 
 def archive_status(sessions: DataFrame, archived: DataFrame | None) -> DataFrame:
     """Sessions with ArchiveUnknown where no archive can be read or it is empty, else Archived or NotArchived."""
-    if archived is None or archived.isEmpty():
+    if archived is None:
         return sessions.withColumn("archive_status", F.lit("ArchiveUnknown"))
     refs = archived.select("session_reference").distinct().withColumn("in_archive", F.lit(True))
-    status = F.when(F.col("in_archive"), "Archived").otherwise("NotArchived")
+    some = archived.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar()
+    status = F.when(F.col("in_archive"), "Archived").when(some == 0, "ArchiveUnknown").otherwise("NotArchived")
     return sessions.join(refs, "session_reference", "left").withColumn("archive_status", status).drop("in_archive")
