@@ -12,12 +12,8 @@ def test_run(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
 
-    def passes(text):
-        s = dict(zip(quality_rules.STATS, quality_rules.repetition_stats(text), strict=True))
-        base = s["n_words"] < 10 or 100 * s["n_repeat_words"] > 20 * s["n_words"]
-        return not base and s["dup_line_chars"] <= quality_rules.LINE_LIMIT * s["word_chars"] and all(s[f"dup_chars_{n}"] <= x * s["word_chars"] for n, x in quality_rules.NGRAM_LIMITS.items())
-
-    left = {k: r["text"] for k, r in docs.items() if passes(r["text"])}
+    limits = quality_rules.NGRAM_LIMITS, quality_rules.AGAIN_LIMITS, quality_rules.LINE_LIMIT
+    left = {k: r["text"] for k, r in docs.items() if brute.rule_verdict(r["text"], *limits)}
     groups = brute.components([(k, brute.fingerprint(t)) for k, t in left.items()], lambda a, b: (a ^ b).bit_count() <= 4)
     left = {k: left[k] for k, _, c in groups if k == c}
     leaked = {d for d, _ in brute.leaks(left.items(), items)}
@@ -43,7 +39,7 @@ def test_run(spark):
         source = docs[r["doc_id"]]["source"]
         taken[source] = taken.get(source, 0) + r["taken"]
         target[source] = r["target"]
-        assert 0 < r["taken"] <= 3 * r["size"] and r["size"] == len(brute.words(texts[r["doc_id"]]))
+        assert r["text"] == texts[r["doc_id"]] and 0 < r["taken"] <= 3 * r["size"] and r["size"] == len(brute.words(texts[r["doc_id"]]))
     assert {s: round(t, 6) for s, t in target.items()} == {s: round(want[s], 6) for s in target}
     longest = max(len(brute.words(t)) for t in texts.values())
     assert all(abs(taken.get(s, 0) - want[s]) <= longest for s in want)
