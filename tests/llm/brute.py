@@ -167,3 +167,75 @@ def near_leaks(docs, items, window=13, similarity=0.8):
                     if equal >= similarity * n - 1e-9:
                         out[d, k] = max(out.get((d, k), (0, 0, 0)), (equal, -(shift + i), n))
     return {p: (-start, equal, n) for p, (equal, start, n) in out.items()}
+
+
+def random_run(run):
+    """(passes the three tests, log likelihood ratio of random to ordinary) of a run without separators."""
+    lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    encodings = [digit, digit + lower[:6], digit + upper[:6], lower, upper, upper + "234567", digit + lower, digit + upper, upper + lower, upper + lower + digit, upper + lower + digit + "+/"]
+    alphabet = next(a for a in encodings if set(run) <= set(a))
+    x, n, k = [alphabet.index(c) for c in run], len(run), len(alphabet)
+    chi = (k / n * sum(c * c for c in Counter(run).values()) - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    high = [v >= k / 2 for v in x]
+    n1, turns = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    both = 2 * n1 * (n - n1)
+    spread = both * (both - n) / (n * n * (n - 1))
+    runs = (turns - both / n - 1) ** 2 / spread if spread > 0 else n
+    mean = sum(x) / n
+    scale = sum((v - mean) ** 2 for v in x)
+    lag = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False))
+    serial = n * (lag / scale + 1 / n) ** 2 if scale > 0 else n
+    letters = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+    kind = ["l" if c in lower else "u" if c in upper else "d" if c in digit else "s" for c in run]
+    log = math.log(0.25)
+    for c, q in zip(run, kind, strict=True):
+        log += math.log(letters[lower.index(c.lower())] / sum(letters)) if q in "lu" else math.log(0.1 if q == "d" else 0.5)
+    log += sum(math.log(0.9) if a == b else math.log(0.1 / 3) for a, b in zip(kind, kind[1:], strict=False))
+    return chi * chi + runs + serial <= 16.266, -n * math.log(k) - log
+
+
+def secret_spans(docs):
+    """{row: all spans} of a table of texts, by Benjamini-Hochberg over all runs of a class of length."""
+    found, counts = [], Counter()
+    for row, text in enumerate(docs):
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+            run = re.sub("[-_=]", "", m[0])
+            passes, ratio = random_run(run) if len(run) >= 16 else (False, 0)
+            b = max(0, min(199, math.floor(ratio))) if passes else 0
+            size = sum(len(m[0]) >= x for x in (24, 32, 48, 64, 128))
+            found.append((row, m.start(), m.end(), size, b))
+            counts[size, b] += 1
+    least = {}
+    for size in range(6):
+        total = sum(n for (s, _), n in counts.items() if s == size)
+        accepted = [b for b in range(1, 200) if (above := sum(n for (s, x), n in counts.items() if s == size and x >= b)) and math.exp(-b) <= 0.01 * above / total]
+        least[size] = min(accepted, default=200)
+    out = {}
+    for row, text in enumerate(docs):
+        base = [(int(a), k, int(b)) for k, a, b in (s.split(":") for s in secret_base(text)[4].split(",") if s)]
+        more = [(a, "random", b) for r, a, b, size, bin_ in found if r == row and bin_ >= least[size] and not any(x < b and a < y for x, _, y in base)]
+        order = ("assign", "access", "hex", "random")
+        out[row] = ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(base + more, key=lambda s: (s[0], order.index(s[1]))))
+    return out
+
+
+def importance_weights(docs, target, buckets=1 << 20, doubt=64.0):
+    """Log weight of each text: the shrunk log ratios of its hashed words and pairs of words. ``docs``: (id, text); ``target``: ids."""
+
+    def features(text):
+        own = [xxhash.xxh64_intdigest(re.sub("[A-Z]", lambda m: m[0].lower(), w).encode()) for w in words(text)]
+        pairs = [(a * 0x9E3779B97F4A7C15 + b) % 2**64 for a, b in zip(own, own[1:], strict=False)]
+        return [h % buckets for h in own + [p ^ p >> 32 for p in pairs]]
+
+    raw, good = Counter(), Counter()
+    for k, text in docs:
+        raw.update(features(text))
+        if k in target:
+            good.update(features(text))
+    share = sum(good.values()) / sum(raw.values())
+    ratio = {}
+    for b, n in raw.items():
+        e = n * share
+        far = ((good[b] - e) / math.sqrt(e + 1)) ** 4
+        ratio[b] = math.log((good[b] + 1) / (e + 1)) * far / (far + doubt)
+    return [sum(ratio[b] for b in features(text)) for _, text in docs]

@@ -1,5 +1,6 @@
 """Every operator against its plain version, on the driver's small tables and on awkward rows."""
 
+import math
 import re
 import time
 import zlib
@@ -84,6 +85,18 @@ def test_secret_battery_finds_random_runs_and_no_words(spark):
     assert sum(found[i] == f"random:4:{4 + len(k)}" for i, k in enumerate(keys)) >= len(keys) - 1
 
 
+def test_all_spans_of_a_table(spark, small):
+    """Random strings of every encoding and length, near misses and ordinary texts: base and random spans as by the plain version."""
+    rng = np.random.default_rng(14)
+    alphabets = ["0123456789", "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "aaaabbc", "etaoinshrdlu-"]
+    texts = [f"é {''.join(rng.choice(list(a), int(rng.integers(15, 140))))} x token=abcdefgh{k}" for k in range(40) for a in alphabets]
+    texts += [r["text"] for r in small.collect()] + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["s"] for r in secret_scan.with_spans(rows).select("doc_id", secret_scan.spans_text(F.col("spans")).alias("s")).collect()}
+    want = brute.secret_spans(texts)
+    assert got == want and sum("random" in s for s in want.values()) > 100
+
+
 def test_battery_statistic_matches_numpy(spark):
     run = "Zk3pQ9vX1mB7tR5wL2nC8sD4fG6hJ0aE"
     row = spark.createDataFrame([(run,)], "run string").select(secret_scan.battery(F.col("run")).alias("b")).first()["b"]
@@ -532,6 +545,18 @@ def test_quality_classifier(spark, awkward, empty):
     assert quality_classifier.resample(empty, labels).count() == 0
 
 
+def test_importance_weights(spark, small, awkward):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r["doc_id"] for r in labels.where("quality = 1 and toxic = 0").collect()}
+    for docs, target, marks in ((small, good, labels), (awkward, {1, 7}, spark.createDataFrame([(1, 1, 0), (7, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int"))):
+        rows = pairs(docs)
+        weights = brute.importance_weights(rows, target)
+        got = quality_classifier.resample(docs, marks, share=0.4).collect()
+        assert sorted(r["log_weight"] for r in got) == pytest.approx(sorted(weights))
+        order = sorted((r["key"] for r in got), reverse=True)
+        assert all(r["kept"] == (r["key"] >= order[math.ceil(0.4 * len(order)) - 1]) for r in got)
+
+
 def test_every_bucket_has_a_shrunk_ratio(spark):
     """A word that the target lacks counts where 14 were expected; one seen once, in the target, hardly does."""
     rows = [(i, f"some plain words once{i}" if i < 20 else "some plain words bad") for i in range(62)]
