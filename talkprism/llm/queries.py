@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkprism.llm import decontam, html_text, lm_scoring, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup
+from talkprism.llm import decontam, exact_dedup, html_text, lm_scoring, merkle, mixing, pii, prefix_trie, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup
 from talkprism.llm.common import table
 from talkprism.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -61,6 +61,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", new["text"].alias("text"), *[new[f"n_{k}"].alias(f"n_{k}") for k in pii.KINDS])
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan,
     op2_substring_dedup,
@@ -72,4 +84,7 @@ QUERIES = {f.__name__: f for f in (
     op8_mixing,
     op9_lm_scoring,
     op10_pii,
+    op11_prefix_trie,
+    op12_exact_dedup,
+    op13_merkle_manifest,
 )}

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -239,3 +240,92 @@ def importance_weights(docs, target, buckets=1 << 20, doubt=64.0):
         far = ((good[b] - e) / math.sqrt(e + 1)) ** 4
         ratio[b] = math.log((good[b] + 1) / (e + 1)) * far / (far + doubt)
     return [sum(ratio[b] for b in features(text)) for _, text in docs]
+
+
+def exact_duplicates(rows):
+    """(doc_id, keep_id, group_size, text_sha256) of (doc_id, text) rows, and the kept rows as (doc_id, text)."""
+    groups = defaultdict(list)
+    for doc_id, text in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", text or "")].append((doc_id, text))
+    out, kept = [], []
+    for plain, members in groups.items():
+        first = min(members, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0))
+        kept.append((first[0], len(first[1] or "")))
+        out += [(d, first[0], len(members), hashlib.sha256(plain.encode()).hexdigest()) for d, _ in members]
+    return out, kept
+
+
+def _sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _merkle_leaf(row):
+    return _sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def _levels(hashes):
+    levels = [hashes]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([_sha("".join(below[i : i + 3])) for i in range(0, len(below), 3)])
+    return levels
+
+
+def _sides(levels, i):
+    out = []
+    for level in levels[:-1]:
+        first = i - i % 3
+        out.append((level[first:i], level[i + 1 : first + 3]))
+        i //= 3
+    return out
+
+
+def merkle_audit(rows):
+    """The manifest's rows of (doc_id, source, lang, n_chars, text) rows."""
+    by_source = defaultdict(list)
+    for row in rows:
+        by_source[row[1]].append(row)
+    sources = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in sources:
+        by_source[s].sort(key=lambda r: (r[0] is not None, r[0] or 0, _merkle_leaf(r)))
+        trees[s] = _levels([_merkle_leaf(r) for r in by_source[s]])
+    top = _levels([trees[s][-1][0] for s in sources])
+    out = []
+    for k, s in enumerate(sources):
+        for i, row in enumerate(by_source[s]):
+            sides = _sides(trees[s], i) + _sides(top, k)
+            tampered = row[0] is not None and row[4] is not None and zlib.crc32(str(row[0]).encode()) % 2 == 0
+            folded = _merkle_leaf((*row[:4], row[4].replace("\n", "")) if tampered else row)
+            for before, after in sides:
+                folded = _sha("".join(before) + folded + "".join(after))
+            root = top[-1][0]
+            out.append((row[0], _merkle_leaf(row), trees[s][-1][0], root, _sha("".join(x for a, b in sides for x in a + b)), folded, folded == root))
+    return out
+
+
+def prefix_trie(rows):
+    """The trie's rows of (conv_id, turn, role, text) rows whose turns are told apart by their numbers."""
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, (role or "", text or "")))
+    own = {c: [x for _, _, x in sorted(t, key=lambda y: y[:2])] for c, t in own.items()}
+    whole = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 9
+        whole[c] = own.get(c - int(math.fmod(c, 5)), [])[:h] + own[c][h:]
+    members, children = defaultdict(list), defaultdict(list)
+    for c in sorted(whole):
+        for d in range(len(whole[c]) + 1):
+            members[tuple(whole[c][:d])].append(c)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    saved, leaves = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        saved[node] = sum(saved[x] for x in children[node]) + ((len(members[node]) - 1) * len(node[-1][1].encode()) if node else 0)
+        leaves[node] = sum(leaves[x] for x in children[node]) or 1
+    parent = lambda node: members[node[:-1]][0] if node else None
+    ends = lambda node: _sha(",".join(str(c) for c in members[node] if len(whole[c]) == len(node)))
+    return [(members[n][0], len(n), parent(n), len(members[n]), len(children[n]), leaves[n], saved[n], ends(n)) for n in members]

@@ -750,7 +750,7 @@ def test_queries_give_the_rows_of_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     sql = con.sql(queries.ORACLE_SQL[name])
     rows = queries.QUERIES[name](spark, SF).select(*sql.columns)
