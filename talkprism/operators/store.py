@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from talkprism.errors import CollectionUnavailable, FragileReferenceStale
 from talkprism.plans import model
-from talkprism.schema import RECORD_COLUMNS
 from talkprism.sources.jsonl import Root, Scan, discover, scan
 
 TABLES = ("sessions", "subagents", "outputs", "segments", "blocks")
@@ -104,15 +103,6 @@ class Store:
             self.drop(old)
         return self.snapshot()
 
-    def replace(self, records: DataFrame, source: str, source_identifier: str) -> Snapshot:
-        """A generation in which ``records`` stand for all of one source; the others' stay, from the records of the current generation."""
-        now = self.pointer()
-        if now is None:
-            raise CollectionUnavailable("nothing is published")
-        kept = self.spark.table(self._table(now.generation, "records")).where((F.col("source") != source) | (F.col("source_identifier") != source_identifier))
-        own = records.where((F.col("source") == source) & (F.col("source_identifier") == source_identifier))
-        return self.publish(kept.select(*RECORD_COLUMNS).unionByName(own.select(*RECORD_COLUMNS)))
-
     def files_digest(self, roots: list[Root]) -> str:
         """A digest of the roots, their limits and the names, lengths and times of their files; no content is read."""
         parts = []

@@ -16,6 +16,11 @@ def source_health(roots: DataFrame, records: DataFrame, failures: DataFrame, tru
     bad = failures.groupBy(*key).agg(F.sum((F.col("reason") == "Malformed").cast("long")).alias("malformed"), F.sum((F.col("reason") != "Malformed").cast("long")).alias("unreadable"))
     cut = truncations.groupBy(*key).agg(F.count(F.lit(1)).alias("truncations"))
     rows = roots.join(good, key, "left").join(bad, key, "left").join(cut, key, "left").na.fill(0, ["records", "files", "malformed", "unreadable", "truncations"])
+    return graded(rows)
+
+
+def graded(rows: DataFrame) -> DataFrame:
+    """Status and completeness by the counts of a source: records, malformed, unreadable, truncations."""
     status = F.when(F.col("unreadable") > 0, "Unreadable").when(F.col("truncations") > 0, "DiscoveryTruncated").when(F.col("malformed") > 0, "Malformed").when(F.col("records") == 0, "Empty").otherwise("Indexed")
     rows = rows.withColumn("status", status)
     grade = F.when(F.col("status") == "Unreadable", 3).when(F.col("status").isin("DiscoveryTruncated", "Malformed"), 2).otherwise(0)

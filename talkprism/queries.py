@@ -10,7 +10,7 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkprism import errors
@@ -20,6 +20,7 @@ from talkprism.functions.timestamps import Between, Clock, Recent, Since, instan
 from talkprism.operators.archive import Archive, record_identifier
 from talkprism.operators.config import Configuration, InterfaceLimits, issues
 from talkprism.operators.requests import Index, PageRequest
+from talkprism.operators.slots import SlotStore, slot_name
 from talkprism.operators.store import Store, changed_groups
 from talkprism.plans import collect, health, model, paging
 from talkprism.plans.filters import Filter
@@ -673,8 +674,9 @@ def version(spark, sf_dir):
 @query(_with(_REC, _SESS, "a AS (SELECT session_reference, row_number() OVER (ORDER BY started_at, session_reference) - 1 AS n, output_count FROM sess QUALIFY n < 3)") + "SELECT 'archive-record-' || lpad(n::varchar, 16, '0') AS record_identifier, session_reference, output_count, left('summary of ' || n, 10) AS summary, 'Truncated' AS summary_state FROM a")
 def archive_records(spark, sf_dir):
     """Three sessions written to a new archive, queried, and each read with a cut summary."""
-    folder = spark.conf.get("spark.sql.warehouse.dir")
-    archive = Archive(spark, folder, f"archive-{uuid.uuid4().hex}")
+    name = f"archive-{uuid.uuid4().hex}"
+    _scratch(spark, name)
+    archive = Archive(spark, spark.conf.get("spark.sql.warehouse.dir"), name)
     for n, row in enumerate(_index(spark, sf_dir).list_sessions(Filter(), PageRequest(3)).rows):
         archive.write({**row.asDict(), "started_at": row["started_at"]}, f"summary of {n}", "query", "2025-01-04T00:00:00Z")
     out = []
@@ -687,7 +689,7 @@ def archive_records(spark, sf_dir):
 @query(_with(_REC, _SESS) + "SELECT session_reference, source, output_count, subagent_count, total_bytes FROM sess")
 def published_sessions(spark, sf_dir):
     """Two sources published, then all five: what a reader of the second generation sees."""
-    store, rows = Store(spark, f"published_{uuid.uuid4().hex[:8]}"), _records(spark, sf_dir)
+    store, rows = Store(spark, _database(spark, "published")), _records(spark, sf_dir)
     store.publish(rows.where("source in ('Claude', 'Pi')"))
     return store.publish(rows.where("source in ('Claude', 'Pi')").union(rows.where("source not in ('Claude', 'Pi')"))).tables["sessions"].select("session_reference", "source", "output_count", "subagent_count", "total_bytes")
 
@@ -700,8 +702,96 @@ def removed_outputs(spark, sf_dir):
 
 @query(_with(_REC) + "SELECT output_reference, source, produced_at FROM (SELECT output_reference, source, ts AS produced_at FROM rec WHERE source <> 'Pi' OR turn % 2 = 0) WHERE source IN ('Pi', 'Codex')")
 def replaced_source(spark, sf_dir):
-    """All sources published, then one of them replaced by half of its records."""
-    store, rows = Store(spark, f"replaced_{uuid.uuid4().hex[:8]}"), _records(spark, sf_dir).where("source in ('Pi', 'Codex')")
-    store.publish(rows)
-    found = store.replace(rows.where("(line_number - 1) % 2 = 0"), "Pi", "root-2")
-    return Index.of(found, InterfaceLimits(), CLOCK).outputs().select("output_reference", "source", "produced_at")
+    """Two sources in slots, then one of them replaced by half of its records."""
+    store, rows = SlotStore(spark, _database(spark, "replaced")), _records(spark, sf_dir)
+    for source, identifier in (("Pi", "root-2"), ("Codex", "root-1")):
+        store.replace(rows, source, identifier)
+    store.replace(rows.where("(line_number - 1) % 2 = 0"), "Pi", "root-2")
+    return Index.of(store.snapshot(), InterfaceLimits(), CLOCK).outputs().select("output_reference", "source", "produced_at")
+
+
+# --- transcript files --------------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the warehouse, which goes when the driver ends."""
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
+def _database(spark: SparkSession, name: str) -> str:
+    """The name of a new database whose folder goes when the driver ends."""
+    name = f"{name}_{uuid.uuid4().hex[:8]}"
+    _scratch(spark, f"{name}.db")
+    return name
+
+
+def _write_transcripts(spark: SparkSession, rows: DataFrame, folder: str) -> None:
+    """(file, line_number, raw) as files below ``folder``, each written by one task in order of its lines; files that are there are replaced."""
+    staged = f"{folder}/staged-{uuid.uuid4().hex}"
+    rows.repartition("file").sortWithinPartitions("file", "line_number").select("file", "raw").write.partitionBy("file").text(staged)
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    fs = paths(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(paths(f"{staged}/file=*/part-*")):
+        target = paths(f"{folder}/{found.getPath().getParent().getName().removeprefix('file=')}")
+        fs.delete(target, False)
+        fs.rename(found.getPath(), target)
+    fs.delete(paths(staged), True)
+
+
+def _transcript_lines(spark: SparkSession, sf_dir: str, files: int, prefix: str = "claude-") -> DataFrame:
+    """(conv_id, turn, file, line_number, n, raw): conversations dealt over files as JSON lines of one producer; n lines in a file."""
+    rows = _table(spark, sf_dir, "conversations").withColumn("file", F.concat(F.lit(prefix), (F.col("conv_id") % files).cast("string"), F.lit(".jsonl")))
+    own = Window.partitionBy("file")
+    raw = F.to_json(F.struct(F.col("role").alias("type"), F.col("text").alias("text")))
+    return rows.select("conv_id", "turn", "file", F.row_number().over(own.orderBy("conv_id", "turn")).cast("long").alias("line_number"), F.count(F.lit(1)).over(own).alias("n"), raw.alias("raw"))
+
+
+_DEALT = """c AS (SELECT conv_id, turn, role, conv_id % 16 AS f, row_number() OVER (PARTITION BY conv_id % 16 ORDER BY conv_id, turn) AS line_number, count(*) OVER (PARTITION BY conv_id % 16) AS n, "text" AS content FROM conversations)"""
+
+
+@query(
+    f"""WITH {_DEALT} SELECT 'claude-' || f || '.jsonl' AS file, line_number, CASE role WHEN 'user' THEN 'UserPrompt' WHEN 'assistant' THEN 'AgentResponse' WHEN 'system' THEN 'SystemInstruction' ELSE 'Unclassified' END AS kind, content,
+ (SELECT count(*) FROM c WHERE f % 2 = 0 AND line_number > (n + 1) // 2) AS lines_parsed FROM c WHERE f % 2 = 0 OR line_number <= (n + 1) // 2"""
+)
+def resumed_scan(spark, sf_dir):
+    """Files with half of their lines are scanned; half of the files grow, and the scan goes on. All rows, and how many lines the second scan parsed."""
+    folder, lines = _scratch(spark, f"transcripts-{uuid.uuid4().hex}"), _transcript_lines(spark, sf_dir, 16)
+    store, root = SlotStore(spark, _database(spark, "resumed")), Root(folder, "Claude", "main")
+    half = F.col("line_number") <= F.expr("(n + 1) div 2")
+    _write_transcripts(spark, lines.where(half), folder)
+    store.refresh([root])
+    _write_transcripts(spark, lines.where("conv_id % 2 = 0"), folder)
+    (slot,) = store.refresh([root])
+    blocks = store.snapshot().tables["blocks"]
+    return blocks.select(F.substring_index("path", "/", -1).alias("file"), "line_number", "kind", F.col("text").alias("content"), F.lit(slot.parsed).cast("long").alias("lines_parsed"))
+
+
+@query(
+    """WITH c AS (SELECT ['grown', 'broken', 'gone'][conv_id % 3 + 1] AS source_identifier, turn < 4 AS early FROM conversations)
+SELECT source_identifier, CASE source_identifier WHEN 'grown' THEN 'Complete' WHEN 'broken' THEN 'Incomplete' ELSE 'Failed' END AS coverage, count(*) FILTER (early OR source_identifier = 'grown') AS complete_records,
+ count(*) FILTER (early OR source_identifier <> 'gone') AS newest_records, source_identifier <> 'grown' AS same_files FROM c GROUP BY source_identifier"""
+)
+def slots_of_sources(spark, sf_dir):
+    """Three sources; one grows, one grows with a broken line, one can't be listed: what readers of the complete and of the newest generations see, and whether a source's files are those of before."""
+    folder, names = _scratch(spark, f"sources-{uuid.uuid4().hex}"), ("grown", "broken", "gone")
+    store, roots = SlotStore(spark, _database(spark, "slots")), [Root(f"{folder}/{n}", "Claude", n) for n in names]
+    lines = _transcript_lines(spark, sf_dir, 24)
+    for k, root in enumerate(roots):
+        _write_transcripts(spark, lines.where((F.col("conv_id") % 3 == k) & (F.col("turn") < 4)), root.path)
+    store.refresh(roots)
+    files = lambda: {n: {f for f in store.snapshot().tables["records"].inputFiles() if f"slot={slot_name('Claude', n)}" in f} for n in names}
+    before = files()
+    _write_transcripts(spark, lines.where("conv_id % 3 = 0"), roots[0].path)
+    broken = lines.where("conv_id % 3 = 1")
+    _write_transcripts(spark, broken.unionByName(broken.where("line_number = n").withColumns({"line_number": F.col("n") + 1, "raw": F.lit("no json")})), roots[1].path)
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    paths(folder).getFileSystem(spark._jsc.hadoopConfiguration()).rename(paths(roots[2].path), paths(f"{folder}/elsewhere"))
+    coverage, after = {s.source_identifier: s.coverage for s in store.refresh(roots)}, files()
+    count = lambda partial, name: store.snapshot(partial).tables["records"].groupBy("source_identifier").agg(F.count(F.lit(1)).alias(name))
+    state = spark.createDataFrame([(n, coverage[n], before[n] == after[n]) for n in names], "source_identifier string, coverage string, same_files boolean")
+    return state.join(count(False, "complete_records"), "source_identifier").join(count(True, "newest_records"), "source_identifier")

@@ -13,3 +13,5 @@ PARSED = f"struct<malformed:boolean,timestamp:string,text:string,title:string,su
 RECORD_COLUMNS = ("source", "source_identifier", "path", "line_number", "fingerprint", "modified", "timestamp", "text", "title", "subagent_name", "authored_status", "session_identifier", "task", "blocks")
 #: One row a file or line that didn't.
 FAILURE = "source string, source_identifier string, path string, line_number long, reason string"
+#: The same as a schema.
+RECORD = f"source string, source_identifier string, path string, line_number long, fingerprint string, modified timestamp, timestamp string, text string, title string, subagent_name string, authored_status string, session_identifier string, task {TASK}, blocks array<struct<kind:string,text:string,task_identifier:string>>"

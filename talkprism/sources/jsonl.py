@@ -109,8 +109,8 @@ def _report(rows: DataFrame, root: Root, reason: str, line: Column | None = None
     return rows.select(F.lit(root.source).alias("source"), F.lit(root.identifier).alias("source_identifier"), "path", (F.lit(None) if line is None else line).cast("long").alias("line_number"), F.lit(reason).alias("reason"))
 
 
-def scan(spark: SparkSession, root: Root) -> Scan:
-    """Read a root. Where it has more entries than the cap, those after it in order of their paths aren't looked at. Files over the cap are skipped by their length alone; a file whose length or time is no longer that of the listing, a line over the cap, a blank or malformed one is a failure; invalid UTF-8 ends its file."""
+def listing(spark: SparkSession, root: Root) -> tuple[DataFrame, DataFrame]:
+    """(path, length, modified) of the files that a scan reads, and reports of the caps that cut the listing or skip a file."""
     found, limits = discover(spark, root), root.limits
     last = entries(spark, root).select("path").orderBy("path").limit(limits.entries + 1)
     last = last.groupBy().agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("path")).where(F.col("n") > limits.entries)
@@ -122,27 +122,27 @@ def scan(spark: SparkSession, root: Root) -> Scan:
     many = _report(ranked.where(F.col("place") == limits.files + 1), root, "FileLimit")
     within = ranked.where(F.col("place") <= limits.files)
     large = _report(within.where(F.col("length") > limits.file_bytes), root, "FileBytes")
+    return within.drop("place"), crowded.unionByName(many).unionByName(large)
 
-    contents = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{root.extension}").load(root.path).where(F.col("length") <= limits.file_bytes)
-    listed = (F.col("_metadata.file_size").alias("listed_length"), F.col("_metadata.file_modification_time").alias("listed_time"))
-    contents = contents.select("path", "content", "length", F.col("modificationTime").alias("modified"), *listed).join(within.select("path"), "path", "left_semi")
-    same = (F.octet_length("content") == F.col("listed_length")) & (F.col("modified") == F.col("listed_time"))
-    changed = _report(contents.where(~same), root, "ChangedDuringScan")
-    contents = contents.where(same).drop("listed_length", "listed_time")
-    text = F.col("content").cast("string")
-    pieces = F.split(text, "\n", -1)
-    pieces = F.when(F.endswith(text, F.lit("\n")), F.slice(pieces, 1, F.size(pieces) - 1)).when(text == "", F.array().cast("array<string>")).otherwise(pieces)
-    # Splitting puts U+FFFD for invalid bytes; in a file that has some, the first line with that character ends it.
-    first_bad = F.array_position(F.transform(pieces, lambda x: F.contains(x, F.lit("\ufffd"))), True)
-    pieces = F.when(~F.is_valid_utf8(text) & (first_bad > 0), F.slice(pieces, F.lit(1), (first_bad - 1).cast("int"))).otherwise(pieces)
-    broken = _report(contents.where(~F.is_valid_utf8(text)), root, "InvalidUtf8")
-    lines = contents.select("path", "length", "modified", F.posexplode(pieces).alias("at", "raw"))
-    lines = lines.select("path", "length", "modified", (F.col("at") + 1).cast("long").alias("line_number"), F.regexp_replace("raw", "\r$", "").alias("raw"))
-    long = _report(lines.where(F.octet_length("raw") > limits.line_bytes), root, "LineBytes", F.col("line_number"))
 
-    rows = lines.where(F.octet_length("raw") <= limits.line_bytes).withColumn("p", parsed(F.lit(root.source), F.col("raw")))
-    bad = _report(rows.where("p.malformed"), root, "Malformed", F.col("line_number"))
-    good = rows.where("not p.malformed")
+def file_contents(spark: SparkSession, root: Root) -> DataFrame:
+    """(path, content, length, modified, same) of the root's files under the cap; ``same``: length and time are still those of the listing."""
+    contents = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{root.extension}").load(root.path).where(F.col("length") <= root.limits.file_bytes)
+    same = (F.octet_length("content") == F.col("_metadata.file_size")) & (F.col("modificationTime") == F.col("_metadata.file_modification_time"))
+    return contents.select("path", "content", "length", F.col("modificationTime").alias("modified"), same.alias("same"))
+
+
+def pieces(content: Column) -> Column:
+    """The lines of a file's bytes, without what follows the last line break if that is nothing. Splitting puts U+FFFD for invalid bytes; in a file that has some, the first line with that character ends it."""
+    text = content.cast("string")
+    found = F.split(text, "\n", -1)
+    found = F.when(F.endswith(text, F.lit("\n")), F.slice(found, 1, F.size(found) - 1)).when(text == "", F.array().cast("array<string>")).otherwise(found)
+    first_bad = F.array_position(F.transform(found, lambda x: F.contains(x, F.lit("\ufffd"))), True)
+    return F.when(~F.is_valid_utf8(text) & (first_bad > 0), F.slice(found, F.lit(1), (first_bad - 1).cast("int"))).otherwise(found)
+
+
+def records_of(rows: DataFrame, root: Root) -> DataFrame:
+    """Records of the parsed lines (path, length, modified, line_number, p) that aren't malformed."""
     session = session_of(F.lit(root.source), F.col("path"))
     task = F.col("p.task")
     if root.source in ("Codex", "Pi"):
@@ -150,22 +150,43 @@ def scan(spark: SparkSession, root: Root) -> Scan:
     else:
         bare = F.struct(stem(F.col("path")).alias("task_identifier"), *[F.lit(None).cast("string").alias(n) for n in ("title", "tool_use_identifier", "output_path", "result", "usage")])
         task = F.coalesce(task, bare)
-    records = good.select(
+    return rows.where("not p.malformed").select(
         F.lit(root.source).alias("source"),
         F.lit(root.identifier).alias("source_identifier"),
         "path",
         "line_number",
-        F.concat_ws(":", "length", F.unix_micros("modified")).alias("fingerprint"),
+        fingerprint(F.col("length"), F.col("modified")).alias("fingerprint"),
         "modified",
         *[F.col(f"p.{c}").alias(c) for c in ("timestamp", "text", "title", "subagent_name", "authored_status")],
         session.alias("session_identifier"),
         task.alias("task"),
         F.transform("p.blocks", lambda b: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), F.col("p.task.task_identifier").alias("task_identifier"))).alias("blocks"),
     )
+
+
+def fingerprint(length: Column, modified: Column) -> Column:
+    """The state of a file, part of the references to its lines."""
+    return F.concat_ws(":", length, F.unix_micros(modified))
+
+
+def scan(spark: SparkSession, root: Root) -> Scan:
+    """Read a root. Where it has more entries than the cap, those after it in order of their paths aren't looked at. Files over the cap are skipped by their length alone; a file whose length or time is no longer that of the listing, a line over the cap, a blank or malformed one is a failure; invalid UTF-8 ends its file."""
+    limits = root.limits
+    within, cut = listing(spark, root)
+    contents = file_contents(spark, root).join(within.select("path"), "path", "left_semi")
+    changed = _report(contents.where("not same"), root, "ChangedDuringScan")
+    contents = contents.where("same").drop("same")
+    broken = _report(contents.where(~F.is_valid_utf8(F.col("content").cast("string"))), root, "InvalidUtf8")
+    lines = contents.select("path", "length", "modified", F.posexplode(pieces(F.col("content"))).alias("at", "raw"))
+    lines = lines.select("path", "length", "modified", (F.col("at") + 1).cast("long").alias("line_number"), F.regexp_replace("raw", "\r$", "").alias("raw"))
+    long = _report(lines.where(F.octet_length("raw") > limits.line_bytes), root, "LineBytes", F.col("line_number"))
+
+    rows = lines.where(F.octet_length("raw") <= limits.line_bytes).withColumn("p", parsed(F.lit(root.source), F.col("raw")))
+    bad = _report(rows.where("p.malformed"), root, "Malformed", F.col("line_number"))
     failures = bad.unionByName(broken).unionByName(changed)
     over = _report(failures.limit(limits.failures + 1).groupBy().agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where(F.col("n") > limits.failures), root, "ReadFailures")
     kept = failures.orderBy("path", F.col("line_number").asc_nulls_last()).limit(limits.failures)
-    return Scan(records, kept, crowded.unionByName(many).unionByName(large).unionByName(long).unionByName(over), rows)
+    return Scan(records_of(rows, root), kept, cut.unionByName(long).unionByName(over), rows)
 
 
 def with_instant(records: DataFrame) -> DataFrame:
