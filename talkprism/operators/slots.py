@@ -1,8 +1,9 @@
 """An index of slots: every configured source has its own generations and is refreshed alone.
 
 The tables are partitioned by slot and generation. A refresh resumes the scan of each source from
-the states of its files, writes a new generation of that source's partitions under a name of its
-own and then names it in the view ``slots``; partitions of other sources aren't touched. A source that was scanned whole is Complete; one with failures or
+the states of its files, writes a new generation of that source's partitions (dynamic partition
+overwrite, which stages each job's files apart, so sources are written at the same time) and then
+names it in the view ``slots``; partitions of other sources aren't touched. A source that was scanned whole is Complete; one with failures or
 caps is Incomplete: what was found is provisional beside the last complete generation; one that
 can't be listed is Failed and stays as it was. Readers take the last complete generation of every
 source, or with ``partial`` the newest.
@@ -17,10 +18,11 @@ from __future__ import annotations
 
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
+from threading import Lock
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +30,12 @@ from talkprism.errors import CollectionUnavailable, FragileReferenceStale
 from talkprism.operators.store import TABLES, Snapshot
 from talkprism.plans import health, model
 from talkprism.schema import FAILURE, RECORD, RECORD_COLUMNS
-from talkprism.sources.jsonl import Root
+from talkprism.sources.jsonl import Root, exists
 from talkprism.sources.resume import CAPS, STATE_SCHEMA, UNSEEN, Whole, merged, resume
 
 _KEYS = ("slot", "generation")
+#: Sources refreshed at the same time.
+SOURCES = 8
 
 
 @dataclass(frozen=True)
@@ -88,7 +92,7 @@ class SlotStore:
     """The index in the catalog's database ``name``."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name = spark, name
+        self.spark, self.name, self._view = spark, name, Lock()
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
 
     def _table(self, table: str) -> str:
@@ -103,6 +107,10 @@ class SlotStore:
 
     def _point(self, new: Slot | None, expected: Slot | None) -> None:
         """Name ``new`` as the state of its slot, unless another writer has changed that since ``expected`` was read; None takes the slot out."""
+        with self._view:
+            self._replace_view(new, expected)
+
+    def _replace_view(self, new: Slot | None, expected: Slot | None) -> None:
         now = self.slots()
         name = (new or expected).slot
         if now.get(name) != expected:
@@ -130,24 +138,32 @@ class SlotStore:
     def _write(self, table: str, rows: DataFrame, slot: str, generation: str) -> None:
         rows = rows.withColumns({"slot": F.lit(slot), "generation": F.lit(generation)})
         if not self.spark.catalog.tableExists(self._table(table)):
-            self.spark.createDataFrame([], rows.schema).write.partitionBy(*_KEYS).mode("ignore").saveAsTable(self._table(table))
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._table(table)} ({columns}) USING parquet OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY (slot, generation)")
         columns = self.spark.table(self._table(table)).columns
-        rows.select(*columns).write.mode("append").insertInto(self._table(table))
+        rows.select(*columns).write.mode("overwrite").insertInto(self._table(table))
+
+    def _write_all(self, tables: dict[str, DataFrame], slot: str, generation: str) -> None:
+        """Independent jobs, at the same time."""
+        with ThreadPoolExecutor(len(tables)) as pool:
+            list(pool.map(lambda item: self._write(*item, slot, generation), tables.items()))
 
     def _publish(self, before: Slot, found: Whole, parsed: int = 0) -> Slot:
         """A new generation of one slot; complete if nothing was reported."""
         generation, slot = f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex}", before.slot
         seen, told = Observation(), Observation()
+        files = Observation()
         keyed = model.keyed(found.records.select(*RECORD_COLUMNS))
-        self._write("records", keyed.observe(seen, F.count(F.lit(1)).alias("records")), slot, generation)
         kinds = {"malformed": F.col("reason") == "Malformed", "truncations": F.col("reason").isin("LineBytes", *CAPS), "reports": F.lit(True)}
-        self._write("reports", found.reports.observe(told, *[F.count_if(c).alias(k) for k, c in kinds.items()]), slot, generation)
-        files = Observation()
-        self._write("files", found.states.observe(files, F.count(F.lit(1)).alias("files")), slot, generation)
+        scanned = {
+            "records": keyed.observe(seen, F.count(F.lit(1)).alias("records")),
+            "reports": found.reports.observe(told, *[F.count_if(c).alias(k) for k, c in kinds.items()]),
+            "files": found.states.observe(files, F.count(F.lit(1)).alias("files")),
+        }
+        self._write_all(scanned, slot, generation)
         rows = self.spark.table(self._table("records")).where((F.col("slot") == slot) & (F.col("generation") == generation)).drop(*_KEYS)
         outs = model.outputs(rows)
-        for name, table in {"sessions": model.sessions(rows), "subagents": model.subagents(rows), "outputs": outs, "segments": model.segments(outs).drop("text"), "blocks": model.blocks(rows)}.items():
-            self._write(name, table, slot, generation)
+        self._write_all({"sessions": model.sessions(rows), "subagents": model.subagents(rows), "outputs": outs, "segments": model.segments(outs).drop("text"), "blocks": model.blocks(rows)}, slot, generation)
         counts = _observed(told, *kinds)
         whole = counts["reports"] == 0
         return replace(
@@ -175,7 +191,8 @@ class SlotStore:
             if name not in wanted:
                 self._point(None, slot)
                 self._drop(slot, slot.named)
-        return [self._refresh(r) for r in roots]
+        with ThreadPoolExecutor(min(SOURCES, len(roots))) as pool:
+            return list(pool.map(self._refresh, roots))
 
     def _refresh(self, root: Root) -> Slot:
         name = slot_name(root.source, root.identifier)
@@ -183,16 +200,11 @@ class SlotStore:
         before = known or Slot(name, root.source, root.identifier)
         base = Whole(self._part("records", RECORD, name, before.newest), self._part("reports", FAILURE, name, before.newest), self._part("files", STATE_SCHEMA, name, before.newest))
         base = Whole(base.records.select(*RECORD_COLUMNS), base.reports, base.states)
-        try:
-            step = resume(self.spark, root, base.states)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not exists(self.spark, root.path):
             return self._settle(replace(before, coverage="Failed", parsed=0), known)
-        caps = {r["reason"] for r in step.cut.select("reason").distinct().collect()}
-        seen = not caps & set(UNSEEN)
-        gone = seen and not base.states.join(step.within.select("path"), "path", "left_anti").isEmpty()
-        if before.newest and not step.read and not gone and caps == self._caps(before):
+        step = resume(self.spark, root, base.states)
+        seen = not step.caps & set(UNSEEN)
+        if before.newest and not step.read and not (seen and step.gone) and step.caps == self._caps(before):
             return self._settle(replace(before, coverage="Incomplete" if before.provisional else "Complete", parsed=0), known)
         staged = f"staged_{uuid.uuid4().hex}"
         try:

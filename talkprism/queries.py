@@ -17,6 +17,7 @@ from talkprism import errors
 from talkprism.functions import text as tx
 from talkprism.functions import textquery as tq
 from talkprism.functions.timestamps import Between, Clock, Recent, Since, instant, rfc3339, within
+from talkprism.operators.backing import listed, read_many, with_lifecycle
 from talkprism.operators.archive import Archive, record_identifier
 from talkprism.operators.config import Configuration, InterfaceLimits, issues
 from talkprism.operators.requests import Index, PageRequest
@@ -24,6 +25,7 @@ from talkprism.operators.slots import SlotStore, slot_name
 from talkprism.operators.store import Store, changed_groups
 from talkprism.plans import collect, health, model, paging
 from talkprism.plans.filters import Filter
+from talkprism.sources import variant
 from talkprism.sources.jsonl import Limits, Root, parsed
 from talkprism.sources.repository import configured_changes
 from talkprism.sources.turns import records_of_turns
@@ -561,11 +563,17 @@ def _parsed(spark, sf_dir, source: str) -> DataFrame:
     return rows.select("path", "line_number", parsed(F.lit(source), F.col("raw")).alias("p"))
 
 
+def _natively_parsed(spark, sf_dir, source: str) -> DataFrame:
+    """As ``_parsed`` without a Python worker; a line that needs one is an error."""
+    rows = variant.with_native(_lines(spark, sf_dir).where(F.col("source") == source))
+    return rows.select("path", "line_number", F.when(F.col("sure"), F.col("native")).otherwise(F.raise_error(F.concat(F.lit("not sure of "), "raw"))).alias("p"))
+
+
 def _parsed_blocks(name: str, source: str, pieces: list[tuple[str, str, str]]) -> None:
     """A query of the blocks of a source's lines. ``pieces``: condition, kind and text in SQL, in order; blank texts count for nothing."""
 
     def run(spark, sf_dir):
-        return _parsed(spark, sf_dir, source).select("path", "line_number", F.posexplode("p.blocks").alias("block_index", "b")).select("path", "line_number", "block_index", F.col("b.kind").alias("kind"), F.col("b.text").alias("content"))
+        return (_natively_parsed if source in variant.SOURCES else _parsed)(spark, sf_dir, source).select("path", "line_number", F.posexplode("p.blocks").alias("block_index", "b")).select("path", "line_number", "block_index", F.col("b.kind").alias("kind"), F.col("b.text").alias("content"))
 
     run.__name__ = name
     parts = [f"SELECT path, line_number, {i} AS pos, {kind} AS kind, {text} AS content FROM rec WHERE source = '{source}' AND {condition}" for i, (condition, kind, text) in enumerate(pieces)]
@@ -795,3 +803,42 @@ def slots_of_sources(spark, sf_dir):
     count = lambda partial, name: store.snapshot(partial).tables["records"].groupBy("source_identifier").agg(F.count(F.lit(1)).alias(name))
     state = spark.createDataFrame([(n, coverage[n], before[n] == after[n]) for n in names], "source_identifier string, coverage string, same_files boolean")
     return state.join(count(False, "complete_records"), "source_identifier").join(count(True, "newest_records"), "source_identifier")
+
+
+@query(
+    f"""WITH {_DEALT} SELECT 'claude-' || f || '.jsonl' AS file, line_number, CASE WHEN f % 4 = 0 THEN 'Fresh' WHEN f % 4 = 3 THEN 'Broken' ELSE 'Stale' END AS state,
+ CASE WHEN f % 4 = 0 THEN {_prefix('content', 20)} END AS content, CASE WHEN f % 4 = 0 THEN CASE WHEN strlen(content) > 20 THEN 'Truncated' ELSE 'Complete' END END AS content_state FROM c"""
+)
+def read_changed_lines(spark, sf_dir):
+    """Every block of the index read from its file's line, after a quarter of the files was written anew with other texts, one grew, and one went."""
+    folder, lines = _scratch(spark, f"backing-{uuid.uuid4().hex}"), _transcript_lines(spark, sf_dir, 16)
+    store, root = SlotStore(spark, _database(spark, "backing")), Root(folder, "Claude", "main")
+    _write_transcripts(spark, lines, folder)
+    store.refresh([root])
+    other = F.when(F.col("conv_id") % 4 == 1, F.replace("raw", F.lit("e"), F.lit("E"))).otherwise(F.col("raw"))
+    more = lines.where("conv_id % 4 = 2 and line_number = n").withColumn("line_number", F.col("n") + 1)
+    _write_transcripts(spark, lines.where("conv_id % 4 in (1, 2)").withColumn("raw", other).unionByName(more), folder)
+    _remove(spark, folder, [f"claude-{f}.jsonl" for f in range(3, 16, 4)])
+    tables = store.snapshot().tables
+    found = read_many(tables, tables["blocks"].select(F.col("block_reference").alias("reference")), [root], 20)
+    names = tables["blocks"].select(F.col("block_reference").alias("reference"), F.substring_index("path", "/", -1).alias("file"), "line_number")
+    return found.join(names, "reference").select("file", "line_number", "state", F.col("text").alias("content"), F.col("text_state").alias("content_state"))
+
+
+def _remove(spark: SparkSession, folder: str, names: list[str]) -> None:
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    fs = paths(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in names:
+        fs.delete(paths(f"{folder}/{name}"), False)
+
+
+@query(f"""WITH {_DEALT} SELECT f::varchar AS producer, count(*) AS outputs, CASE WHEN f % 3 = 0 THEN 'SourceMissing' ELSE 'Current' END AS lifecycle, (f % 3 <> 0)::bigint AS file_count FROM c GROUP BY f""")
+def session_lifecycle(spark, sf_dir):
+    """Cards of one session a file, after a third of the files went."""
+    folder, lines = _scratch(spark, f"lifecycle-{uuid.uuid4().hex}"), _transcript_lines(spark, sf_dir, 16)
+    store, root = SlotStore(spark, _database(spark, "lifecycle")), Root(folder, "Claude", "main")
+    _write_transcripts(spark, lines, folder)
+    store.refresh([root])
+    _remove(spark, folder, [f"claude-{f}.jsonl" for f in range(0, 16, 3)])
+    cards = with_lifecycle(store.snapshot().tables["sessions"], listed(spark, [root]))
+    return cards.select(F.col("session_identifier").alias("producer"), F.col("output_count").alias("outputs"), "lifecycle", "file_count")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from talkprism import schema
 from talkprism.functions.timestamps import instant
-from talkprism.sources import rules
+from talkprism.sources import rules, variant
 
 
 @dataclass(frozen=True)
@@ -59,12 +59,22 @@ def parsed(source: Column, line: Column) -> Column:
 
     @F.pandas_udf(_PARSED[0])
     def read(sources: pd.Series, lines: pd.Series) -> pd.DataFrame:
-        rows = [rules.read_line(s, x) for s, x in zip(sources, lines, strict=True)]
-        return pd.DataFrame(rows, columns=[f.name for f in _PARSED[0].fields])
+        names = [f.name for f in _PARSED[0].fields]
+        rows = [dict.fromkeys(names) if x is None else rules.read_line(s, x) for s, x in zip(sources, lines, strict=True)]
+        return pd.DataFrame(rows, columns=names)
 
     return read(source, line)
 
 
+def with_parsed(rows: DataFrame, source: str, raw: str = "raw", native: bool = False) -> DataFrame:
+    """``rows`` with ``p``, the struct of ``schema.PARSED`` for each line: in Python, or with ``native`` by built-in expressions for the lines that these are sure of."""
+    if not native or source not in variant.SOURCES:
+        return rows.withColumn("p", parsed(F.lit(source), F.col(raw)))
+    rows = variant.with_native(rows, raw)
+    rest = parsed(F.lit(source), F.when(~F.col("sure"), F.col(raw)))
+    return rows.withColumn("p", F.when(F.col("sure"), F.col("native").cast(schema.PARSED)).otherwise(rest)).drop("native", "sure")
+
+
 def stem(path: Column) -> Column:
     return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
 
@@ -76,6 +86,12 @@ def session_of(source: Column, path: Column) -> Column:
     return F.regexp_replace(own, "^claude-", "")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def entries(spark: SparkSession, root: Root) -> DataFrame:
     """(path, length, modified) of every file below the root, of any kind; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.path)
@@ -181,7 +197,8 @@ def scan(spark: SparkSession, root: Root) -> Scan:
     lines = lines.select("path", "length", "modified", (F.col("at") + 1).cast("long").alias("line_number"), F.regexp_replace("raw", "\r$", "").alias("raw"))
     long = _report(lines.where(F.octet_length("raw") > limits.line_bytes), root, "LineBytes", F.col("line_number"))
 
-    rows = lines.where(F.octet_length("raw") <= limits.line_bytes).withColumn("p", parsed(F.lit(root.source), F.col("raw")))
+    rows = lines.where(F.octet_length("raw") <= limits.line_bytes)
+    rows = with_parsed(rows, root.source)
     bad = _report(rows.where("p.malformed"), root, "Malformed", F.col("line_number"))
     failures = bad.unionByName(broken).unionByName(changed)
     over = _report(failures.limit(limits.failures + 1).groupBy().agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where(F.col("n") > limits.failures), root, "ReadFailures")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkprism.sources.jsonl import Root, file_contents, fingerprint, listing, parsed, pieces, records_of
+from talkprism.sources.jsonl import Root, file_contents, fingerprint, listing, pieces, records_of, with_parsed
 
 #: What is known of a file: ``whole`` says that it is valid UTF-8, ``covered`` and ``lines`` count its complete lines.
 STATE = ("path", "length", "modified", "covered", "lines", "digest", "whole")
@@ -27,12 +27,14 @@ REPORT = ("source", "source_identifier", "path", "line_number", "reason")
 
 @dataclass(frozen=True)
 class Resumed:
-    """``lines``: STATE, ``skip`` (lines known before), line_number, p and reason; at least one row a file read, not computed yet. ``within``: the files of the listing; ``cut``: reports of caps; ``read``: files to read."""
+    """``lines``: STATE, ``skip`` (lines known before), line_number, p and reason; at least one row a file read, not computed yet. ``within``: the files of the listing; ``cut``: reports of caps; ``read``: files to read; ``gone``: known files that aren't listed; ``caps``: reasons in ``cut``."""
 
     lines: DataFrame
     within: DataFrame
     cut: DataFrame
     read: int
+    gone: int
+    caps: frozenset[str]
 
 
 def _same(a: str, b: str) -> Column:
@@ -45,10 +47,15 @@ def resume(spark: SparkSession, root: Root, states: DataFrame) -> Resumed:
     known = states.select("path", *[F.col(c).alias(f"known_{c}") for c in STATE[1:]])
     differ = within.join(known, "path", "left").where(~(_same("length", "known_length") & _same("modified", "known_modified")))
     differ = differ.withColumnsRenamed({"length": "listed_length", "modified": "listed_time"})
-    found = differ.agg(F.count(F.lit(1)).alias("n"), F.min("listed_time").alias("first"), F.max("listed_time").alias("last")).first()
+    # One job says what there is to do: files to read and their times, files that are gone, caps.
+    nothing = F.lit(None).cast("timestamp")
+    asked = differ.select(F.lit("read").alias("what"), F.col("listed_time").alias("time"))
+    asked = asked.unionByName(known.join(within, "path", "left_anti").select(F.lit("gone").alias("what"), nothing.alias("time")))
+    asked = asked.unionByName(cut.select(F.col("reason").alias("what"), nothing.alias("time")))
+    told = {r["what"]: r for r in asked.groupBy("what").agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("first"), F.max("time").alias("last")).collect()}
     contents = file_contents(spark, root)
-    if found["n"]:
-        contents = contents.where(F.col("modified").between(F.lit(found["first"]), F.lit(found["last"])))
+    if "read" in told:
+        contents = contents.where(F.col("modified").between(F.lit(told["read"]["first"]), F.lit(told["read"]["last"])))
     files = contents.join(differ, "path").withColumn("same", F.col("same") & _same("length", "listed_length") & _same("modified", "listed_time"))
     part = lambda start, size: F.substring("content", start.cast("int"), size.cast("int"))
     grown = F.coalesce(F.col("known_whole") & (F.col("length") >= F.col("known_covered")) & (F.sha2(part(F.lit(1), F.col("known_covered")), 256) == F.col("known_digest")), F.lit(False))
@@ -66,9 +73,9 @@ def resume(spark: SparkSession, root: Root, states: DataFrame) -> Resumed:
     rows = files.select(*STATE, "same", F.col("skip").cast("long").alias("skip"), F.posexplode_outer("new").alias("at", "raw"))
     rows = rows.withColumn("line_number", (F.col("skip") + F.col("at") + 1).cast("long")).withColumn("raw", F.regexp_replace("raw", "\r$", ""))
     long = F.octet_length("raw") > root.limits.line_bytes
-    rows = rows.withColumn("p", parsed(F.lit(root.source), F.when(F.col("raw").isNull() | long, F.lit("")).otherwise(F.col("raw"))))
+    rows = with_parsed(rows.withColumn("line", F.when(F.col("raw").isNull() | long, F.lit("")).otherwise(F.col("raw"))), root.source, "line")
     reason = F.when(~F.col("same"), "ChangedDuringScan").when(F.col("at").isNull(), None).when(long, "LineBytes").when(F.col("p.malformed"), "Malformed")
-    return Resumed(rows.select(*STATE, "skip", "line_number", "p", reason.alias("reason")), within, cut, found["n"])
+    return Resumed(rows.select(*STATE, "skip", "line_number", "p", reason.alias("reason")), within, cut, told["read"]["n"] if "read" in told else 0, told["gone"]["n"] if "gone" in told else 0, frozenset(told) & frozenset(CAPS))
 
 
 @dataclass(frozen=True)

@@ -153,8 +153,8 @@ def test_clean_leaves_named_and_young_generations(spark, tmp_path):
     (slot,) = store.refresh([root])
     records = spark.table("clean_slots.records").drop("slot", "generation")
     store._write("records", records, slot.slot, "0000000000001-left")  # of a writer that failed long ago
-    store._write("records", records, slot.slot, "9999999999999-now")  # of one at work
-    assert store.clean() == ["0000000000001-left"] and store.clean(-1e9) == ["9999999999999-now"]
+    store._write("records", records, slot.slot, "2000000000000-now")  # of one at work
+    assert store.clean() == ["0000000000001-left"] and store.clean(-1e5) == ["2000000000000-now"]
     assert store.snapshot().tables["records"].count() == 1
 
 

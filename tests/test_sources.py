@@ -2,11 +2,12 @@
 
 import json
 import os
+import random
 
 import pytest
 
-from talkprism.sources import rules
-from talkprism.sources.jsonl import Limits, Root, discover, scan
+from talkprism.sources import rules, variant
+from talkprism.sources.jsonl import Limits, Root, discover, scan, with_parsed
 from talkprism.sources.repository import CHANGE, configured_changes, uncollected
 from talkprism.streaming import ingest
 
@@ -160,3 +161,44 @@ def test_entry_cap_and_files_that_change(spark, tmp_path):
     write(tmp_path / "s2.jsonl", {"text": "longer than it was"})
     assert sorted(r["text"] for r in found.records.collect()) == ["t0", "t1", "t3"]
     assert [r["reason"] for r in found.failures.collect()] == ["ChangedDuringScan"] and found.truncations.isEmpty()
+
+
+def test_native_parsing_is_that_of_the_rules(spark):
+    """Made lines of every shape: where the built-in expressions are sure, they give the row of the rules; the lines of this file's other tests are such."""
+    rng = random.Random(11)
+    words = ["a", "  ", "", "Task", "tool_use", "user", "assistant", "System", "text", "thinking", "é\n\"q\"", "😀", "2025-01-01T00:00:00Z", "2025-01-01T00:00:00.50Z", "queue-operation", "attachment", "human", "MIXED", " ", "x\u0001"]
+    keys = "type role text thinking content message name id input title summary usage usage_summary task_id tool_use_id timestamp created_at subagent agent_name subagent_type description output_path result authored_status authorship author".split()
+
+    def value(depth):
+        kind = rng.random()
+        if depth > 3 or kind < 0.55:
+            return rng.choice(words)
+        if kind < 0.62:
+            return rng.choice([None, True, 5, -7, 1.5, 10**20])
+        return [value(depth + 1) for _ in range(rng.randrange(4))] if kind < 0.8 else thing(depth + 1)
+
+    def thing(depth):
+        return {rng.choice(keys): value(depth) for _ in range(rng.randrange(1, 6))}
+
+    def item():
+        given = {"description": "d", "subagent_type": rng.choice(["w", " ", 1]), "b": 1, "a": [1, "é"]}
+        return {"type": rng.choice(["text", "thinking", "tool_use", "TOOL_RESULT", "image", "other"]), "text": rng.choice(["t", None, 5, ""]), "content": rng.choice(["c", [{"text": "x"}, {"thinking": "y"}, "z"], {"text": "o"}, None, []]), "name": rng.choice(["Task", "Bash"]), "id": f"u{rng.randrange(9)}", "input": given}
+
+    lines = []
+    for _ in range(1500):
+        line = thing(0)
+        if rng.random() < 0.5:
+            line["content"] = [item() for _ in range(rng.randrange(4))]
+        if rng.random() < 0.4:
+            line["message"] = {"role": rng.choice(words), "content": [item() for _ in range(rng.randrange(3))]}
+        text = json.dumps(line, ensure_ascii=rng.random() < 0.3)
+        lines.append(text + (rng.choice(["]", "}", " x", ",1", ' ,"|end of line|"]']) if rng.random() < 0.05 else ""))
+    plain = [{"message": {"role": "assistant", "content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "hi"}, {"type": "tool_use", "name": "Bash", "input": {"b": 1}}, {"type": "image"}]}}, {"type": "queue-operation", "content": "q"}, {"text": "t"}, {"role": "system", "content": "s"}]
+    lines += [json.dumps(x) for x in plain] + ['{"text":"a\\ud800b"}', '{"text":"x","n":NaN}', '{"text":"x","n":1e999}', '{"text":"a","text":"b"}', "", "5"]
+    df = spark.createDataFrame([(x,) for x in lines], "raw string")
+    rows = variant.with_native(df).collect()
+    sure = [r for r in rows if r["sure"]]
+    assert all(r["native"].asDict(recursive=True) == rules.read_line("Claude", r["raw"]) for r in sure)
+    assert len(sure) > 100 and {json.dumps(x) for x in plain} <= {r["raw"] for r in sure}
+    both = {r["raw"]: r["p"].asDict(recursive=True) for r in with_parsed(df, "Claude", native=True).collect()}
+    assert all(p == rules.read_line("Claude", raw) for raw, p in both.items())
