@@ -92,20 +92,44 @@ class Near(Query):
     def _of(self, tokens, word):
         return F.filter(_positions(tokens), lambda i: F.get(tokens, i) == _normal(word)[0])
 
-    def _close(self, i, j):
-        return (i != j) & (F.abs(i - j) - 1 <= self.distance)
+    def _around(self, tokens, use):
+        """``use(right, around)``: the right words' places, and the slice of them near a place, as (first, number).
+
+        One array has, for every place up to the end, how many right words come before it; so a
+        slice is two lookups, whatever the number of words.
+        """
+
+        def with_right(right):
+            gaps = F.transform(right, lambda j, k: F.array_repeat(k, j - F.coalesce(F.get(right, k - 1), F.lit(-1))))
+            rest = F.array_repeat(F.size(right), F.size(tokens) - F.coalesce(F.get(right, F.size(right) - 1), F.lit(-1)))
+
+            def with_before(before):
+                def around(i):
+                    first = F.get(before, F.greatest(i - (self.distance + 1), F.lit(0)))
+                    return first, F.get(before, F.least(i + (self.distance + 2), F.size(tokens))) - first
+
+                return use(right, around)
+
+            return bind(F.flatten(F.array_append(gaps, rest)), with_before)
+
+        return bind(self._of(tokens, self.right), with_right)
 
     def matches(self, tokens):
-        return bind(self._of(tokens, self.right), lambda right: F.exists(self._of(tokens, self.left), lambda i: F.exists(right, lambda j: self._close(i, j))))
+        itself = int(_normal(self.left) == _normal(self.right))
+        return self._around(tokens, lambda _, around: F.exists(self._of(tokens, self.left), lambda i: around(i)[1] > itself))
 
     def terms(self):
         return [self]
 
     def spans(self, tokens):
-        def pairs(right):
-            return F.transform(self._of(tokens, self.left), lambda i: F.transform(F.filter(right, lambda j: self._close(i, j)), lambda j: _span(F.least(i, j), F.greatest(i, j))))
+        def pairs(right, around):
+            def of(i):
+                first, n = around(i)
+                return F.transform(F.filter(F.slice(right, first + 1, n), lambda j: j != i), lambda j: _span(F.least(i, j), F.greatest(i, j)))
+
+            return F.flatten(F.transform(self._of(tokens, self.left), of))
 
-        return F.flatten(bind(self._of(tokens, self.right), pairs))
+        return self._around(tokens, pairs)
 
 
 @dataclass(frozen=True)

@@ -1,7 +1,9 @@
-"""The summary archive: an append-only Parquet table of session summaries."""
+"""The summary archive: an append-only Parquet table of session summaries, each record in a folder of its own, so that writers don't meet."""
 
 from __future__ import annotations
 
+from threading import Lock
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -16,6 +18,10 @@ def record_identifier(sequence) -> F.Column:
     return F.format_string("archive-record-%016d", sequence)
 
 
+#: Creation is exclusive in stores that several drivers share; writers in one driver take turns, as local file systems check and create in two steps.
+_CLAIMS = Lock()
+
+
 class Archive:
     """``path`` is relative to ``root`` and stays below it."""
 
@@ -26,17 +32,25 @@ class Archive:
 
     def rows(self) -> DataFrame:
         try:
-            return self.spark.read.schema(SCHEMA).parquet(self.path)
+            return self.spark.read.schema(SCHEMA).option("recursiveFileLookup", True).parquet(self.path)
         except AnalysisException:
             return self.spark.createDataFrame([], SCHEMA)
 
+    def _claim(self, number: int) -> bool:
+        """Whether the number is ours now: its file, hidden from readers, is created only where there is none."""
+        claim = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_claims/{number:016d}")
+        with _CLAIMS:
+            return claim.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(claim)
+
     def write(self, session: dict, summary: str, provenance: str, created_at: str) -> str:
-        """Append one record with the next free number; returns its identifier."""
+        """Append one record with the next free number; returns its identifier. A number is claimed before it is used, so two writers never share one; that of a writer that failed stays unused."""
         last = self.rows().agg(F.max("sequence")).first()[0]
         number = 0 if last is None else last + 1
+        while not self._claim(number):
+            number += 1
         names = ("session_reference", "source", "title", "started_at", "last_observed_at", "output_count")
         row = (number, f"archive-record-{number:016d}", *[session.get(n) for n in names], summary, provenance, created_at)
-        self.spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+        self.spark.createDataFrame([row], SCHEMA).coalesce(1).write.parquet(f"{self.path}/{row[1]}")
         return row[1]
 
     def query(self, session_reference: str | None = None) -> DataFrame:

@@ -47,21 +47,29 @@ def capped(records: DataFrame, segments: int) -> DataFrame:
 def bounded_texts(records: DataFrame, budget: Budget) -> DataFrame:
     """Excerpts of the capped records: each at most ``bound`` bytes and at most what is left of its source's bytes.
 
-    What is left depends on where earlier excerpts could be cut, so a source's rows, at most
-    ``segments``, are folded in order.
+    Up to the row at which a running sum of the bounded lengths passes the budget, what is left
+    is the budget less the sum before. That row is cut at a character, which leaves at most three
+    bytes; each later row that can use some of them leaves fewer, so three more steps settle all
+    rows. All of it is windows over the order that the cap has sorted: no further shuffle.
     """
-    rows = capped(records, budget.segments)
-    texts = rows.groupBy("source", "source_identifier").agg(F.array_sort(F.collect_list(F.struct("place", "path", "line_number", "timestamp", utf8_prefix("text", budget.bound).alias("text"), byte_length("text").alias("bytes")))).alias("rows"))
-    start = F.struct(F.lit(budget.bytes).cast("long").alias("left"), F.array().cast("array<struct<place:int,path:string,line_number:bigint,timestamp:string,excerpt:string,bytes:bigint,left:bigint>>").alias("out"))
-
-    def step(acc, row):
-        excerpt = utf8_prefix(row["text"], F.least(F.lit(budget.bound).cast("long"), acc["left"]))
-        done = F.struct(row["place"].alias("place"), row["path"].alias("path"), row["line_number"].alias("line_number"), row["timestamp"].alias("timestamp"), excerpt.alias("excerpt"), row["bytes"].alias("bytes"), acc["left"].alias("left"))
-        return F.struct((acc["left"] - byte_length(excerpt)).alias("left"), F.concat(acc["out"], F.array(done)).alias("out"))
-
-    flat = texts.select("source", "source_identifier", F.explode(F.aggregate("rows", start, step)["out"]).alias("r")).select("source", "source_identifier", "r.*")
+    source = Window.partitionBy("source", "source_identifier")
+    before = source.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = capped(records, budget.segments).select("source", "source_identifier", "place", "path", "line_number", "timestamp", "text", byte_length("text").alias("bytes"))
+    rows = rows.withColumn("own", F.coalesce(byte_length(utf8_prefix("text", budget.bound)), F.lit(0)))
+    rows = rows.withColumn("left", F.lit(budget.bytes).cast("long") - F.coalesce(F.sum("own").over(before), F.lit(0)))
+    length = lambda limit: F.coalesce(byte_length(utf8_prefix("text", limit)), F.lit(0))
+    rows = rows.withColumn("cut_at", F.min(F.when(F.col("own") > F.col("left"), F.col("place"))).over(source))
+    here, later = F.col("place") == F.col("cut_at"), F.col("place") > F.col("cut_at")
+    rows = rows.withColumn("rest", F.max(F.when(here, F.col("left") - length(F.col("left")))).over(source))
+    rows = rows.withColumn("left", F.when(later, F.col("rest")).otherwise(F.col("left")))
+    for _ in range(3):
+        uses = F.when(later, length(F.col("rest")))
+        rows = rows.withColumn("used", uses).withColumn("cut_at", F.min(F.when(F.col("used") > 0, F.col("place"))).over(source))
+        rows = rows.withColumn("rest", F.col("rest") - F.coalesce(F.max(F.when(here, F.col("used"))).over(source), F.lit(0)))
+        rows = rows.withColumn("left", F.when(later, F.col("rest")).otherwise(F.col("left")))
+    rows = rows.withColumn("excerpt", utf8_prefix("text", F.least(F.lit(budget.bound).cast("long"), F.col("left"))))
     reason = F.when(byte_length("excerpt") < F.col("bytes"), F.when(F.col("left") < budget.bound, "RequestLimit").otherwise("ProjectionLimit"))
-    return flat.withColumn("truncation", reason).drop("left")
+    return rows.select("source", "source_identifier", "place", "path", "line_number", "timestamp", "excerpt", "bytes", reason.alias("truncation"))
 
 
 @dataclass(frozen=True)
