@@ -11,7 +11,11 @@ from talkprism.llm import exact_dedup, merkle, ordering, prefix_trie
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, source string, lang string, n_chars long, text string"
 #: Columns that the operators use inside, and other spellings of them.
-CLASH = {c: F.lit(1) for c in ("row", "SLOT", "n", "first", "digest", "tree", "place", "hash", "at", "part", "number", "path", "depth", "k1", "salt", "owner", "key", "carried")}
+CLASH = ("row", "SLOT", "n", "first", "digest", "tree", "place", "hash", "at", "part", "number", "path", "depth", "k1", "salt", "owner", "key", "carried")
+
+
+def clashing(df):
+    return df.withColumns({c: F.lit(1) for c in CLASH if c.lower() not in df.columns})
 
 
 def rows_of(df):
@@ -28,7 +32,7 @@ def texts():
 def test_exact_duplicates(spark, fan):
     """Several rounds, ties, repeated rows, null ids and texts; of each group exactly one row stays."""
     rows = texts()
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumns(CLASH)
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     got = exact_dedup.duplicates(df, fan=fan)
     want, kept = brute.exact_duplicates(rows)
     assert rows_of(got.drop("kept").select("doc_id", "keep_id", "group_size", "text_sha256")) == sorted(want, key=str)
@@ -49,10 +53,10 @@ def test_runs_are_sorted_and_hold_a_text_once_in_a_slot(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 7).cast("string").alias("text"))
     signed = exact_dedup.signatures(rows, "doc_id", "text", 4)
     run = exact_dedup._run(signed.withColumn("n", F.lit(1).cast("long")), 4)
-    parts = [[(r["slot"], bytes(r["digest"])) for r in p] for p in run.rdd.glom().collect()]
-    assert all(p == sorted(set(p)) and len({s for s, _ in p}) <= 1 for p in parts) and sum(map(len, parts)) == 28
     plan = run._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Python" not in plan
+    parts = [[(r["slot"], bytes(r["digest"])) for r in p] for p in run.rdd.glom().collect()]
+    assert all(p == sorted(set(p)) and len({s for s, _ in p}) <= 1 for p in parts) and sum(map(len, parts)) == 28
 
 
 @pytest.mark.parametrize("partitions,fan,want", [(1, 8, (2, 1)), (4, 8, (4, 1)), (8, 8, (8, 1)), (12, 8, (4, 2)), (211, 8, (6, 3)), (20_000, 8, (8, 5)), (7, 2, (2, 3))])
@@ -85,14 +89,14 @@ def documents(n):
     return [(i % 7 if i % 5 else None, None if i % 3 == 0 else "ab"[i % 2] * (i % 4), None, i % 2, None if i % 4 == 0 else "x\ny" * (1 + (i == 9) * 200_000)) for i in range(n)]
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 4, 200])
+@pytest.mark.parametrize("n", [0, 1, 200])
 def test_manifest_of_awkward_rows(spark, n):
     rows = documents(n)
-    df = spark.createDataFrame(rows, DOCS).repartition(3).withColumns(CLASH)
+    df = clashing(spark.createDataFrame(rows, DOCS).repartition(3))
     assert rows_of(merkle.audit(df)) == sorted(brute.merkle_audit(rows), key=str)
 
 
-@pytest.mark.parametrize("sizes", [(1,), (27, 1), (28, 3), (82, 729), (1, 2, 3, 4, 9, 10)])
+@pytest.mark.parametrize("sizes", [(82, 729), (1, 2, 3, 4, 9, 10, 27, 28)])
 def test_manifest_of_trees_of_every_height(spark, sizes):
     rows = [(i, f"s{k}", "en", i, f"t\n{i}") for k, n in enumerate(sizes) for i in range(n)]
     assert rows_of(merkle.audit(spark.createDataFrame(rows, DOCS))) == sorted(brute.merkle_audit(rows), key=str)
@@ -133,7 +137,7 @@ def test_trie_of_awkward_rows(spark, monkeypatch, block, chunk):
         conv, turn = rng.choice([None, 1, 2, 3, 4, 5, 7, 8, 10, 12, 13, 10**12, 2**63 - 1, -3]), None if rng.random() < 0.05 else i
         rows[conv, turn] = (conv, turn, rng.choice([None, "user", ""]), rng.choice([None, "", "é", "xx"] + ["long " * 50_000] * (i < 2)))
     rows = list(rows.values())
-    df = spark.createDataFrame(rows, CONVS).repartition(4).withColumns({c: v for c, v in CLASH.items() if c not in ("text", "role")})
+    df = clashing(spark.createDataFrame(rows, CONVS).repartition(4))
     assert rows_of(prefix_trie.trie(df)) == sorted(brute.prefix_trie(rows), key=str)
 
 
