@@ -38,6 +38,26 @@ class Query:
     def spans(self, tokens: Column) -> Column:
         raise NotImplementedError
 
+    def words(self) -> set[str]:
+        """The normalised words that the query asks for."""
+        return set().union(*[p.words() for p in self.parts()])
+
+    def holds(self, at: Column) -> Column:
+        """As ``matches``, by a map of the query's words to their places."""
+        raise NotImplementedError
+
+    def places(self, at: Column) -> Column:
+        """As ``spans``, by that map."""
+        raise NotImplementedError
+
+
+def _places(at: Column, word: str) -> Column:
+    return F.coalesce(at[_normal(word)[0]], F.array().cast("array<int>"))
+
+
+def _shifted(places: Column, by: int) -> Column:
+    return F.transform(places, lambda p: p - by)
+
 
 def _positions(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
@@ -61,6 +81,15 @@ class Word(Query):
         word = _normal(self.text)[0]
         return F.transform(F.filter(_positions(tokens), lambda i: F.get(tokens, i) == word), lambda i: _span(i, i))
 
+    def words(self):
+        return {_normal(self.text)[0]}
+
+    def holds(self, at):
+        return F.size(_places(at, self.text)) > 0
+
+    def places(self, at):
+        return F.transform(_places(at, self.text), lambda i: _span(i, i))
+
 
 @dataclass(frozen=True)
 class Phrase(Query):
@@ -80,6 +109,23 @@ class Phrase(Query):
         n = len(_normal(self.text))
         return F.transform(self._starts(tokens), lambda i: _span(i, i + (n - 1)))
 
+    def words(self):
+        return set(_normal(self.text))
+
+    def _starts_at(self, at):
+        first, *rest = _normal(self.text)
+        starts = _places(at, first)
+        for k, word in enumerate(rest, 1):
+            starts = F.array_intersect(starts, _shifted(_places(at, word), k))
+        return starts
+
+    def holds(self, at):
+        return F.size(self._starts_at(at)) > 0
+
+    def places(self, at):
+        n = len(_normal(self.text))
+        return F.transform(self._starts_at(at), lambda i: _span(i, i + (n - 1)))
+
 
 @dataclass(frozen=True)
 class Near(Query):
@@ -92,44 +138,63 @@ class Near(Query):
     def _of(self, tokens, word):
         return F.filter(_positions(tokens), lambda i: F.get(tokens, i) == _normal(word)[0])
 
-    def _around(self, tokens, use):
+    def _around(self, right, size, use):
         """``use(right, around)``: the right words' places, and the slice of them near a place, as (first, number).
 
-        One array has, for every place up to the end, how many right words come before it; so a
-        slice is two lookups, whatever the number of words.
+        One array has, for every place up to the end (``size``), how many right words come before
+        it; so a slice is two lookups, whatever the number of words.
         """
 
         def with_right(right):
             gaps = F.transform(right, lambda j, k: F.array_repeat(k, j - F.coalesce(F.get(right, k - 1), F.lit(-1))))
-            rest = F.array_repeat(F.size(right), F.size(tokens) - F.coalesce(F.get(right, F.size(right) - 1), F.lit(-1)))
+            rest = F.array_repeat(F.size(right), size - F.coalesce(F.get(right, F.size(right) - 1), F.lit(-1)))
 
             def with_before(before):
                 def around(i):
                     first = F.get(before, F.greatest(i - (self.distance + 1), F.lit(0)))
-                    return first, F.get(before, F.least(i + (self.distance + 2), F.size(tokens))) - first
+                    return first, F.get(before, F.least(i + (self.distance + 2), size)) - first
 
                 return use(right, around)
 
             return bind(F.flatten(F.array_append(gaps, rest)), with_before)
 
-        return bind(self._of(tokens, self.right), with_right)
+        return bind(right, with_right)
 
-    def matches(self, tokens):
+    def _hit(self, left, right, size):
         itself = int(_normal(self.left) == _normal(self.right))
-        return self._around(tokens, lambda _, around: F.exists(self._of(tokens, self.left), lambda i: around(i)[1] > itself))
-
-    def terms(self):
-        return [self]
+        return self._around(right, size, lambda _, around: F.exists(left, lambda i: around(i)[1] > itself))
 
-    def spans(self, tokens):
+    def _pairs(self, left, right, size):
         def pairs(right, around):
             def of(i):
                 first, n = around(i)
                 return F.transform(F.filter(F.slice(right, first + 1, n), lambda j: j != i), lambda j: _span(F.least(i, j), F.greatest(i, j)))
 
-            return F.flatten(F.transform(self._of(tokens, self.left), of))
+            return F.flatten(F.transform(left, of))
+
+        return self._around(right, size, pairs)
+
+    def matches(self, tokens):
+        return self._hit(self._of(tokens, self.left), self._of(tokens, self.right), F.size(tokens))
+
+    def terms(self):
+        return [self]
+
+    def words(self):
+        return {_normal(self.left)[0], _normal(self.right)[0]}
+
+    def spans(self, tokens):
+        return self._pairs(self._of(tokens, self.left), self._of(tokens, self.right), F.size(tokens))
+
+    def _indexed(self, at):
+        left, right = _places(at, self.left), _places(at, self.right)
+        return left, right, F.coalesce(F.greatest(F.try_element_at(left, F.lit(-1)), F.try_element_at(right, F.lit(-1))) + 1, F.lit(0))
 
-        return self._around(tokens, pairs)
+    def holds(self, at):
+        return self._hit(*self._indexed(at))
+
+    def places(self, at):
+        return self._pairs(*self._indexed(at))
 
 
 @dataclass(frozen=True)
@@ -145,6 +210,12 @@ class AllOf(Query):
             out = out & q.matches(tokens)
         return out
 
+    def holds(self, at):
+        out = self.of[0].holds(at)
+        for q in self.of[1:]:
+            out = out & q.holds(at)
+        return out
+
 
 @dataclass(frozen=True)
 class AnyOf(Query):
@@ -159,6 +230,12 @@ class AnyOf(Query):
             out = out | q.matches(tokens)
         return out
 
+    def holds(self, at):
+        out = self.of[0].holds(at)
+        for q in self.of[1:]:
+            out = out | q.holds(at)
+        return out
+
 
 @dataclass(frozen=True)
 class Not(Query):
@@ -170,6 +247,9 @@ class Not(Query):
     def matches(self, tokens):
         return ~self.of.matches(tokens)
 
+    def holds(self, at):
+        return ~self.of.holds(at)
+
     def terms(self):
         return []
 
@@ -196,9 +276,24 @@ def check(query: Query) -> Query:
     return query
 
 
-def evidence(query: Query, tokens: Column) -> Column:
-    """For each term its spans: inclusive token positions from 0. Terms without a span are left out."""
-    found = [F.struct(F.lit(str(t)).alias("term"), t.spans(tokens).alias("spans")) for t in query.terms()]
+def holds_without_words(query: Query) -> bool:
+    """Whether a text with none of the query's words matches."""
+    if isinstance(query, AllOf | AnyOf):
+        return (all if isinstance(query, AllOf) else any)(holds_without_words(q) for q in query.of)
+    return isinstance(query, Not) and not holds_without_words(query.of)
+
+
+def _as_evidence(found: list[Column]) -> Column:
     if not found:
         return F.array().cast(EVIDENCE)
     return F.filter(F.array(*found).cast(EVIDENCE), lambda e: F.size(e["spans"]) > 0)
+
+
+def evidence(query: Query, tokens: Column) -> Column:
+    """For each term its spans: inclusive token positions from 0. Terms without a span are left out."""
+    return _as_evidence([F.struct(F.lit(str(t)).alias("term"), t.spans(tokens).alias("spans")) for t in query.terms()])
+
+
+def indexed_evidence(query: Query, at: Column) -> Column:
+    """As ``evidence``, by a map of the query's words to their places."""
+    return _as_evidence([F.struct(F.lit(str(t)).alias("term"), t.places(at).alias("spans")) for t in query.terms()])

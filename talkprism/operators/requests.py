@@ -18,7 +18,7 @@ from talkprism.functions import text as tx
 from talkprism.functions import textquery
 from talkprism.functions.timestamps import Clock
 from talkprism.operators.config import VERSION, InterfaceLimits
-from talkprism.plans import health, paging
+from talkprism.plans import health, paging, postings
 from talkprism.plans.filters import Filter
 
 
@@ -69,8 +69,11 @@ class Index:
         return self._previewed(self._filtered(self.tables["blocks"], wanted, "timestamp"), preview)
 
     def search(self, query: textquery.Query, wanted: Filter = Filter(), preview: int | None = None) -> DataFrame:
-        """Readable blocks that match, with evidence."""
+        """Readable blocks that match, with evidence: by the search index where the snapshot has one, else by their texts."""
         textquery.check(query)
+        if "postings" in self.tables:
+            rows = self._filtered(self.tables["blocks"], wanted, "timestamp")
+            return self._previewed(postings.search(self.tables["postings"], rows, query), preview)
         rows = self._filtered(self.tables["blocks"], wanted, "timestamp").where(F.col("availability") == "ReadableText")
         rows = rows.where(textquery.bind(tx.tokens("text"), query.matches))
         return self._previewed(rows.withColumn("evidence", textquery.bind(tx.tokens("text"), lambda t: textquery.evidence(query, t))), preview)

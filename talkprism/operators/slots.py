@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 
 from talkprism.errors import CollectionUnavailable, FragileReferenceStale
 from talkprism.operators.store import TABLES, Snapshot
-from talkprism.plans import health, model
+from talkprism.plans import health, model, postings
 from talkprism.schema import FAILURE, RECORD, RECORD_COLUMNS
 from talkprism.sources.jsonl import Root, exists
 from talkprism.sources.resume import CAPS, STATE_SCHEMA, UNSEEN, Whole, merged, resume
 
 _KEYS = ("slot", "generation")
+ALL_TABLES = ("records", "reports", "files", "postings", *TABLES)
 #: Sources refreshed at the same time.
 SOURCES = 8
 
@@ -163,7 +164,7 @@ class SlotStore:
         self._write_all(scanned, slot, generation)
         rows = self.spark.table(self._table("records")).where((F.col("slot") == slot) & (F.col("generation") == generation)).drop(*_KEYS)
         outs = model.outputs(rows)
-        self._write_all({"sessions": model.sessions(rows), "subagents": model.subagents(rows), "outputs": outs, "segments": model.segments(outs).drop("text"), "blocks": model.blocks(rows)}, slot, generation)
+        self._write_all({"sessions": model.sessions(rows), "subagents": model.subagents(rows), "outputs": outs, "segments": model.segments(outs).drop("text"), "blocks": model.blocks(rows), "postings": postings.postings(model.blocks(rows))}, slot, generation)
         counts = _observed(told, *kinds)
         whole = counts["reports"] == 0
         return replace(
@@ -234,7 +235,7 @@ class SlotStore:
         return self._settle(self._publish(known or Slot(name, source, identifier), Whole(own, empty(FAILURE), empty(STATE_SCHEMA))), known)
 
     def _drop(self, slot: Slot, generations: set[str]) -> None:
-        for table in ("records", "reports", "files", *TABLES):
+        for table in ALL_TABLES:
             for generation in generations:
                 if self.spark.catalog.tableExists(self._table(table)):
                     self.spark.sql(f"ALTER TABLE {self._table(table)} DROP IF EXISTS PARTITION (slot = '{slot.slot}', generation = '{generation}')")
@@ -243,7 +244,7 @@ class SlotStore:
         """Drop the generations that no slot names, left by writers that failed; those younger than ``hours`` may belong to one at work. Returns their names."""
         named = {g for s in self.slots().values() for g in s.named}
         oldest, gone = f"{int((time.time() - hours * 3600) * 1000):013d}", set()
-        for table in ("records", "reports", "files", *TABLES):
+        for table in ALL_TABLES:
             if self.spark.catalog.tableExists(self._table(table)):
                 for row in self.spark.sql(f"SHOW PARTITIONS {self._table(table)}").collect():
                     slot, generation = (part.split("=", 1)[1] for part in row[0].split("/"))
@@ -262,5 +263,5 @@ class SlotStore:
             raise CollectionUnavailable("nothing is published")
         pairs = " OR ".join(f"(slot = '{k}' AND generation = '{g}')" for k, g in sorted(chosen.items()))
         state = uuid.uuid5(uuid.NAMESPACE_OID, pairs).hex
-        tables = {t: self.spark.table(self._table(t)).where(pairs).drop(*_KEYS) for t in ("records", "reports", "files", *TABLES)}
+        tables = {t: self.spark.table(self._table(t)).where(pairs).drop(*_KEYS) for t in ALL_TABLES}
         return Snapshot(state, state, tables)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from talkprism.operators.config import Configuration, InterfaceLimits, issues
 from talkprism.operators.requests import Index, PageRequest
 from talkprism.operators.slots import SlotStore, slot_name
 from talkprism.operators.store import Store, changed_groups
-from talkprism.plans import collect, health, model, paging
+from talkprism.plans import collect, health, model, paging, postings
 from talkprism.plans.filters import Filter
 from talkprism.sources import variant
 from talkprism.sources.jsonl import Limits, Root, parsed
@@ -145,6 +146,38 @@ def search_evidence_spans(spark, sf_dir):
     return rows.select("block_reference", F.lit("Word").alias("term"), F.explode("e.spans").alias("s")).select("block_reference", "term", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
 
 
+_INDEXED = {
+    "word": (tq.Word("the"), "list_contains(t, 'the')"),
+    "phrase": (tq.Phrase("In the"), _PHRASE),
+    "near": (tq.Near("the", "and", 3), _NEAR),
+    "all": (tq.AllOf((tq.Word("the"), tq.Word("is"))), "list_contains(t, 'the') AND list_contains(t, 'is')"),
+    "any": (tq.AnyOf((tq.Word("der"), tq.Phrase("in the"))), f"list_contains(t, 'der') OR {_PHRASE}"),
+    "all, not": (tq.AllOf((tq.Word("the"), tq.Not(tq.Word("is")))), "list_contains(t, 'the') AND NOT list_contains(t, 'is')"),
+    "not": (tq.Not(tq.Word("the")), "NOT list_contains(t, 'the')"),
+}
+_TOKENS = "tok AS (SELECT *, regexp_extract_all(lower(txt), '[\\p{L}\\p{N}]+') AS t FROM rec)"
+
+
+@query(_with(_REC, _TOKENS) + " UNION ALL ".join(f"SELECT '{name}' AS question, block_reference, kind, bytes FROM tok WHERE {sql}" for name, (_, sql) in _INDEXED.items()))
+def search_by_index(spark, sf_dir):
+    """Seven queries over the search index, which is written first."""
+    index = _index(spark, sf_dir)
+    folder = f"{_scratch(spark, f'postings-{uuid.uuid4().hex}')}/table"
+    postings.postings(index.tables["blocks"]).write.parquet(folder)
+    index = Index({**index.tables, "postings": spark.read.parquet(folder)}, clock=CLOCK)
+    found = [index.search(q).select(F.lit(name).alias("question"), "block_reference", "kind", "bytes") for name, (q, _) in _INDEXED.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    _with(_REC, _TOKENS, f"pair AS (SELECT block_reference, i, unnest(list_filter({_positions('and')}, lambda j: i <> j AND abs(j - i) - 1 <= 3)) AS j FROM (SELECT block_reference, t, unnest({_positions('the')}) AS i FROM tok))")
+    + "SELECT block_reference, (least(i, j) - 1)::int AS span_start, (greatest(i, j) - 1)::int AS span_end FROM pair"
+)
+def search_near_spans(spark, sf_dir):
+    rows = _index(spark, sf_dir).search(tq.Near("the", "and", 3)).select("block_reference", F.explode("evidence").alias("e"))
+    return rows.select("block_reference", F.explode("e.spans").alias("s")).select("block_reference", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
+
+
 _SESSION = ("session_reference", "source", "started_at", "last_observed_at", "output_count", "subagent_count", "total_bytes", "first_bytes", "authored_status")
 
 

@@ -1,16 +1,20 @@
 """Operations whose cost must follow their input, against plain versions."""
 
+import datetime as dt
 import random
 import time
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from talkprism.functions import text as tx
 from talkprism.functions import textquery as tq
+from talkprism.functions.timestamps import Clock
 from talkprism.operators.archive import Archive
-from talkprism.plans import collect
+from talkprism.operators.requests import Index
+from talkprism.plans import collect, postings
 
 
 def plain_near(words, left, right, distance):
@@ -94,3 +98,40 @@ def test_writers_of_the_archive_never_share_a_number(spark, tmp_path):
     assert len(set(found)) == 16
     assert archives[0]._claim(99) and not archives[1]._claim(99)
     assert [r["record_identifier"] for r in archives[0].query().collect()] == sorted(found)
+
+
+def some_queries(rng):
+    word = lambda: rng.choice("abcdx")
+    leaf = lambda: rng.choice([tq.Word(word()), tq.Phrase(" ".join(word() for _ in range(rng.randrange(1, 4)))), tq.Near(word(), word(), rng.randrange(3))])
+    made = [leaf() for _ in range(8)]
+    for _ in range(16):
+        kind = rng.choice([tq.AllOf, tq.AnyOf])
+        made.append(kind(tuple(rng.choice([q, tq.Not(q)]) for q in rng.sample(made, rng.randrange(1, 4)))))
+    return made
+
+
+def test_searches_by_index_are_those_of_the_texts(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.choice([0, 1, 2, 5, 12]))) for _ in range(80)] + ["A, b! É", None, "", "..."]
+    blocks = spark.createDataFrame([(f"b{i}", t, "ReadableText" if t is not None else "Unavailable", "2025-01-01T00:00:00Z") for i, t in enumerate(texts)], "block_reference string, text string, availability string, timestamp string")
+    postings.postings(blocks).write.parquet(str(tmp_path / "postings"))
+    index = spark.read.parquet(str(tmp_path / "postings"))
+    plain, indexed = Index({"blocks": blocks}, clock=None), Index({"blocks": blocks, "postings": index}, clock=None)
+    evidence = lambda df: sorted(((r["block_reference"], [(e["term"], sorted((s["start"], s["end"]) for s in e["spans"])) for e in r["evidence"]]) for r in df.collect()), key=str)
+    for q in some_queries(rng):
+        if not tq.holds_without_words(q) or rng.random() < 0.5:
+            found = [replace(i, clock=Clock(dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc))).search(q) for i in (plain, indexed)]
+            assert evidence(found[0]) == evidence(found[1]), q
+
+
+def test_a_search_by_index_reads_no_text(spark, tmp_path):
+    blocks = spark.range(20_000).select(F.format_string("b%05d", "id").alias("block_reference"), F.concat_ws(" ", F.lit("common"), F.md5(F.col("id").cast("string")), F.repeat(F.lit("other words "), 20)).alias("text"), F.lit("ReadableText").alias("availability"), F.lit("2025-01-01T00:00:00Z").alias("timestamp"))
+    blocks.write.parquet(str(tmp_path / "blocks"))
+    blocks = spark.read.parquet(str(tmp_path / "blocks"))
+    postings.postings(blocks).write.option("parquet.block.size", 64 * 1024).parquet(str(tmp_path / "postings"))
+    word = blocks.where("block_reference = 'b00777'").select(F.split("text", " ")[1]).first()[0]
+    found = postings.search(spark.read.parquet(str(tmp_path / "postings")), blocks, tq.Word(word)).select("block_reference", "evidence")
+    assert [r["block_reference"] for r in found.collect()] == ["b00777"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [x.split("ReadSchema: ")[1] for x in plan.split("\n") if "ReadSchema: " in x]
+    assert not any("text:string" in x for x in scans) and "EqualTo(token" in plan
