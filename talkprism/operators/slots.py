@@ -34,6 +34,9 @@ from talkprism.sources.jsonl import Root, exists
 from talkprism.sources.resume import CAPS, STATE_SCHEMA, UNSEEN, Whole, merged, resume
 
 _KEYS = ("slot", "generation")
+#: Tables in buckets of a reference and sorted by another inside them: children lie in the bucket of their output, so outputs, segments and blocks join without a shuffle, and one bucket answers for a reference.
+BUCKETS = 16
+BUCKETED = {"outputs": ("output_reference", "output_reference"), "segments": ("output_reference", "segment_reference"), "blocks": ("output_reference", "block_reference"), "sessions": ("session_reference", "session_reference"), "subagents": ("session_reference", "subagent_reference")}
 ALL_TABLES = ("records", "reports", "files", "postings", *TABLES)
 #: Sources refreshed at the same time.
 SOURCES = 8
@@ -92,8 +95,9 @@ def _observed(found: Observation, *names: str) -> dict[str, int]:
 class SlotStore:
     """The index in the catalog's database ``name``."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self._view = spark, name, Lock()
+    def __init__(self, spark: SparkSession, name: str, buckets: int = BUCKETS):
+        """``buckets``: of the tables' references, fixed when the tables are made; a file of a generation each."""
+        self.spark, self.name, self._view, self._buckets = spark, name, Lock(), buckets
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
 
     def _table(self, table: str) -> str:
@@ -138,9 +142,15 @@ class SlotStore:
 
     def _write(self, table: str, rows: DataFrame, slot: str, generation: str) -> None:
         rows = rows.withColumns({"slot": F.lit(slot), "generation": F.lit(generation)})
+        key, order = BUCKETED.get(table, (None, None))
         if not self.spark.catalog.tableExists(self._table(table)):
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._table(table)} ({columns}) USING parquet OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY (slot, generation)")
+            # Filters of the sorted reference let the reader pass over files and row groups.
+            options = "partitionOverwriteMode 'dynamic'" + (f", `parquet.bloom.filter.enabled#{order}` 'true'" if key else "")
+            layout = f"CLUSTERED BY ({key}) SORTED BY ({order}) INTO {self._buckets} BUCKETS" if key else ""
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._table(table)} ({columns}) USING parquet OPTIONS ({options}) PARTITIONED BY (slot, generation) {layout}")
+        if key:
+            rows = rows.repartition(self._buckets, key)
         columns = self.spark.table(self._table(table)).columns
         rows.select(*columns).write.mode("overwrite").insertInto(self._table(table))
 

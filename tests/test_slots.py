@@ -164,3 +164,29 @@ def test_an_empty_source(spark, tmp_path):
     (slot,) = store.refresh([root])
     assert (slot.coverage, slot.records, slot.parsed) == ("Complete", 0, 0)
     assert store.snapshot().tables["sessions"].count() == 0 and store.health().first()["status"] == "Empty"
+
+
+def test_children_lie_with_their_parents(spark, tmp_path):
+    """Outputs, segments and blocks join without a shuffle, over all sources; a reference is answered by one bucket."""
+    store = SlotStore(spark, "bucketed_slots", buckets=8)
+    roots = [Root(str(tmp_path / n), "Claude", n) for n in ("one", "two")]
+    for r in roots:
+        for k in range(3):
+            put(tmp_path / r.identifier / f"s{k}.jsonl", "".join(line(f"{r.identifier} {k} {i}") for i in range(40)))
+    store.refresh(roots)
+    tables = store.snapshot().tables
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = tables["outputs"].select("output_reference").join(tables["blocks"].select("output_reference", "block_reference", "kind"), "output_reference")
+        joined = joined.join(tables["segments"].select("output_reference", "segment_reference"), "output_reference")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and joined.count() == 240
+        subagents = tables["sessions"].select("session_reference").join(tables["subagents"].select("session_reference"), "session_reference")
+        assert "Exchange" not in subagents._jdf.queryExecution().executedPlan().toString()
+        reference = tables["blocks"].select("output_reference").first()[0]
+        one = tables["blocks"].where(F.col("output_reference") == reference)
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else the plan doesn't tell its buckets
+        assert "SelectedBucketsCount: 1 out of 8" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
