@@ -17,9 +17,11 @@ from talkprism.errors import FragileReferenceBroken, FragileReferenceStale, Inva
 from talkprism.functions import text as tx
 from talkprism.functions import textquery
 from talkprism.functions.timestamps import Clock
+from talkprism.operators import backing
 from talkprism.operators.config import VERSION, InterfaceLimits
 from talkprism.plans import health, paging, postings
 from talkprism.plans.filters import Filter
+from talkprism.sources.jsonl import Root
 
 
 @dataclass(frozen=True)
@@ -31,17 +33,18 @@ class PageRequest:
 
 @dataclass(frozen=True)
 class Index:
-    """A snapshot's tables with limits and a clock; ``verify`` compares backing files before reads."""
+    """A snapshot's tables with limits and a clock. With ``roots``, reads are checked against the lines of the backing files as they are now, and session cards tell whether their files are there."""
 
     tables: dict[str, DataFrame]
     limits: InterfaceLimits = field(default_factory=InterfaceLimits)
     clock: Clock = field(default_factory=lambda: Clock(dt.datetime.now(dt.timezone.utc)))
     snapshot: str = "snapshot"
+    roots: tuple[Root, ...] = ()
 
     @classmethod
-    def of(cls, snapshot, limits: InterfaceLimits, clock: Clock) -> Index:
+    def of(cls, snapshot, limits: InterfaceLimits, clock: Clock, roots: tuple[Root, ...] = ()) -> Index:
         """The index of a published snapshot (``store.Snapshot``); its digest binds the cursors."""
-        return cls(snapshot.tables, limits, clock, snapshot.digest)
+        return cls(snapshot.tables, limits, clock, snapshot.digest, roots)
 
     def version(self) -> str:
         return f"talkprism {VERSION}"
@@ -50,6 +53,8 @@ class Index:
 
     def sessions(self, wanted: Filter = Filter()) -> DataFrame:
         rows = self.tables["sessions"].withColumn("observed", F.coalesce("last_observed_at", "started_at"))
+        if self.roots:
+            rows = backing.with_lifecycle(rows, backing.listed(rows.sparkSession, list(self.roots)))
         return self._filtered(rows, wanted, "observed")
 
     def subagents(self, wanted: Filter = Filter()) -> DataFrame:
@@ -162,6 +167,7 @@ class Index:
         paging.check_limit(maximum, self.limits.read_bytes, "read bytes")
         row = self._one("outputs", reference)
         self._fresh(row, current)
+        self._backed("outputs", row, reference)
         rows = self.tables["outputs"].where(F.col("output_reference") == reference)
         part = tx.byte_range("text", *byte_range) if byte_range else tx.line_range("text", *line_range) if line_range else F.col("text")
         return self._bounded(rows.select(part.alias("text")), maximum)
@@ -176,6 +182,7 @@ class Index:
         self._fresh(row, current)
         if row["availability"] != "ReadableText":
             raise Missing("the block has no text", "ReadTranscriptBlock", reference=reference)
+        self._backed("blocks", row, reference)
         return self._bounded(self.tables["blocks"].where(F.col("block_reference") == reference).select("text"), maximum)
 
     @staticmethod
@@ -185,6 +192,15 @@ class Index:
             raise InvalidRange("the range is outside the text or cuts a character")
         return {"text": row["text"], "state": "Truncated" if row["bytes"] > maximum else "Complete"}
 
+    def _backed(self, collection: str, row: Row, reference: str) -> None:
+        """Stale or broken as the backing file tells now, where the roots are known."""
+        if not self.roots:
+            return
+        batch = self.tables[collection].sparkSession.createDataFrame([(reference,)], "reference string")
+        state = backing.read_many(self.tables, batch, list(self.roots), 1, collection).first()["state"]
+        if state != "Fresh":
+            raise (FragileReferenceStale if state == "Stale" else FragileReferenceBroken)(row["path"])
+
     @staticmethod
     def _fresh(row: Row, current: DataFrame | None) -> None:
         """Broken if the file or the line is gone; stale if the file's state, or the text or kind of what is read, differs."""

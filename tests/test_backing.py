@@ -1,12 +1,19 @@
 """Batches of references against their backing files."""
 
+import datetime as dt
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from talkprism import errors
+from talkprism.functions.timestamps import Clock
 from talkprism.operators.backing import listed, read_many, with_lifecycle
+from talkprism.operators.config import InterfaceLimits
+from talkprism.operators.requests import Index, PageRequest
 from talkprism.operators.slots import SlotStore
+from talkprism.plans.filters import Filter
 from talkprism.sources.jsonl import Root
 
 
@@ -72,3 +79,27 @@ def test_cards_of_files_that_went(spark, tmp_path):
     assert cards == {"a": ("Current", 1, len(line("a"))), "b": ("SourceMissing", 0, None)}
     gone = Root(str(tmp_path / "nowhere"), "Claude", "main")
     assert {r["lifecycle"] for r in with_lifecycle(sessions, listed(spark, [gone])).collect()} == {"SourceMissing"}
+
+
+def test_an_index_with_roots_checks_its_reads(spark, tmp_path):
+    root = Root(str(tmp_path / "in"), "Claude", "main")
+    os.makedirs(root.path)
+    for n in "abc":
+        with open(f"{root.path}/claude-{n}.jsonl", "w") as f:
+            f.write(line(n))
+    store = SlotStore(spark, "checked_reads")
+    store.refresh([root])
+    index = Index.of(store.snapshot(), InterfaceLimits(), Clock(dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc)), (root,))
+    with open(f"{root.path}/claude-b.jsonl", "a") as f:
+        f.write(line("more"))
+    os.remove(f"{root.path}/claude-c.jsonl")
+    outputs = {r["path"][-7]: r["output_reference"] for r in index.outputs().collect()}
+    blocks = {r["path"][-7]: r["block_reference"] for r in index.blocks().where("kind <> 'Attachment'").collect()}
+    assert index.read_output(outputs["a"], 9)["text"] == "a" and index.read_block(blocks["a"], 9)["text"] == "a"
+    for name, error in (("b", errors.FragileReferenceStale), ("c", errors.FragileReferenceBroken)):
+        with pytest.raises(error):
+            index.read_output(outputs[name], 9)
+        with pytest.raises(error):
+            index.read_block(blocks[name], 9)
+    cards = index.list_sessions(Filter(), PageRequest(5)).rows
+    assert {r["session_identifier"]: r["lifecycle"] for r in cards} == {"a": "Current", "b": "Current", "c": "SourceMissing"}
