@@ -6,7 +6,9 @@ bounded-knapsack dynamic programming: exactly where some choice of documents add
 as near as possible. The table has a state for each word of the budget. A budget above
 SLACK_LENGTHS times the longest document (but within SLACK) is first filled proportionally, all
 lengths alike, down to that; what is left is fitted with the documents still free, of which every
-length has its share. Documents of a chosen length are taken in the order of a seeded hash.
+length has its share. Where that misses the budget, documents of the fill are taken back too, by a
+dynamic programme over residues whose table doesn't depend on the budget. Documents of a chosen
+length are taken in the order of a seeded hash.
 
 A task sees the histogram of one source (distinct lengths, not documents). Ranks inside a length
 are taken inside hash ranges, as many as keep SALT_ROWS rows in one, and offset by counts, so a
@@ -21,6 +23,8 @@ table gives an empty result; other columns, whatever their names, are left alone
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -66,42 +70,43 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return rows.select("source", "source_size", F.least(F.col("most").cast("double"), F.col("weight") * F.lit(float(share))).alias("target"))
 
 
-def fit_counts(lengths: list[int], counts: list[int], budget: int, slack: int | None = None) -> list[int]:
-    """How many documents of each length to take so that the words come to ``budget``, or as near as found."""
-    take = [0] * len(lengths)
-    order = sorted((i for i in range(len(lengths)) if lengths[i] > 0 and counts[i] > 0), key=lambda i: -lengths[i])
-    total = sum(lengths[i] * counts[i] for i in order)
-    if budget <= 0 or not total:
-        return take
-    if budget >= total:
-        return [c if n > 0 else 0 for n, c in zip(lengths, counts, strict=True)]
-    longest, left = lengths[order[0]], budget
-    if slack is None:
-        slack = min(SLACK[1], max(SLACK[0], SLACK_LENGTHS * longest))
-    # What is above the slack goes proportionally, so that every length keeps its share and free documents of every length remain.
-    for i in order:
-        take[i] = counts[i] * max(0, budget - slack) // total
-        left -= take[i] * lengths[i]
-    for i in order:
+def _fill(lengths: list[int], counts: list[int], budget: int, slack: int) -> list[int]:
+    """How many documents of each length go proportionally, then from the longest on, until at most ``slack`` words of the budget are left."""
+    total, take = sum(n * c for n, c in zip(lengths, counts, strict=True)), []
+    # Every length keeps its share, so free documents of every length remain.
+    take = [c * max(0, budget - slack) // total for c in counts]
+    left = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
         more = min(counts[i] - take[i], max(0, left - slack) // lengths[i])
         take[i] += more
         left -= more * lengths[i]
-    # Bounded knapsack by parts of 1, 2, 4, ... documents of one length; first[s] is the part that first made s words.
-    end = left + longest + 1
+    return take
+
+
+def _halves(n: int) -> list[int]:
+    """Parts 1, 2, 4, ... and a rest, which add up to any number up to ``n``."""
+    parts, step = [], 1
+    while n > 0:
+        parts.append(min(step, n))
+        n, step = n - step, step * 2
+    return parts
+
+
+def _add(lengths: list[int], free: list[int], left: int) -> list[int]:
+    """How many free documents of each length come nearest to ``left`` words: a table with a state for each word."""
+    take = [0] * len(lengths)
+    end = left + max(lengths) + 1
     reached, first, parts, top = np.zeros(end, dtype=bool), np.zeros(end, dtype=np.int32), [], 0
-    reached[0] = True
-    for i in reversed(order):
-        free, step = min(counts[i] - take[i], left // lengths[i] + 1), 1
-        while free > 0 and not reached[left]:
-            n = min(step, free)
+    reached[0] = True  # first[s] is the part that first made s words
+    for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
+        for n in _halves(min(free[i], left // lengths[i] + 1)):
             words = n * lengths[i]
-            if words < end:
+            if words < end and not reached[left]:
                 stop = min(end, top + words + 1)
                 new = np.flatnonzero(reached[: stop - words] & ~reached[words:stop]) + words
                 if len(new):
                     first[new], reached[new], top = len(parts), True, max(top, int(new[-1]))
                     parts.append((i, n))
-            free, step = free - n, step * 2
     below = int(np.flatnonzero(reached[: left + 1])[-1])
     above = np.flatnonzero(reached[left + 1 : 2 * left - below])  # nearer than what lies below
     at = left + 1 + int(above[0]) if len(above) else below
@@ -112,6 +117,109 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int, slack: int |
     return take
 
 
+def _exchange(lengths: list[int], counts: list[int], take: list[int], gap: int, pivot: int, far: np.ndarray) -> tuple[list[int] | None, bool]:
+    """``take`` changed by ``gap`` words or, if no choice does that, by the offset from it that ``far`` puts first; and whether none before that can be had.
+
+    One length is the pivot. For every residue modulo it the table holds the fewest words that must
+    be taken or taken back of the other lengths to reach it; the pivot makes up the rest. A residue
+    needs fewer documents than the pivot has words, since of as many some add up to nothing modulo
+    it. So parts are few, and if the pivot has documents enough on both sides, a sum that isn't
+    found doesn't exist. The lengths have no common divisor.
+    """
+    modulus, none = lengths[pivot], 1 << 61
+    cost, parts = np.full(modulus, none, dtype=np.int64), []
+    words = np.zeros(modulus, dtype=np.int64)  # what the cheapest choice changes
+    cost[0] = 0
+
+    def made(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which offsets have a choice, and which of these the pivot can make up."""
+        at = (gap + offsets) % modulus
+        by = (gap + offsets - words[at]) // modulus
+        return cost[at] < none, (cost[at] < none) & (by >= -take[pivot]) & (by <= counts[pivot] - take[pivot])
+
+    others = sorted((i for i in range(len(lengths)) if i != pivot), key=lambda i: lengths[i])
+    sides = ((i, sign, most) for i in others for sign, most in ((1, counts[i] - take[i]), (-1, take[i])))
+    for i, n in ((i, sign * n) for i, sign, most in sides for n in _halves(min(most, modulus - 1))):
+        if made(far[:1])[1][0]:
+            break
+        step = n * lengths[i]
+        moved = np.roll(cost, step % modulus) + abs(step)
+        new = np.flatnonzero(moved < np.minimum(cost, none))
+        if len(new):
+            words[new] = np.roll(words, step % modulus)[new] + step
+            cost[new] = moved[new]
+            parts.append((i, n, new))
+    some, good = made(far)
+    if not good.any():
+        return None, not some.any()
+    first = int(np.argmax(good))
+    offset, out = int(far[first]), list(take)
+    at = (gap + offset) % modulus
+    out[pivot] += (gap + offset - int(words[at])) // modulus
+    for i, n, new in reversed(parts):  # a state's cost came from the last part that changed it
+        where = np.searchsorted(new, at)
+        if where < len(new) and new[where] == at:
+            out[i] += n
+            at = (at - n * lengths[i]) % modulus
+    return out, not some[:first].any()
+
+
+def _nearest(lengths: list[int], counts: list[int], budget: int, slack: int) -> list[int]:
+    """fit_counts for positive lengths and counts, and a budget below their sum."""
+    total = sum(n * c for n, c in zip(lengths, counts, strict=True))
+    if total - budget <= slack < budget:  # what is left out is the smaller sum
+        return [c - n for c, n in zip(counts, _nearest(lengths, counts, total - budget, slack), strict=True)]
+
+    def missed(take: list[int]) -> int:
+        return abs(budget - sum(n * t for n, t in zip(lengths, take, strict=True)))
+
+    fill = _fill(lengths, counts, budget, slack)
+    more = _add(lengths, [c - t for c, t in zip(counts, fill, strict=True)], budget - sum(n * t for n, t in zip(lengths, fill, strict=True)))
+    chosen = [t + m for t, m in zip(fill, more, strict=True)]
+    unit = math.gcd(*lengths)
+    if budget <= slack or missed(chosen) <= min(budget % unit, -budget % unit):
+        return chosen
+    sizes, goal = [n // unit for n in lengths], budget // unit
+    fill = _fill(sizes, counts, goal, 0)
+    gap = goal - sum(n * t for n, t in zip(sizes, fill, strict=True))
+    # The length with the most documents on both sides is the likeliest to make up for the others.
+    for pivot in sorted(range(len(sizes)), key=lambda i: (-min(fill[i], counts[i] - fill[i]), sizes[i])):
+        span = missed(chosen) // unit + 2
+        offsets = np.arange(-span, span + 1)
+        apart = np.abs((goal + offsets) * unit - budget)
+        far = offsets[np.argsort(apart, kind="stable")]
+        far = far[np.sort(apart) < missed(chosen)]
+        found, sure = _exchange(sizes, counts, fill, gap, pivot, far) if len(far) else (None, True)
+        chosen = found or chosen
+        if sure:
+            return chosen
+        if budget <= SLACK[1]:
+            return _add(lengths, counts, budget)
+    return chosen
+
+
+def fit_counts(lengths: list[int], counts: list[int], budget: int, slack: int | None = None) -> list[int]:
+    """How many documents of each length to take so that the words come to ``budget``, or as near as any choice does.
+
+    Within the slack (from either end) the table of words holds every sum. Above it, the
+    proportional fill and the documents still free make nearly every budget; where they don't,
+    documents are exchanged by residues of one length after the other, until a sum is exact or sure
+    to be the nearest.
+    """
+    own = [i for i in range(len(lengths)) if lengths[i] > 0 and counts[i] > 0]
+    sizes, most = [lengths[i] for i in own], [counts[i] for i in own]
+    take = [0] * len(lengths)
+    if budget <= 0 or not own:
+        return take
+    if budget >= sum(n * c for n, c in zip(sizes, most, strict=True)):
+        return [c if n > 0 else 0 for n, c in zip(lengths, counts, strict=True)]
+    if slack is None:
+        slack = min(SLACK[1], max(SLACK[0], SLACK_LENGTHS * max(sizes)))
+    for i, n in zip(own, _nearest(sizes, most, budget, slack), strict=True):
+        take[i] = n
+    return take
+
+
 def _fit(histogram: pd.DataFrame) -> pd.DataFrame:
     rows = histogram.sort_values("size")
     passes, size, target = 0, int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])

@@ -408,6 +408,44 @@ def test_fit_counts_is_exact_where_possible():
     assert sum(t * n for t, n in zip(take, lengths, strict=True)) == 123_456_789 and max(take) <= 200
 
 
+def _words(lengths, take):
+    return sum(t * n for t, n in zip(take, lengths, strict=True))
+
+
+def test_fit_counts_above_the_slack():
+    """Any budget is as near as some choice comes, whatever part of it goes proportionally."""
+    rng = np.random.default_rng(7)
+    for _ in range(400):
+        unit = int(rng.choice([1, 1, 2, 6]))
+        lengths = [n * unit for n in sorted(set(rng.integers(1, 60, int(rng.integers(1, 6))).tolist()))]
+        counts = rng.integers(0, int(rng.choice([4, 12, 60])), len(lengths)).tolist()
+        sums = {0}
+        for n, c in zip(lengths, counts, strict=True):
+            sums = {s + k * n for s in sums for k in range(c + 1)}
+        budget = int(rng.integers(0, max(sums) + 20))
+        take = mixing.fit_counts(lengths, counts, budget, slack=int(rng.choice([0, 1, 20, 100])))
+        assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
+        assert abs(_words(lengths, take) - budget) == min(abs(s - budget) for s in sums), (lengths, counts, budget)
+
+
+@pytest.mark.parametrize("budget", [6_000_120, 13_366_934, 66_701_334])
+def test_fit_counts_takes_back_what_was_filled(budget):
+    """Each budget is a multiple of the shorter length alone, so all longer documents of the fill must go."""
+    take = mixing.fit_counts([33_334, 50_000], [10_000, 10_000], budget)
+    assert take == [budget // 33_334, 0]
+
+
+def test_fit_counts_by_residues_alone(monkeypatch):
+    """The table over residues needs no table of words: budgets of 10^12 words that few choices make."""
+    monkeypatch.setattr(mixing, "SLACK", (0, 0))
+    lengths, rng = [999_983, 1_000_003, 1_500_000], np.random.default_rng(8)
+    for _ in range(3):
+        budget = _words(lengths, rng.integers(0, 2_000_000, 3).tolist())
+        assert _words(lengths, mixing.fit_counts(lengths, [2_000_000] * 3, budget)) == budget
+    take = mixing.fit_counts([6, 10, 14], [50, 60, 70], 601)
+    assert _words([6, 10, 14], take) == 600  # all lengths are even
+
+
 @pytest.mark.parametrize("table", ["small", "awkward", "empty"])
 def test_mix(request, table):
     docs = request.getfixturevalue(table)
