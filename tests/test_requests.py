@@ -12,6 +12,7 @@ from talkprism import errors
 from talkprism.functions import text as tx
 from talkprism.functions import textquery as tq
 from talkprism.functions.timestamps import Between, Clock, Recent, Since
+from talkprism.operators import guards
 from talkprism.operators.archive import Archive
 from talkprism.operators.config import Configuration, ConfigurationStore, InterfaceLimits, default_roots, issues
 from talkprism.operators.requests import Index, PageRequest
@@ -300,3 +301,37 @@ def test_configuration(tmp_path):
         store.configure(bad)
     assert store.observe() == good
     assert default_roots("/home/u", "/w/my.app")[0].path == "/home/u/.claude/projects/-w-my-app"
+
+
+def test_batches_of_requests_are_refused_as_single_ones(spark):
+    """Each check of a batch says what the single request raises."""
+    index, long = Index({}), "x" * 257
+    page = lambda **o: lambda: (paging.check_limit(o.get("page_items", 1), index.limits.page_items, ""), paging.keys(o.get("sort", "OldestFirst"), "r", "t"))
+    ask = lambda q: lambda: tq.check(q)
+    cases = [({"page_items": n}, page(page_items=n)) for n in (-1, 0, 1, 64, 65)] + [({"sort": o}, page(sort=o)) for o in (*paging.ORDERS, "Sideways", "")]
+    cases += [({"preview_bytes": n}, lambda n=n: index._check_preview(n)) for n in (0, 1, 4096, 4097)]
+    cases += [({"word": w}, ask(tq.Word(w))) for w in ("a", "A!", "", "a b", "é\u00a0", "a_b", "١", long[1:], long, "é" * 129)]
+    cases += [({"phrase": p}, ask(tq.Phrase(p))) for p in ("", "!", "a b", "a " * 32, "a " * 33, "x" * 2048, "x" * 2049)]
+    cases += [({"near_left": a, "near_right": b, "distance": d}, ask(tq.Near(a, b, d))) for a, b, d in (("a", "b", 0), ("a", "b", -1), ("a", "b", 10_000), ("a", "b", 10_001), ("", "b", 1), ("a", "b c", 1))]
+    times = ("2025-01-01T00:00:00Z", "2025-01-01T00:00:00.5Z", "2025-01-02T00:00:00Z", "soon")
+    cases += [({"window_start": a, "window_end": b}, lambda a=a, b=b: CLOCK.lower(Between(a, b))) for a in times for b in times]
+    cases += [({"budget_segments": a, "budget_bytes": b}, lambda a=a, b=b: collect.Budget(a, b)) for a in (0, 1) for b in (-1, 1)]
+    want = []
+    for _, call in cases:
+        try:
+            call()
+            want.append(None)
+        except errors.Rejected as e:
+            want.append(e.reason)
+    fields = ", ".join(f"{k} {t}" for k, t in guards.REQUEST.items())
+    batch = spark.createDataFrame([(n, *[c.get(k) for k in guards.REQUEST]) for n, (c, _) in enumerate(cases)], "n int, " + fields)
+    rows = guards.with_errors(batch).orderBy("n").collect()
+    assert [(c, r["error"]) for (c, _), r in zip(cases, rows, strict=True)] == [(c, w) for (c, _), w in zip(cases, want, strict=True)]
+    assert len(set(want)) == 6 and guards.admitted(batch).columns == batch.columns
+    assert {r["n"] for r in guards.admitted(batch).collect()} == {n for n, w in enumerate(want) if w is None}
+    assert sum(r["requests"] for r in guards.rejections(batch).collect()) == sum(w is not None for w in want)  # one aspect each
+    # Columns that a batch lacks and values that are null ask for nothing; a near query lacks no part, a window no start.
+    bare = spark.createDataFrame([(1, None), (2, "2025-01-01T00:00:00Z")], "n int, window_end string")
+    assert [r["error"] for r in guards.with_errors(bare).orderBy("n").collect()] == [None, "InvalidTimeWindow"]
+    half = spark.createDataFrame([("a", None)], "near_left string, near_right string")
+    assert guards.with_errors(half).first()["query_error"] == "InvalidQuery" and guards.with_errors(batch.limit(0)).count() == 0
