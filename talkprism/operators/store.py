@@ -10,6 +10,8 @@ writers in the same moment: the last view stands, and each generation is whole.
 
 from __future__ import annotations
 
+import re
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -72,18 +74,19 @@ class Store:
         for table in ("records", *TABLES):
             self.spark.sql(f"DROP TABLE IF EXISTS {self._table(generation, table)}")
 
-    def clean(self) -> list[str]:
-        """Drop the generations that no pointer keeps: those of writers that failed, or are still at work. Returns their names."""
+    def clean(self, hours: float = 24) -> list[str]:
+        """Drop the generations that no pointer keeps, left by writers that failed; those begun less than ``hours`` ago may belong to one at work. Returns their names."""
         now = self.pointer()
         found = {t.name.rsplit("_", 1)[0] for t in self.spark.catalog.listTables(self.name) if t.name.startswith("gen")}
-        gone = sorted(found - set(now.kept if now else ()))
+        begun = {g: int(m[1]) if (m := re.match(r"gen(\d{13})x", g)) else 0 for g in found - set(now.kept if now else ())}
+        gone = sorted(g for g, at in begun.items() if at <= (time.time() - hours * 3600) * 1000)
         for generation in gone:
             self.drop(generation)
         return gone
 
     def publish(self, records: DataFrame, keep: int = 2, files: str = "") -> Snapshot:
         before = self.pointer()
-        generation = f"gen{uuid.uuid4().hex}"
+        generation = f"gen{int(time.time() * 1000):013d}x{uuid.uuid4().hex}"
         # Lines are parsed and keyed once; the tables are made from what was written.
         model.unique(model.keyed(records)).write.partitionBy("source").saveAsTable(self._table(generation, "records"))
         rows = self.spark.table(self._table(generation, "records"))

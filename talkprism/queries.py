@@ -712,16 +712,16 @@ def _requests(spark, sf_dir):
     return rows.select(
         "block_reference",
         (place * 16 - 16).alias("page_items"),
-        F.when(often(3, 0), "NewestFirst").when(often(3, 1), F.col("kind")).alias("sort"),
+        F.when(often(3, 0), "NewestFirst").when(often(6, 1), F.col("kind")).alias("sort"),
         F.when(~often(5, 4), size * 4 - 400).alias("preview_bytes"),
         (size * 60).alias("read_bytes"),
         F.when(often(2, 0), word).alias("word"),
-        F.when(often(3, 2), F.col("text")).alias("phrase"),
+        F.when(often(6, 2), F.col("text")).alias("phrase"),
         F.when(often(2, 1), word).alias("near_left"),
         F.when(often(2, 1), F.col("kind")).alias("near_right"),
         F.when(often(2, 1) & ~often(7, 5), size * 10).alias("distance"),
         F.when(~often(6, 5), F.col("timestamp")).alias("window_start"),
-        F.when(often(4, 3), F.col("started_at")).when(often(4, 2), F.substring("last_observed_at", 1, 16)).otherwise(F.col("last_observed_at")).alias("window_end"),
+        F.when(often(4, 3), F.col("started_at")).when(often(8, 6), F.substring("last_observed_at", 1, 16)).otherwise(F.col("last_observed_at")).alias("window_end"),
         (place - 1).alias("budget_segments"),
         size.alias("budget_bytes"),
     )
@@ -730,13 +730,13 @@ def _requests(spark, sf_dir):
 _REQUESTS_SQL = (
     _REC,
     _SESS,
-    """req AS (SELECT block_reference, turn * 16 - 16 AS page_items, CASE turn % 3 WHEN 0 THEN 'NewestFirst' WHEN 1 THEN kind END AS sort, CASE WHEN turn % 5 <> 4 THEN bytes * 4 - 400 END AS preview_bytes, bytes * 60 AS read_bytes,
+    """req AS (SELECT block_reference, turn * 16 - 16 AS page_items, CASE WHEN turn % 3 = 0 THEN 'NewestFirst' WHEN turn % 6 = 1 THEN kind END AS sort, CASE WHEN turn % 5 <> 4 THEN bytes * 4 - 400 END AS preview_bytes, bytes * 60 AS read_bytes,
   split_part(txt, ' ', 1) AS w, turn, kind, txt, bytes, CASE WHEN turn % 2 = 1 AND turn % 7 <> 5 THEN bytes * 10 END AS distance, CASE WHEN turn % 6 <> 5 THEN ts END AS window_start,
-  CASE turn % 4 WHEN 3 THEN started_at WHEN 2 THEN left(last_observed_at, 16) ELSE last_observed_at END AS window_end FROM rec JOIN (SELECT session_reference, started_at, last_observed_at FROM sess) USING (session_reference))""",
+  CASE WHEN turn % 4 = 3 THEN started_at WHEN turn % 8 = 6 THEN left(last_observed_at, 16) ELSE last_observed_at END AS window_end FROM rec JOIN (SELECT session_reference, started_at, last_observed_at FROM sess) USING (session_reference))""",
     """bad AS (SELECT *, strlen(w) > 256 OR len(regexp_extract_all(lower(w), '[\\p{L}\\p{N}]+')) <> 1 AS odd, len(regexp_extract_all(lower(txt), '[\\p{L}\\p{N}]+')) AS n FROM req)""",
     """err AS (SELECT block_reference, CASE WHEN window_start IS NULL OR strlen(window_end) = 16 OR window_start > window_end THEN 'InvalidTimeWindow' END AS window_error,
   CASE WHEN turn <= 1 OR bytes <= 0 THEN 'LimitExceeded' END AS budget_error,
-  CASE WHEN odd OR (turn % 3 = 2 AND (n NOT BETWEEN 1 AND 32 OR bytes > 2048)) OR (turn % 2 = 1 AND (distance IS NULL OR distance > 10000)) THEN 'InvalidQuery' END AS query_error,
+  CASE WHEN odd OR (turn % 6 = 2 AND (n NOT BETWEEN 1 AND 32 OR bytes > 2048)) OR (turn % 2 = 1 AND (distance IS NULL OR distance > 10000)) THEN 'InvalidQuery' END AS query_error,
   CASE WHEN preview_bytes <= 0 THEN 'InvalidRequest' WHEN preview_bytes > 4096 THEN 'Oversized' END AS preview_error,
   CASE WHEN page_items <= 0 THEN 'InvalidRequest' WHEN page_items > 64 THEN 'Oversized' END AS page_error,
   CASE WHEN sort <> 'NewestFirst' THEN 'InvalidRequest' END AS sort_error,

@@ -92,6 +92,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder of this path, in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(folder) and files.getFileStatus(folder).isDirectory()
+
+
 def entries(spark: SparkSession, root: Root) -> DataFrame:
     """(path, length, modified) of every file below the root, of any kind; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.path)

@@ -14,7 +14,7 @@ from talkprism.functions import textquery as tq
 from talkprism.functions.timestamps import Between, Clock, Recent, Since
 from talkprism.operators import guards
 from talkprism.operators.archive import Archive
-from talkprism.operators.config import Configuration, ConfigurationStore, InterfaceLimits, default_roots, issues
+from talkprism.operators.config import Configuration, ConfigurationStore, InterfaceLimits, default_roots, issues, place_issues
 from talkprism.operators.requests import Index, PageRequest
 from talkprism.operators.store import Store, changed_groups
 from talkprism.plans import collect, health, model, paging
@@ -243,7 +243,9 @@ def test_publication_keeps_the_last_complete_generation(spark, tmp_path):
     three, scans = store.refresh([root])
     assert {t.name.split("_")[0] for t in spark.catalog.listTables("index_of_publication")} == {"current", two.generation, three.generation}
     spark.range(1).write.saveAsTable("index_of_publication.gen0_records")
-    assert store.clean() == ["gen0"] and store.snapshot().tables["outputs"].count() == 1
+    young = f"gen{int(time.time() * 1000)}x0"  # of a writer that may be at work
+    spark.range(1).write.saveAsTable(f"index_of_publication.{young}_records")
+    assert store.clean() == ["gen0"] and store.clean(-1) == [young] and store.snapshot().tables["outputs"].count() == 1
     gone = changed_groups(two.tables["outputs"], three.tables["outputs"], "output_reference").collect()
     assert len(gone) == 1 and gone[0]["state"] == "Removed"
     with pytest.raises(errors.FragileReferenceStale):
@@ -296,10 +298,18 @@ def test_configuration(tmp_path):
     bad = Configuration((Root("", "Word", ""), Root("/x", "Pi", "p"), Root("/y", "Pi", "p")), ("",), "/abs", InterfaceLimits(page_items=0))
     assert issues(bad) == ["UnknownSource:Word", "EmptyPath", "EmptyIdentifier", "RepeatedSource:Pi:p", "ZeroLimit:page_items", "EmptyRepository", "ArchivePathLeavesRoot"]
     assert issues(Configuration()) == ["MissingTranscriptSource"]
-    assert issues(Configuration((Root("/x", "Pi", "p", Limits(files=10**9)),))) == ["LimitAboveCeiling:files"]
+    assert issues(Configuration((Root("/x", "Pi", "p", Limits(files=10**9)),), limits=InterfaceLimits(page_items=65))) == ["LimitAboveCeiling:files", "LimitAboveCeiling:page_items"]
     with pytest.raises(errors.InvalidRequest):
         store.configure(bad)
     assert store.observe() == good
+    old = json.loads((tmp_path / "c.json").read_text())
+    del old["limits"]["read_bytes"], old["archive"], old["roots"][0]["limits"]
+    (tmp_path / "c.json").write_text(json.dumps(old))  # of a version that lacked these
+    assert store.observe() == Configuration((Root("/x", "Claude", "main"),), ("repo",))
+    for text in ("{", '{"roots": [{"path": "/x"}]}', '{"roots": [], "limits": {"speed": 1}}', "[]"):
+        (tmp_path / "c.json").write_text(text)
+        with pytest.raises(errors.ConfigurationUnavailable):
+            store.observe()
     assert default_roots("/home/u", "/w/my.app")[0].path == "/home/u/.claude/projects/-w-my-app"
 
 
@@ -335,3 +345,17 @@ def test_batches_of_requests_are_refused_as_single_ones(spark):
     assert [r["error"] for r in guards.with_errors(bare).orderBy("n").collect()] == [None, "InvalidTimeWindow"]
     half = spark.createDataFrame([("a", None)], "near_left string, near_right string")
     assert guards.with_errors(half).first()["query_error"] == "InvalidQuery" and guards.with_errors(batch.limit(0)).count() == 0
+
+
+def test_configuration_issues_of_places(spark, tmp_path):
+    """Folders are looked up where Spark reads them; an index never lies in what it reads."""
+    (tmp_path / "in/deep").mkdir(parents=True)
+    (tmp_path / "file").write_text("x")
+    here = str(tmp_path)
+    found = lambda paths, index=f"{here}/index": place_issues(spark, Configuration(tuple(Root(p, "Pi", str(n)) for n, p in enumerate(paths))), index)
+    assert found([f"{here}/in"]) == []
+    assert found([f"{here}/in", f"{here}/gone", f"{here}/file"]) == [f"UnreadablePath:{here}/gone", f"UnreadablePath:{here}/file"]
+    assert found([f"{here}/in"], f"{here}/in/deep/index") == [f"IndexInsideSource:{here}/in"]
+    assert found([f"file:{here}/in/"], f"{here}/x/../in") == [f"IndexInsideSource:file:{here}/in/"]
+    assert found([f"{here}/in"], f"{here}/inner") == []
+    assert found([f"{here}/in"], f"{here}/file/index") == [f"StorageNotAFolder:{here}/file"]
