@@ -40,10 +40,12 @@ def _lines(spark: SparkSession, root: Root, wanted: DataFrame) -> DataFrame:
     span = wanted.agg(F.min("time").alias("first"), F.max("time").alias("last")).first()
     if span["first"] is None:
         return spark.createDataFrame([], "path string, line_number long, p struct<text:string,blocks:array<struct<kind:string,text:string>>>")
-    files = wanted.groupBy("path").agg(F.collect_set("line_number").alias("asked"))
     contents = file_contents(spark, root).where(F.col("modified").between(F.lit(span["first"]), F.lit(span["last"])))
-    found = contents.join(files, "path").withColumn("all", pieces(F.col("content"))).select("path", F.explode("asked").alias("line_number"), "all")
-    rows = found.select("path", "line_number", F.regexp_replace(F.get("all", (F.col("line_number") - 1).cast("int")), "\r$", "").alias("raw"))
+    contents = contents.join(wanted.select("path").distinct(), "path", "left_semi")
+    # One row a line, joined with the lines asked for: a row that carries all lines of its file would be repeated for each of them.
+    rows = contents.select("path", F.posexplode(pieces(F.col("content"))).alias("at", "raw"))
+    rows = rows.select("path", (F.col("at") + 1).cast("long").alias("line_number"), F.regexp_replace("raw", "\r$", "").alias("raw"))
+    rows = rows.join(wanted.select("path", "line_number").distinct(), ["path", "line_number"], "left_semi")
     rows = with_parsed(rows.where(F.octet_length("raw") <= root.limits.line_bytes), root.source)
     return rows.where("not p.malformed").select("path", "line_number", F.struct("p.text", "p.blocks").alias("p"))
 

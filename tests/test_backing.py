@@ -103,3 +103,20 @@ def test_an_index_with_roots_checks_its_reads(spark, tmp_path):
             index.read_block(blocks[name], 9)
     cards = index.list_sessions(Filter(), PageRequest(5)).rows
     assert {r["session_identifier"]: r["lifecycle"] for r in cards} == {"a": "Current", "b": "Current", "c": "SourceMissing"}
+
+
+def test_lines_of_a_file_are_not_carried_with_each_other(spark, tmp_path):
+    """What a batch asks of one file grows with its lines, not with their square."""
+    root = Root(str(tmp_path / "in"), "Claude", "main")
+    os.makedirs(root.path)
+    with open(f"{root.path}/a.jsonl", "w") as f:
+        f.writelines(line(f"text {i}") for i in range(3000))
+    store = SlotStore(spark, "many_lines")
+    store.refresh([root])
+    tables = store.snapshot().tables
+    found = read_many(tables, tables["blocks"].where("kind <> 'Attachment'").select(F.col("block_reference").alias("reference")), [root], 20)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    carried = [x for x in plan.split("\n") if "Generate explode(" in x or "Generate posexplode(" in x]
+    assert len(carried) == 1 and "posexplode(" in carried[0], carried
+    rows = found.join(tables["blocks"].select(F.col("block_reference").alias("reference"), "line_number"), "reference").select("state", "text", "line_number").collect()
+    assert len(rows) == 3000 and all((r["state"], r["text"]) == ("Fresh", f"text {r['line_number'] - 1}") for r in rows)
