@@ -833,15 +833,23 @@ def _database(spark: SparkSession, name: str) -> str:
 
 
 def _write_transcripts(spark: SparkSession, rows: DataFrame, folder: str) -> None:
-    """(file, line_number, raw) as files below ``folder``, each written by one task in order of its lines; files that are there are replaced."""
+    """(file, line_number, raw) as files below ``folder``, each written by one task in order of its lines; files that are there are replaced.
+
+    Dealt out by a hash of the file, which no input is dealt by: Spark leaves out a shuffle by ``file`` where a union's sides
+    have one each, and then merges small partitions of either side on its own, so that two tasks write one file.
+    """
     staged = f"{folder}/staged-{uuid.uuid4().hex}"
-    rows.repartition("file").sortWithinPartitions("file", "line_number").select("file", "raw").write.partitionBy("file").text(staged)
+    rows.repartition(F.xxhash64("file")).sortWithinPartitions("file", "line_number").select("file", "raw").write.partitionBy("file").text(staged)
     paths = spark._jvm.org.apache.hadoop.fs.Path
     fs = paths(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for found in fs.globStatus(paths(f"{staged}/file=*/part-*")):
-        target = paths(f"{folder}/{found.getPath().getParent().getName().removeprefix('file=')}")
+    parts = [found.getPath() for found in fs.globStatus(paths(f"{staged}/file=*/part-*"))]
+    names = [part.getParent().getName().removeprefix("file=") for part in parts]
+    if len(set(names)) < len(names):
+        raise ValueError("several tasks wrote lines of one file")
+    for name, part in zip(names, parts, strict=True):
+        target = paths(f"{folder}/{name}")
         fs.delete(target, False)
-        fs.rename(found.getPath(), target)
+        fs.rename(part, target)
     fs.delete(paths(staged), True)
 
 

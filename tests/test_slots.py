@@ -4,9 +4,10 @@ import json
 import os
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from talkprism import errors
+from talkprism import errors, queries
 from talkprism.operators.slots import SlotStore, slot_name
 from talkprism.sources.jsonl import Limits, Root, scan
 
@@ -190,3 +191,19 @@ def test_children_lie_with_their_parents(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+
+
+def test_a_file_of_a_union_is_written_by_one_task(spark, tmp_path):
+    """Both sides of the union are dealt by file already, and their partitions of unlike sizes."""
+    own = Window.partitionBy("file")
+    rows = spark.range(60_000).select(F.concat(F.lit("f"), F.col("id") % 8, F.lit(".jsonl")).alias("file"), "id", F.concat(F.sha2(F.col("id").cast("string"), 256), F.col("id")).alias("raw"))
+    rows = rows.withColumn("line_number", F.row_number().over(own.orderBy("id")).cast("long")).withColumn("n", F.count(F.lit(1)).over(own))
+    more = rows.where("line_number = n").withColumns({"line_number": F.col("n") + 1, "raw": F.lit("last")})
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512k")
+    try:
+        queries._write_transcripts(spark, rows.unionByName(more), str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    for k in range(8):
+        lines = (tmp_path / f"out/f{k}.jsonl").read_text().split("\n")
+        assert len(lines) == 7502 and lines[-2:] == ["last", ""] and [x[64:] for x in lines[:-2]] == [str(i) for i in range(k, 60_000, 8)]
