@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkprism.functions.text import utf8_prefix
-from talkprism.sources.jsonl import Root, discover, exists, file_contents, fingerprint, pieces, with_parsed
+from talkprism.sources.jsonl import Root, discover, exists, file_contents, fingerprint, long_lines, pieces, takes_long, with_parsed
 
 
 def listed(spark: SparkSession, roots: list[Root]) -> DataFrame:
@@ -45,6 +45,9 @@ def _lines(spark: SparkSession, root: Root, wanted: DataFrame) -> DataFrame:
     # One row a line, joined with the lines asked for: a row that carries all lines of its file would be repeated for each of them.
     rows = contents.select("path", F.posexplode(pieces(F.col("content"))).alias("at", "raw"))
     rows = rows.select("path", (F.col("at") + 1).cast("long").alias("line_number"), F.regexp_replace("raw", "\r$", "").alias("raw"))
+    if takes_long(root):
+        more = long_lines(spark, root, (span["first"], span["last"])).where("line_number <= last")
+        rows = rows.unionByName(more.select("path", "line_number", F.regexp_replace("raw", "\r$", "").alias("raw")))
     rows = rows.join(wanted.select("path", "line_number").distinct(), ["path", "line_number"], "left_semi")
     rows = with_parsed(rows.where(F.octet_length("raw") <= root.limits.line_bytes), root.source)
     return rows.where("not p.malformed").select("path", "line_number", F.struct("p.text", "p.blocks").alias("p"))

@@ -48,8 +48,8 @@ def issues(candidate: Configuration) -> list[str]:
         if (root.source, root.identifier) in seen:
             found.append(f"RepeatedSource:{root.source}:{root.identifier}")
         seen.add((root.source, root.identifier))
-        found += [f"ZeroLimit:{k}" for k, v in asdict(root.limits).items() if v <= 0]
-        found += [f"LimitAboveCeiling:{k}" for k, v in asdict(root.limits).items() if v > ceiling[k]]
+        found += [f"ZeroLimit:{k}" for k, v in asdict(root.limits).items() if v is not None and v <= 0]
+        found += [f"LimitAboveCeiling:{k}" for k, v in asdict(root.limits).items() if v is None or v > ceiling[k]]
     found += [f"ZeroLimit:{k}" for k, v in asdict(candidate.limits).items() if v <= 0]
     found += [f"LimitAboveCeiling:{k}" for k, v in asdict(candidate.limits).items() if v > asdict(InterfaceLimits())[k]]
     found += ["EmptyRepository" for r in candidate.repositories if not r]

@@ -815,6 +815,10 @@ def replaced_source(spark, sf_dir):
 # --- transcript files --------------------------------------------------------------------------------
 
 
+#: Of the roots below: their few files hold all turns, and grow with them.
+_ANY_LENGTH = Limits(file_bytes=None)
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the warehouse, which goes when the driver ends."""
     folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}"
@@ -889,7 +893,7 @@ SELECT source_identifier, CASE source_identifier WHEN 'grown' THEN 'Complete' WH
 def slots_of_sources(spark, sf_dir):
     """Three sources; one grows, one grows with a broken line, one can't be listed: what readers of the complete and of the newest generations see, and whether a source's files are those of before."""
     folder, names = _scratch(spark, f"sources-{uuid.uuid4().hex}"), ("grown", "broken", "gone")
-    store, roots = SlotStore(spark, _database(spark, "slots")), [Root(f"{folder}/{n}", "Claude", n) for n in names]
+    store, roots = SlotStore(spark, _database(spark, "slots")), [Root(f"{folder}/{n}", "Claude", n, _ANY_LENGTH) for n in names]
     lines = _transcript_lines(spark, sf_dir, 24)
     for k, root in enumerate(roots):
         _write_transcripts(spark, lines.where((F.col("conv_id") % 3 == k) & (F.col("turn") < 4)), root.path)
@@ -914,7 +918,7 @@ def slots_of_sources(spark, sf_dir):
 def read_changed_lines(spark, sf_dir):
     """Every block of the index read from its file's line, after a quarter of the files was written anew with other texts, one grew, and one went."""
     folder, lines = _scratch(spark, f"backing-{uuid.uuid4().hex}"), _transcript_lines(spark, sf_dir, 16)
-    store, root = SlotStore(spark, _database(spark, "backing")), Root(folder, "Claude", "main")
+    store, root = SlotStore(spark, _database(spark, "backing")), Root(folder, "Claude", "main", _ANY_LENGTH)
     _write_transcripts(spark, lines, folder)
     store.refresh([root])
     other = F.when(F.col("conv_id") % 4 == 1, F.replace("raw", F.lit("e"), F.lit("E"))).otherwise(F.col("raw"))
@@ -938,7 +942,7 @@ def _remove(spark: SparkSession, folder: str, names: list[str]) -> None:
 def session_lifecycle(spark, sf_dir):
     """Cards of one session a file, after a third of the files went."""
     folder, lines = _scratch(spark, f"lifecycle-{uuid.uuid4().hex}"), _transcript_lines(spark, sf_dir, 16)
-    store, root = SlotStore(spark, _database(spark, "lifecycle")), Root(folder, "Claude", "main")
+    store, root = SlotStore(spark, _database(spark, "lifecycle")), Root(folder, "Claude", "main", _ANY_LENGTH)
     _write_transcripts(spark, lines, folder)
     store.refresh([root])
     _remove(spark, folder, [f"claude-{f}.jsonl" for f in range(0, 16, 3)])

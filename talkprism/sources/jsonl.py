@@ -14,13 +14,17 @@ from talkprism.functions.timestamps import instant
 from talkprism.sources import rules, variant
 
 
+#: Files up to this length are read as one value; the lines of longer ones come from the splits of Spark's text reader.
+WHOLE_BYTES = 8 * 1024 * 1024
+
+
 @dataclass(frozen=True)
 class Limits:
-    """Caps of one scan of one root; the defaults are fixed values, and the most a configuration may ask for."""
+    """Caps of one scan of one root; the defaults are fixed values, and the most a configuration may ask for. ``file_bytes`` None: files of any length, for roots that a program names."""
 
     entries: int = 131_072
     files: int = 32_768
-    file_bytes: int = 8 * 1024 * 1024
+    file_bytes: int | None = WHOLE_BYTES
     line_bytes: int = 256 * 1024
     failures: int = 1024
 
@@ -144,17 +148,69 @@ def listing(spark: SparkSession, root: Root) -> tuple[DataFrame, DataFrame]:
     ranked = found.orderBy("path").limit(limits.files + 1).withColumn("place", F.row_number().over(Window.partitionBy().orderBy("path")))
     many = _report(ranked.where(F.col("place") == limits.files + 1), root, "FileLimit")
     within = ranked.where(F.col("place") <= limits.files)
-    large = _report(within.where(F.col("length") > limits.file_bytes), root, "FileBytes")
+    large = _report(within.where(F.lit(False) if limits.file_bytes is None else F.col("length") > limits.file_bytes), root, "FileBytes")
     return within.drop("place"), crowded.unionByName(many).unionByName(large)
 
 
 def file_contents(spark: SparkSession, root: Root) -> DataFrame:
-    """(path, content, length, modified, same) of the root's files under the cap; ``same``: length and time are still those of the listing."""
-    contents = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{root.extension}").load(root.path).where(F.col("length") <= root.limits.file_bytes)
+    """(path, content, length, modified, same) of the root's files under the cap that are read as one value; ``same``: length and time are still those of the listing."""
+    most = WHOLE_BYTES if root.limits.file_bytes is None else min(root.limits.file_bytes, WHOLE_BYTES)
+    contents = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{root.extension}").load(root.path).where(F.col("length") <= most)
     same = (F.octet_length("content") == F.col("_metadata.file_size")) & (F.col("modificationTime") == F.col("_metadata.file_modification_time"))
     return contents.select("path", "content", "length", F.col("modificationTime").alias("modified"), same.alias("same"))
 
 
+def takes_long(root: Root) -> bool:
+    """Whether a scan of the root reads files that are longer than one value."""
+    return root.limits.file_bytes is None or root.limits.file_bytes > WHOLE_BYTES
+
+
+def long_lines(spark: SparkSession, root: Root, span: tuple | None = None) -> DataFrame:
+    """(path, length, modified, same, whole, n, tail, last, line_number, raw) of every line of the root's files that are too long for one value.
+
+    ``span``: first and last time of the files to open. ``n`` counts a file's lines, ``tail`` has the bytes after its last line
+    break, ``last`` the number of the last line that counts (all, or those before the first with U+FFFD if the file isn't ``whole``,
+    valid UTF-8). The splits' lines are checkpointed, so that the same splits that are counted are numbered: a line's number is its
+    place in its split after the lines of the file's earlier splits. No file is gathered in one task.
+    """
+    cap, meta = root.limits.file_bytes, F.col("_metadata")
+    wanted = lambda size, time: (size > WHOLE_BYTES) & (F.lit(True) if cap is None else size <= cap) & (F.lit(True) if span is None else time.between(F.lit(span[0]), F.lit(span[1])))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{root.extension}").load(root.path)
+    files = files.where(wanted(F.col("length"), F.col("modificationTime"))).select("path", "length", F.col("modificationTime").alias("modified"), meta["file_path"].alias("uri"))
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{root.extension}").option("lineSep", "\n").text(root.path)
+    text = text.where(wanted(meta["file_size"], meta["file_modification_time"]))
+    rows = text.select(meta["file_path"].alias("uri"), meta["file_size"].alias("size"), meta["file_modification_time"].alias("time"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw")).checkpoint()
+    bad = ~F.is_valid_utf8("raw")
+    odd = bad | F.contains("raw", F.lit("\ufffd"))
+    splits = rows.groupBy("uri", "size", "time", "split").agg(
+        F.min("id").alias("first"),
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.octet_length("raw") + 1).alias("bytes"),
+        F.bool_or(bad).alias("bad"),
+        F.min(F.when(odd, F.col("id"))).alias("odd"),
+        F.max_by(F.octet_length("raw"), "id").alias("end"),
+    )
+    own = Window.partitionBy("uri")
+    splits = splits.withColumn("before", F.sum("rows").over(own.orderBy("split")) - F.col("rows"))
+    splits = splits.withColumns({
+        "n": F.sum("rows").over(own),
+        "bytes": F.sum("bytes").over(own),
+        "whole": ~F.bool_or("bad").over(own),
+        "odd": F.min(F.col("before") + F.col("odd") - F.col("first")).over(own),
+        "end": F.max_by("end", "split").over(own),
+    })
+    # Every line counts with its line break: one byte more than there is if the last has none, three less if the reader took a byte order mark away.
+    spare = F.col("bytes") - F.col("size")
+    splits = splits.withColumns({"marked": spare.isin(-3, -2), "open": spare.isin(1, -2), "exact": spare.isin(0, 1, -3, -2)})
+    splits = splits.withColumn("tail", F.when(~F.col("open"), 0).otherwise(F.col("end") + F.when(F.col("marked") & (F.col("n") == 1), 3).otherwise(0)).cast("long"))
+    splits = splits.withColumn("last", F.when(F.col("whole"), F.col("n")).otherwise(F.col("odd")))
+    rows = rows.join(F.broadcast(splits.select("uri", "split", "first", "before", "n", "tail", "whole", "last", "marked", "exact")), ["uri", "split"]).join(F.broadcast(files), "uri")
+    number = F.col("before") + F.col("id") - F.col("first") + 1
+    same = F.col("exact") & (F.col("size") == F.col("length")) & (F.col("time") == F.col("modified"))
+    raw = F.when(F.col("marked") & (number == 1), F.concat(F.lit("\ufeff"), "raw")).otherwise(F.col("raw"))
+    return rows.select("path", "length", "modified", same.alias("same"), "whole", "n", "tail", "last", number.alias("line_number"), raw.alias("raw"))
+
+
 def pieces(content: Column) -> Column:
     """The lines of a file's bytes, without what follows the last line break if that is nothing. Splitting puts U+FFFD for invalid bytes; in a file that has some, the first line with that character ends it."""
     text = content.cast("string")
@@ -202,6 +258,13 @@ def scan(spark: SparkSession, root: Root) -> Scan:
     broken = _report(contents.where(~F.is_valid_utf8(F.col("content").cast("string"))), root, "InvalidUtf8")
     lines = contents.select("path", "length", "modified", F.posexplode(pieces(F.col("content"))).alias("at", "raw"))
     lines = lines.select("path", "length", "modified", (F.col("at") + 1).cast("long").alias("line_number"), F.regexp_replace("raw", "\r$", "").alias("raw"))
+    if takes_long(root):
+        more = long_lines(spark, root).join(within.select("path"), "path", "left_semi")
+        heads = more.where("line_number = 1")
+        changed = changed.unionByName(_report(heads.where("not same"), root, "ChangedDuringScan"))
+        broken = broken.unionByName(_report(heads.where("same and not whole"), root, "InvalidUtf8"))
+        more = more.where("same and line_number <= last")
+        lines = lines.unionByName(more.select("path", "length", "modified", "line_number", F.regexp_replace("raw", "\r$", "").alias("raw")))
     long = _report(lines.where(F.octet_length("raw") > limits.line_bytes), root, "LineBytes", F.col("line_number"))
 
     rows = lines.where(F.octet_length("raw") <= limits.line_bytes)

@@ -6,6 +6,10 @@ one that has grown, what follows the known bytes is parsed if these are as they
 read from its start. Files are opened by the range of times of those that differ, a filter of the
 reader. The result is one pass over the contents of these files: their new lines, parsed, with
 the new state of the file on each.
+
+Files of more than ``WHOLE_BYTES`` are read by splits (``long_lines``); their digest is a sum over
+lines, which no task takes alone. A file that grew beyond that length is still known by the digest
+of its bytes, of which there are no more than that.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkprism.sources.jsonl import Root, file_contents, fingerprint, listing, pieces, records_of, with_parsed
+from talkprism.sources.jsonl import WHOLE_BYTES, Root, file_contents, fingerprint, listing, long_lines, pieces, records_of, takes_long, with_parsed
 
 #: What is known of a file: ``whole`` says that it is valid UTF-8, ``covered`` and ``lines`` count its complete lines.
 STATE = ("path", "length", "modified", "covered", "lines", "digest", "whole")
@@ -41,6 +45,35 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
+def _sum_of_lines(wanted: Column) -> Column:
+    """A digest of a file's wanted lines with their numbers: their SHA-256 in four parts, added."""
+    own = F.sha2(F.concat_ws(":", "line_number", "raw"), 256)
+    part = lambda k: F.conv(F.substring(own, k, 15), 16, 10).cast("decimal(38,0)")
+    return F.concat_ws("-", *[F.coalesce(F.sum(F.when(wanted, part(k))), F.lit(0)).cast("string") for k in (1, 16, 31, 46)])
+
+
+def _long(spark: SparkSession, root: Root, differ: DataFrame, span: tuple) -> DataFrame:
+    """STATE, ``same``, ``skip``, ``at`` and ``raw`` of the new lines of long files, and a row without a line for each of these files."""
+    lines = long_lines(spark, root, span).join(F.broadcast(differ.where(F.col("listed_length") > WHOLE_BYTES)), "path")
+    lines = lines.withColumns({
+        "same": F.col("same") & _same("length", "listed_length") & _same("modified", "listed_time"),
+        "covered": F.when(F.col("whole"), F.col("length") - F.col("tail")).otherwise(0).cast("long"),
+        "lines": F.when(F.col("whole"), F.col("n") - (F.col("tail") > 0).cast("long")).otherwise(0).cast("long"),
+    })
+    # The known lines are given whole only where they are known by the digest of their bytes, those of a file of one value.
+    known = F.col("line_number") <= F.col("known_lines")
+    few = F.when(known & ~F.contains("known_digest", F.lit("-")), F.struct("line_number", "raw"))
+    texts = F.transform(F.array_sort(F.collect_list(few)), lambda x: F.concat(x["raw"], F.lit("\n")))
+    facts = ("length", "modified", "same", "whole", "covered", "lines", "last", "known_whole", "known_covered", "known_lines", "known_digest")
+    files = lines.groupBy("path").agg(*[F.first(c).alias(c) for c in facts], _sum_of_lines(F.col("line_number") <= F.col("lines")).alias("digest"), _sum_of_lines(known).alias("before"), F.sha2(F.array_join(texts, "").cast("binary"), 256).alias("bytes"))
+    digest = F.when(F.contains("known_digest", F.lit("-")), F.col("before")).otherwise(F.col("bytes"))
+    grown = F.coalesce(F.col("known_whole") & (F.col("length") >= F.col("known_covered")) & (digest == F.col("known_digest")), F.lit(False))
+    files = files.withColumn("skip", F.when(grown, F.col("known_lines")).otherwise(0).cast("long"))
+    none = files.select(*STATE, "same", "skip", F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("raw"))
+    new = lines.select("path", "line_number", "raw").join(F.broadcast(files), "path").where(F.col("same") & (F.col("line_number") > F.col("skip")) & (F.col("line_number") <= F.col("last")))
+    return none.unionByName(new.select(*STATE, "same", "skip", (F.col("line_number") - F.col("skip") - 1).cast("int").alias("at"), "raw"))
+
+
 def resume(spark: SparkSession, root: Root, states: DataFrame) -> Resumed:
     """The lines of a root that are new since ``states``; without states, all."""
     within, cut = listing(spark, root)
@@ -52,6 +85,8 @@ def resume(spark: SparkSession, root: Root, states: DataFrame) -> Resumed:
     asked = differ.select(F.lit("read").alias("what"), F.col("listed_time").alias("time"))
     asked = asked.unionByName(known.join(within, "path", "left_anti").select(F.lit("gone").alias("what"), nothing.alias("time")))
     asked = asked.unionByName(cut.select(F.col("reason").alias("what"), nothing.alias("time")))
+    if takes_long(root):
+        asked = asked.unionByName(differ.where(F.col("listed_length") > WHOLE_BYTES).select(F.lit("long").alias("what"), F.col("listed_time").alias("time")))
     told = {r["what"]: r for r in asked.groupBy("what").agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("first"), F.max("time").alias("last")).collect()}
     contents = file_contents(spark, root)
     if "read" in told:
@@ -71,6 +106,8 @@ def resume(spark: SparkSession, root: Root, states: DataFrame) -> Resumed:
         "new": F.when(F.col("same"), pieces(rest)),
     })
     rows = files.select(*STATE, "same", F.col("skip").cast("long").alias("skip"), F.posexplode_outer("new").alias("at", "raw"))
+    if takes_long(root) and "long" in told:
+        rows = rows.unionByName(_long(spark, root, differ, (told["long"]["first"], told["long"]["last"])))
     rows = rows.withColumn("line_number", (F.col("skip") + F.col("at") + 1).cast("long")).withColumn("raw", F.regexp_replace("raw", "\r$", ""))
     long = F.octet_length("raw") > root.limits.line_bytes
     rows = with_parsed(rows.withColumn("line", F.when(F.col("raw").isNull() | long, F.lit("")).otherwise(F.col("raw"))), root.source, "line")

@@ -3,12 +3,15 @@
 import json
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talkprism import errors, queries
+from talkprism.operators.backing import read_many
 from talkprism.operators.slots import SlotStore, slot_name
+from talkprism.sources import jsonl, resume
 from talkprism.sources.jsonl import Limits, Root, scan
 
 RECORD = ("path", "line_number", "fingerprint", "modified", "text", "blocks", "session_identifier", "title")
@@ -207,3 +210,58 @@ def test_a_file_of_a_union_is_written_by_one_task(spark, tmp_path):
     for k in range(8):
         lines = (tmp_path / f"out/f{k}.jsonl").read_text().split("\n")
         assert len(lines) == 7502 and lines[-2:] == ["last", ""] and [x[64:] for x in lines[:-2]] == [str(i) for i in range(k, 60_000, 8)]
+
+
+def test_long_files_by_splits_equal_files_of_one_value(spark, tmp_path, monkeypatch):
+    """Long files grow, cross the length of one value, change, turn invalid, have a byte order mark and an unfinished line; all in splits of 9,000 bytes."""
+    folder = tmp_path / "in"
+    whole, long = SlotStore(spark, "whole_files"), SlotStore(spark, "long_files")
+    root, anything = Root(str(folder), "Claude", "main"), Root(str(folder), "Claude", "main", Limits(file_bytes=None))
+    many = lambda name, n: "".join(line(f"{name} \u00e9{i} " + "x" * (i * 70 % 900)) for i in range(n))
+    put(folder / "small.jsonl", many("small", 3))
+    put(folder / "crosses.jsonl", many("crosses", 12))
+    put(folder / "grows.jsonl", many("grows", 60) + '{"type":"user","te')
+    put(folder / "changes.jsonl", many("changes", 40))
+    put(folder / "marked.jsonl", "\ufeff" + many("marked", 30) + "\r\n\n")
+    put(folder / "ends.jsonl", many("ends", 50) + "no json\n" + many("more", 3))
+    steps = [
+        lambda: None,
+        lambda: (put(folder / "crosses.jsonl", many("later", 30), "a"), put(folder / "grows.jsonl", 'xt":"b2"}\n' + many("g", 5), "a"), put(folder / "changes.jsonl", many("Changed", 41))),
+        lambda: (put(folder / "crosses.jsonl", many("last", 2), "a"), put(folder / "marked.jsonl", many("m", 2), "a"), os.remove(folder / "small.jsonl"), (folder / "ends.jsonl").open("ab").write(b'{"text":"\xff"}\n' + line("lost").encode())),
+    ]
+    table = lambda store, name, *c: rows(store.snapshot(True).tables[name], *c)
+    report, split = ("path", "line_number", "reason"), "spark.sql.files.maxPartitionBytes"
+    for at, step in enumerate(steps):
+        step()
+        (first,) = whole.refresh([root])
+        with monkeypatch.context() as m:
+            for place in (jsonl, resume):
+                m.setattr(place, "WHOLE_BYTES", 10_000)
+            spark.conf.set(split, "9000")
+            try:
+                (second,) = long.refresh([anything])
+                if at == len(steps) - 1:
+                    full, tables = scan(spark, anything), long.snapshot(True).tables
+                    assert rows(full.records, *RECORD) == table(whole, "records", *RECORD)
+                    assert rows(full.failures, *report) == table(whole, "reports", *report)
+                    states = read_many(tables, tables["blocks"].select(F.col("block_reference").alias("reference")), [anything], 9).groupBy("state").count().collect()
+                    assert [(r["state"], r["count"]) for r in states] == [("Fresh", second.records)]
+            finally:
+                spark.conf.unset(split)
+        for c in ("coverage", "records", "files", "malformed", "unreadable", "truncations", "parsed"):
+            assert getattr(first, c) == getattr(second, c), (at, c)
+        for name, columns in (("records", RECORD), ("reports", report), ("files", ("path", "length", "covered", "lines", "whole"))):
+            assert table(long, name, *columns) == table(whole, name, *columns), (at, name)
+
+
+@pytest.mark.parametrize("name", ["session_lifecycle"])
+def test_queries_over_a_file_longer_than_the_cap(spark, tmp_path, name):
+    """All turns fall into one file of more than 8 MiB: each of its lines counts."""
+    text = F.concat(F.repeat(F.sha2(F.col("id").cast("string"), 256), F.lit(1600)), F.col("id"))
+    table = spark.range(90).select((F.col("id").cast("long") / 3).cast("long") * 16 % 480, F.col("id") % 3, F.lit("user"), text).toDF("conv_id", "turn", "role", "text")
+    table.coalesce(2).write.parquet(f"{tmp_path}/conversations.parquet")
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    sql = con.sql(queries.SQL[name])
+    assert rows(df, *sorted(sql.columns)) == sorted(tuple(map(str, (r[sql.columns.index(c)] for c in sorted(sql.columns)))) for r in sql.fetchall())
