@@ -875,7 +875,7 @@ _DEALT = """c AS (SELECT conv_id, turn, role, conv_id % 16 AS f, row_number() OV
 def resumed_scan(spark, sf_dir):
     """Files with half of their lines are scanned; half of the files grow, and the scan goes on. All rows, and how many lines the second scan parsed."""
     folder, lines = _scratch(spark, f"transcripts-{uuid.uuid4().hex}"), _transcript_lines(spark, sf_dir, 16)
-    store, root = SlotStore(spark, _database(spark, "resumed")), Root(folder, "Claude", "main")
+    store, root = SlotStore(spark, _database(spark, "resumed")), Root(folder, "Claude", "main", _ANY_LENGTH)
     half = F.col("line_number") <= F.expr("(n + 1) div 2")
     _write_transcripts(spark, lines.where(half), folder)
     store.refresh([root])

@@ -254,7 +254,7 @@ def test_long_files_by_splits_equal_files_of_one_value(spark, tmp_path, monkeypa
             assert table(long, name, *columns) == table(whole, name, *columns), (at, name)
 
 
-@pytest.mark.parametrize("name", ["session_lifecycle"])
+@pytest.mark.parametrize("name", ["session_lifecycle", "resumed_scan"])
 def test_queries_over_a_file_longer_than_the_cap(spark, tmp_path, name):
     """All turns fall into one file of more than 8 MiB: each of its lines counts."""
     text = F.concat(F.repeat(F.sha2(F.col("id").cast("string"), 256), F.lit(1600)), F.col("id"))
